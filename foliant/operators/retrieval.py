@@ -49,17 +49,17 @@ def filter_chunks(
     return out
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(query_id, document_id, chunk_index, score, rank): the n best chunks per query.
+def nearest(
+    chunks: DataFrame, queries: DataFrame, n: int, keys: tuple[str, ...] = ("query_id",)
+) -> DataFrame:
+    """(keys, document_id, chunk_index, score, rank): the n best chunks per query.
 
     The scan reads only ids and vectors. Each task keeps n candidates per
     query, so the ranking shuffle carries n rows per query and task.
     """
-    scored = score_blocks(chunks, queries, TopN(n)).withColumn("score", unit_score("cosine"))
+    scored = score_blocks(chunks, queries, TopN(n), POINT, keys).withColumn("score", unit_score("cosine"))
     order = [F.desc("cosine"), *[F.col(k) for k in POINT]]
-    return salted_top_n(scored, ["query_id"], order, n, POINT).select(
-        "query_id", *POINT, "score", "rank"
-    )
+    return salted_top_n(scored, keys, order, n, POINT).select(*keys, *POINT, "score", "rank")
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
@@ -78,11 +78,10 @@ def nearest_native(chunks: DataFrame, query_vector: Column, n: int) -> DataFrame
 
     One literal vector needs no join: the planner runs it as a bounded top-k.
     """
-    scored = chunks.where(F.col("vector").isNotNull()).withColumn(
-        "_cos", on_grid(cosine(F.col("vector"), query_vector))
-    )
+    asked = chunks.where(F.col("vector").isNotNull()).withColumn("_q", query_vector)
+    scored = asked.withColumn("_cos", on_grid(cosine("vector", "_q")))
     top = scored.orderBy(F.desc("_cos"), *POINT).limit(n)
-    return top.withColumn("score", unit_score("_cos")).drop("_cos", "vector")
+    return top.withColumn("score", unit_score("_cos")).drop("_cos", "_q", "vector")
 
 
 def _best_chunk(hits: DataFrame, by: str = "rank") -> DataFrame:
@@ -488,7 +487,7 @@ def reindex_reason(manifests: DataFrame) -> DataFrame:
     return manifests.select(
         "index_id",
         reason.alias("reason"),
-        ~reason.isin("none", "migrate").alias("reindex_required"),
+        (~reason.isin("none", "migrate")).alias("reindex_required"),
         (backend & ~model & F.col("has_store")).alias("can_migrate"),
     )
 

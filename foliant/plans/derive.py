@@ -396,3 +396,140 @@ def fact_vec(spark: SparkSession, sf: str) -> DataFrame:
     return plain.unionByName(near).select(
         "fact_id", F.concat(F.lit("fact "), "fact_id").alias("text"), "vector"
     )
+
+
+# --- entities ----------------------------------------------------------------------
+
+
+def entity_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Part, brand and type names, each with perturbed copies."""
+    p = table(spark, sf, "part")
+
+    def kind(column: str, code: int) -> DataFrame:
+        return p.groupBy(F.col(column).alias("base")).agg((F.min("p_partkey") * 3 + code).alias("k"))
+
+    base = kind("p_name", 0).unionByName(kind("p_brand", 1)).unionByName(kind("p_type", 2))
+    variants = F.array(
+        F.col("base"),
+        F.upper("base"),
+        F.regexp_replace("base", "e", "é"),
+        F.concat("base", F.lit("s")),
+        F.expr("substring(base, 1, length(base) - 1)"),
+        F.concat(F.lit(" "), "base", F.lit(" ")),
+    )
+    return base.select("k", F.posexplode(variants).alias("v", "name")).select(
+        F.lit("tag").alias("entity_type"),
+        (F.col("k") * 6 + F.col("v") + 1).alias("entity_id"),
+        "name",
+        F.lit(None).cast("array<double>").alias("vector"),
+        F.when(F.col("k") % 2 == 0, F.lit("text")).alias("description"),
+        (F.col("v") % 2 == 0).alias("embedding_stored"),
+    )
+
+
+def vector_entity(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities with vectors: the facts of ``fact_vec``, half of them tags."""
+    kind = F.when(F.col("fact_id") % 8 < 6, F.lit("tag")).otherwise(F.lit("correspondent"))
+    return fact_vec(spark, sf).select(
+        kind.alias("entity_type"),
+        (F.col("fact_id") + 1).alias("entity_id"),
+        F.concat(F.lit("n"), F.sha2(F.col("fact_id").cast("string"), 256)).alias("name"),
+        "vector",
+        F.when(F.col("fact_id") % 3 == 0, F.lit("text")).alias("description"),
+        (F.col("fact_id") % 2 == 0).alias("embedding_stored"),
+    )
+
+
+def similarity_link(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between customers that share supplier nations through orders: a sparse id graph.
+
+    Every order links its customer to the order's key modulo the customers, so
+    that components of all sizes appear.
+    """
+    o = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
+    return o.select(
+        F.col("o_custkey").alias("a"),
+        F.floor(F.col("o_custkey") * 0.5 + F.col("o_orderkey") % 3).cast("long").alias("b"),
+    )
+
+
+def entity_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored entity rows over the customers, with flags by key."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    at = lambda n: ntz("2024-01-01 00:00:00") + hours(n)
+    return c.select(
+        F.when(k % 3 == 0, "correspondent").otherwise("tag").alias("entity_type"),
+        (k + 1).alias("entity_id"),
+        F.when(k % 10 == 0, F.concat("c_name", F.lit(" old"))).otherwise(F.col("c_name")).alias("name"),
+        F.when(k % 4 == 0, F.lit("")).when(k % 4 < 3, F.concat(F.lit("About "), "c_mktsegment")).alias("description"),
+        F.when(k % 4 == 1, F.lit("user")).when(k % 4 == 2, F.lit("llm")).alias("description_source"),
+        (k % 8 == 7).alias("excluded"),
+        F.when(k % 5 > 0, F.array(F.col("c_acctbal"), F.lit(1.0))).alias("vector"),
+        (k % 5 > 1).alias("embedding_stored"),
+        F.when(k % 5 > 0, F.when(k % 7 == 0, F.lit("old")).otherwise(F.lit("m1"))).alias("embed_model"),
+        F.when(k % 6 > 0, at(k % 700)).alias("description_updated_at"),
+        F.when(k % 9 > 0, at(k % 650 + 24 * 200)).alias("last_scanned_at"),
+    )
+
+
+def entity_source(spark: SparkSession, sf: str) -> DataFrame:
+    """What the archive currently lists: most customers, and the suppliers as new ones."""
+    c = table(spark, sf, "customer").where(F.col("c_custkey") % 11 < 10)
+    s = table(spark, sf, "supplier")
+    k = F.col("c_custkey")
+    return c.select(
+        F.when(k % 3 == 0, "correspondent").otherwise("tag").alias("entity_type"),
+        (k + 1).alias("entity_id"),
+        F.col("c_name").alias("name"),
+        (k % 50).alias("document_count"),
+    ).unionByName(
+        s.select(
+            F.lit("document_type").alias("entity_type"),
+            (F.col("s_suppkey") + 1).alias("entity_id"),
+            F.col("s_name").alias("name"),
+            F.lit(0).cast("long").alias("document_count"),
+        )
+    )
+
+
+def dismissal(spark: SparkSession, sf: str) -> DataFrame:
+    actions = F.array(*[F.lit(a) for a in ("add", "remove", "replace", "review", "dedup")])
+    e = table(spark, sf, "events")
+    return e.select(
+        F.when(F.col("event_id") % 2 == 0, "tag").otherwise("correspondent").alias("entity_type"),
+        (F.col("user_id") % 10 + 1).alias("entity_id"),
+        F.when(F.col("event_id") % 5 == 4, F.lit(0).cast("long")).otherwise(F.col("event_id") % 300 + 1).alias("document_id"),
+        F.get(actions, (F.col("event_id") % 5).cast("int")).alias("action"),
+        F.when(F.col("event_id") % 3 > 0, F.col("user_id") % 14 + 1).alias("other_entity_id"),
+        F.when(F.col("event_id") % 40 > 0, F.col("ts")).alias("dismissed_at"),
+    )
+
+
+def pending_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a pending suggestion naming one correspondent."""
+    s = suggestion(spark, sf)
+    return s.where((F.col("status") == "pending") & (F.col("correspondent") == "SRC7")).select("document_id").distinct()
+
+
+def current_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The archive after the scan: some documents changed meanwhile."""
+    d = archive(spark, sf)
+    return d.select(
+        "document_id",
+        "title",
+        F.when(F.col("document_id") % 8 == 3, F.slice("tag_ids", 2, 1))
+        .when(F.col("document_id") % 8 == 5, F.concat("tag_ids", F.array(F.lit(3).cast("long"))))
+        .otherwise(F.col("tag_ids"))
+        .alias("tag_ids"),
+        F.when(F.col("document_id") % 9 == 2, F.lit(4).cast("long")).otherwise(F.col("correspondent_id")).alias("correspondent_id"),
+    )
+
+
+def scan_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of everything the chunk payload mentions: scanned entities and the plain tags."""
+    scanned = entity_vec(spark, sf).select("entity_type", "entity_id", "name")
+    tags = chunk_vec(spark, sf).select(F.explode(F.arrays_zip("tag_ids", "tags")).alias("t")).select(
+        F.lit("tag").alias("entity_type"), F.col("t.tag_ids").alias("entity_id"), F.col("t.tags").alias("name")
+    )
+    return scanned.unionByName(tags).distinct()

@@ -143,3 +143,46 @@ def with_(body: str, **extra: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({known[n].strip()})" for n in order)
     return f"WITH {ctes}\n{body.strip()}"
+
+# --- entities ----------------------------------------------------------------------
+
+CTE["entity_name"] = """
+SELECT 'tag' AS entity_type, k*6 + v AS entity_id, names[v] AS name,
+  CASE WHEN k%2=0 THEN 'text' END AS description, (v-1)%2=0 AS embedding_stored FROM (
+  SELECT k, unnest(range(1,7)) AS v, [base, upper(base), replace(base,'e','é'), base || 's',
+    substring(base,1,length(base)-1), ' ' || base || ' '] AS names FROM (
+    SELECT p_name AS base, min(p_partkey)*3 AS k FROM part GROUP BY 1
+    UNION ALL SELECT p_brand, min(p_partkey)*3+1 FROM part GROUP BY 1
+    UNION ALL SELECT p_type, min(p_partkey)*3+2 FROM part GROUP BY 1))"""
+CTE["vector_entity"] = """
+SELECT CASE WHEN fact_id%8<6 THEN 'tag' ELSE 'correspondent' END AS entity_type, fact_id+1 AS entity_id, 'n' || sha256(fact_id::VARCHAR) AS name, vector,
+  CASE WHEN fact_id%3=0 THEN 'text' END AS description, fact_id%2=0 AS embedding_stored FROM fact_vec"""
+CTE["similarity_link"] = """
+SELECT o_custkey AS a, floor(o_custkey*0.5 + o_orderkey%3)::BIGINT AS b FROM orders WHERE o_orderstatus='P'"""
+CTE["entity_state"] = """
+SELECT CASE WHEN k%3=0 THEN 'correspondent' ELSE 'tag' END AS entity_type, k+1 AS entity_id,
+  CASE WHEN k%10=0 THEN c_name || ' old' ELSE c_name END AS name,
+  CASE WHEN k%4=0 THEN '' WHEN k%4<3 THEN 'About ' || c_mktsegment END AS description,
+  CASE WHEN k%4=1 THEN 'user' WHEN k%4=2 THEN 'llm' END AS description_source, k%8=7 AS excluded,
+  CASE WHEN k%5>0 THEN [c_acctbal, 1.0] END AS vector, k%5>1 AS embedding_stored,
+  CASE WHEN k%5>0 THEN CASE WHEN k%7=0 THEN 'old' ELSE 'm1' END END AS embed_model,
+  CASE WHEN k%6>0 THEN TIMESTAMP '2024-01-01' + to_hours(k%700) END AS description_updated_at,
+  CASE WHEN k%9>0 THEN TIMESTAMP '2024-01-01' + to_hours(k%650+24*200) END AS last_scanned_at
+FROM (SELECT *, c_custkey AS k FROM customer)"""
+CTE["entity_source"] = """
+SELECT CASE WHEN c_custkey%3=0 THEN 'correspondent' ELSE 'tag' END AS entity_type, c_custkey+1 AS entity_id, c_name AS name,
+  c_custkey%50 AS document_count FROM customer WHERE c_custkey%11<10
+UNION ALL SELECT 'document_type', s_suppkey+1, s_name, 0 FROM supplier"""
+CTE["dismissal"] = """
+SELECT CASE WHEN event_id%2=0 THEN 'tag' ELSE 'correspondent' END AS entity_type, user_id%10+1 AS entity_id,
+  CASE WHEN event_id%5=4 THEN 0 ELSE event_id%300+1 END AS document_id,
+  ['add','remove','replace','review','dedup'][event_id%5+1] AS action,
+  CASE WHEN event_id%3>0 THEN user_id%14+1 END AS other_entity_id,
+  CASE WHEN event_id%40>0 THEN ts END AS dismissed_at FROM events"""
+CTE["pending_document"] = "SELECT DISTINCT document_id FROM suggestion WHERE status='pending' AND correspondent='SRC7'"
+CTE["current_document"] = """
+SELECT document_id, title, CASE WHEN document_id%8=3 THEN tag_ids[2:2] WHEN document_id%8=5 THEN list_append(tag_ids, 3)
+  ELSE tag_ids END AS tag_ids, CASE WHEN document_id%9=2 THEN 4 ELSE correspondent_id END AS correspondent_id FROM archive"""
+CTE["scan_name"] = """
+SELECT entity_type, entity_id, name FROM entity_vec
+UNION SELECT 'tag', unnest(tag_ids), unnest(tags) FROM chunk_vec"""

@@ -53,3 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """A broadcast hint behind a row check; a larger table joins by shuffle.
+
+    The check reads at most ``max_rows`` + 1 rows. Use it on stored or cut
+    tables, where that read is cheap.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
