@@ -87,9 +87,12 @@ def similar_names(names: DataFrame, threshold: float, scope: str = "entity_type"
         .select("scope", F.col("len").alias("la"), "i", "piece", F.col("name").alias("a"), F.col("chars").alias("chars_a"))
     )
     shortest = F.ceil(F.col("lb") * (threshold / (2 - threshold)) - EPS)
+    # Only lengths that occur are probed; there are few, whatever the table size.
+    lengths = base.select("scope", F.col("len").alias("la")).distinct()
     probe = (
         base.withColumnRenamed("len", "lb")
         .withColumn("la", F.explode(F.sequence(F.greatest(shortest, F.lit(1)).cast("long"), F.col("lb"))))
+        .join(lengths, ["scope", "la"])
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), pieces(F.col("la")) - 1)))
         .withColumn("from", start(F.col("la"), F.col("i")))
         .withColumn("width", start(F.col("la"), F.col("i") + 1) - F.col("from"))

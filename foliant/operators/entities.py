@@ -178,6 +178,7 @@ def dedup_clusters(links: DataFrame, entities: DataFrame) -> DataFrame:
     Members with a description and a vector come first, then those with one of
     the two (a vector before a description), by id.
     """
+    links = cut(links)
     nodes = cut(
         connected_components(
             links.select("entity_type", F.col("id_a").alias("a"), F.col("id_b").alias("b")), "entity_type"

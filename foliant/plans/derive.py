@@ -247,6 +247,8 @@ def suggestion(spark: SparkSession, sf: str) -> DataFrame:
         F.get(F.array(F.lit("EN"), F.lit("fr"), F.lit("it")), (user % 3).cast("int")).alias("document_type"),
         F.when(user % 5 == 0, F.lit("asia")).alias("storage_path"),
         F.create_map(F.concat(F.lit("Nation_"), user % 30), F.col("value").cast("string")).alias("custom_fields"),
+        F.when(F.col("event_id") % 5 == 1, F.repeat(F.concat(F.lit("read "), user % 9, F.lit(" ")), F.lit(100))).alias("extracted_content"),
+        F.when(F.col("event_id") % 2 == 1, F.repeat(F.lit("old "), F.lit(200))).alias("original_content"),
         F.when(grooming, F.lit("grooming")).otherwise(F.lit("ocr")).alias("analysis_mode"),
         F.when(
             grooming,
@@ -282,6 +284,7 @@ def decision(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Title "), F.col("event_id") % 5)).alias("edit_title"),
         F.when(F.col("event_id") % 4 == 1, F.array(F.lit("tag0"), F.lit("Quality"))).alias("edit_tags"),
         F.when(F.col("event_id") % 3 == 1, F.lit("SRC7")).alias("edit_correspondent"),
+        (F.col("event_id") % 2 == 0).alias("apply_content"),
     )
 
 
@@ -433,7 +436,7 @@ def vector_entity(spark: SparkSession, sf: str) -> DataFrame:
     return fact_vec(spark, sf).select(
         kind.alias("entity_type"),
         (F.col("fact_id") + 1).alias("entity_id"),
-        F.concat(F.lit("n"), F.sha2(F.col("fact_id").cast("string"), 256)).alias("name"),
+        F.substring(F.sha2(F.col("fact_id").cast("string"), 256), 1, 12).alias("name"),
         "vector",
         F.when(F.col("fact_id") % 3 == 0, F.lit("text")).alias("description"),
         (F.col("fact_id") % 2 == 0).alias("embedding_stored"),

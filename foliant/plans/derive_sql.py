@@ -69,6 +69,8 @@ SELECT event_id AS id, event_id%300+1 AS document_id,
   ['EN','fr','it'][user_id%3+1] AS document_type,
   CASE WHEN user_id%5=0 THEN 'asia' END AS storage_path,
   'Nation_' || (user_id%30) AS cf_name, value::VARCHAR AS cf_value,
+  CASE WHEN event_id%5=1 THEN repeat('read ' || (user_id%9) || ' ', 100) END AS extracted_content,
+  CASE WHEN event_id%2=1 THEN repeat('old ', 200) END AS original_content,
   CASE WHEN event_id%3=0 THEN 'grooming' ELSE 'ocr' END AS analysis_mode,
   CASE WHEN event_id%2=0 THEN 'add' ELSE 'remove' END AS action1, user_id%10+1 AS entity1,
   CASE WHEN user_id%7>0 THEN user_id%7 END AS entity2, user_id%7+1 AS replacement2
@@ -79,7 +81,7 @@ SELECT event_id AS decision_id, event_id-user_id%3-1 AS suggestion_id,
   'user:' || user_id AS change_source, ts AS decided_at,
   CASE WHEN event_id%2=0 THEN 'Title ' || (event_id%5) END AS edit_title,
   CASE WHEN event_id%4=1 THEN ['tag0','Quality'] END AS edit_tags,
-  CASE WHEN event_id%3=1 THEN 'SRC7' END AS edit_correspondent
+  CASE WHEN event_id%3=1 THEN 'SRC7' END AS edit_correspondent, event_id%2=0 AS apply_content
 FROM events WHERE event_type IN ('purchase','error')"""
 CTE["audit"] = """
 SELECT event_id AS id, user_id+1 AS document_id, 'Report ' || (user_id%12) AS document_title,
@@ -155,7 +157,7 @@ SELECT 'tag' AS entity_type, k*6 + v AS entity_id, names[v] AS name,
     UNION ALL SELECT p_brand, min(p_partkey)*3+1 FROM part GROUP BY 1
     UNION ALL SELECT p_type, min(p_partkey)*3+2 FROM part GROUP BY 1))"""
 CTE["vector_entity"] = """
-SELECT CASE WHEN fact_id%8<6 THEN 'tag' ELSE 'correspondent' END AS entity_type, fact_id+1 AS entity_id, 'n' || sha256(fact_id::VARCHAR) AS name, vector,
+SELECT CASE WHEN fact_id%8<6 THEN 'tag' ELSE 'correspondent' END AS entity_type, fact_id+1 AS entity_id, substring(sha256(fact_id::VARCHAR),1,12) AS name, vector,
   CASE WHEN fact_id%3=0 THEN 'text' END AS description, fact_id%2=0 AS embedding_stored FROM fact_vec"""
 CTE["similarity_link"] = """
 SELECT o_custkey AS a, floor(o_custkey*0.5 + o_orderkey%3)::BIGINT AS b FROM orders WHERE o_orderstatus='P'"""
