@@ -264,8 +264,9 @@ def reset_rejected(suggestions: DataFrame, tracking: DataFrame) -> tuple[DataFra
     )
 
 
-def reset_tracking(tracking: DataFrame) -> DataFrame:
-    return tracking.limit(0)
+def reset_tracking(tracking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An empty tracking table, and how many rows were cleared."""
+    return tracking.limit(0), tracking.agg(F.count(F.lit(1)).alias("cleared"))
 
 
 def reanalyze_swap(suggestions: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -428,10 +429,12 @@ def coerce_value(value: Column, data_type: Column) -> Column:
     text = F.trim(value)
     money = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
     number = text.try_cast("double")
-    truncated = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("string")
+    finite = F.abs(number) < 9e18  # false for infinities, NULL or false for what is not a number
+    truncated = F.when(finite & ~F.isnan(number), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
+    truncated = truncated.cast("string")
     truth = F.lower(value).isin("true", "1", "yes", "on").cast("string")
     return (
-        F.when(data_type == "monetary", F.coalesce(F.format_string("%.2f", F.when(money.isNotNull(), money)), value))
+        F.when(data_type == "monetary", F.coalesce(F.when(money.isNotNull(), F.format_string("%.2f", money)), value))
         .when(data_type == "integer", F.coalesce(truncated, value))
         .when(data_type == "float", F.coalesce(number.cast("string"), value))
         .when(data_type == "boolean", truth)

@@ -194,9 +194,9 @@ def reset_rejected(spark, sf):
     )
 
 
-@query("reset_tracking", with_("SELECT document_id FROM tracking WHERE false"))
+@query("reset_tracking", with_("SELECT count(*) AS cleared FROM tracking"))
 def reset_tracking(spark, sf):
-    return G.reset_tracking(D.tracking(spark, sf)).select("document_id")
+    return G.reset_tracking(D.tracking(spark, sf))[1]
 
 
 @query(
@@ -225,12 +225,16 @@ def reanalyze_swap(spark, sf):
             CASE WHEN max(cf) OVER d<>min(cf) OVER d THEN 'custom_fields' END) AS varying FROM (
           SELECT document_id, title, tg, co, dt, sp, cf, max_by(id, (created_at, id)) AS id, max(created_at) AS created_at, count(*) AS copies FROM (
             SELECT *, array_to_string(list_sort(tags),',') AS tg, coalesce(correspondent,'-') AS co, document_type AS dt, coalesce(storage_path,'-') AS sp,
-              cf_name || '=' || cf_value AS cf FROM suggestion WHERE status='pending') GROUP BY document_id, title, tg, co, dt, sp, cf)
+              CASE WHEN storage_path IS NULL THEN '-' ELSE cf_name END AS cf FROM suggestion WHERE status='pending') GROUP BY document_id, title, tg, co, dt, sp, cf)
         WINDOW d AS (PARTITION BY document_id)"""
     ),
 )
 def stack_suggestions(spark, sf):
     pending = D.suggestion(spark, sf).where(F.col("status") == "pending")
+    # Few distinct custom fields, so that identical suggestions occur.
+    name = F.get(F.map_keys("custom_fields"), F.lit(0))
+    few = F.when(F.col("storage_path").isNotNull(), F.create_map(name, F.lit("x")))
+    pending = pending.withColumn("custom_fields", few)
     return G.stack_suggestions(pending).select(
         "document_id", "id", D.stamp("created_at").alias("created_at"), "copies", F.array_join("varying", ",").alias("varying")
     )
