@@ -167,7 +167,8 @@ AUDIT = [
 
 def _field_changes(approved: DataFrame) -> DataFrame:
     """One row per edited field that differs from the suggested value, and per content write-back."""
-    changes = []
+    nothing = F.lit(None).cast("struct<field_name:string,previous_value:string,new_value:string>")
+    changes = [nothing]
     for field in _edits(approved.columns):
         edited = f"edit_{field}"
         differs = (

@@ -21,28 +21,27 @@ SIMILAR_CTES = dict(
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM (
         SELECT query_id, document_id, min(rank) AS rank, min_by(chunk_index, rank) AS chunk_index FROM near WHERE rank<=20 GROUP BY query_id, document_id))
       JOIN chunk_vec USING (document_id, chunk_index) WHERE n<=4""",
-    similar="""SELECT DISTINCT query_id AS document_id, kind, name FROM (
+    similar_name="""SELECT DISTINCT query_id AS document_id, kind, name FROM (
       SELECT query_id, unnest(tags) AS name, 'tag' AS kind FROM near_docs UNION ALL SELECT query_id, correspondent, 'correspondent' FROM near_docs
       UNION ALL SELECT query_id, document_type, 'document_type' FROM near_docs UNION ALL SELECT query_id, cf_batch, 'field:batch' FROM near_docs)
       WHERE trim(name)<>''""",
     lists="""SELECT entity_type AS kind, list(name ORDER BY entity_id) AS names FROM scan_name GROUP BY entity_type""",
-    shortlist="""SELECT c.document_id, passage, c.tags, c.correspondent, c.document_type, c.cf_batch, passage<>'' AS near_used,
-      l_tag, l_correspondent, l_document_type, fields FROM chunk_vec c LEFT JOIN (
-      SELECT d.document_id, {tag} AS l_tag, {correspondent} AS l_correspondent, {document_type} AS l_document_type,
-        (SELECT array_to_string(list(name ORDER BY name), ', ') FROM similar s WHERE s.document_id=d.document_id AND kind='field:batch') AS fields
-      FROM (SELECT document_id, passage FROM chunk_vec WHERE chunk_index=0) d) l USING (document_id) WHERE c.chunk_index=0""",
+    known="""SELECT document_id, kind, list(name ORDER BY name) AS names FROM similar_name GROUP BY document_id, kind""",
+    shortlist_base="""SELECT c.document_id, passage, c.tags, c.correspondent, c.document_type, c.cf_batch,
+      {near}, {all}, array_to_string((SELECT names FROM known k WHERE k.document_id=c.document_id AND k.kind='field:batch'), ', ') AS fields
+      FROM chunk_vec c WHERE c.chunk_index=0""".format(
+        near=", ".join(f"coalesce((SELECT names FROM known k WHERE k.document_id=c.document_id AND k.kind='{k}'), []) AS n_{k}" for k in A.KINDS),
+        all=", ".join(f"coalesce((SELECT names FROM lists WHERE kind='{k}'), []) AS a_{k}" for k in A.KINDS),
+    ),
+    shortlist="""SELECT *, passage<>'' AS near_used, {lists} FROM shortlist_base""".format(
+        lists=", ".join(
+            f"CASE WHEN passage='' THEN a_{k} ELSE list_concat(n_{k}, list_filter(a_{k}[1:6], lambda n: NOT list_contains(n_{k}, n))) END AS l_{k}"
+            for k in A.KINDS
+        )
+    ),
 )
 
 
-def _list_sql(kind: str) -> str:
-    names = f"coalesce((SELECT names FROM lists WHERE kind='{kind}'), [])"
-    near = f"coalesce((SELECT list(name ORDER BY name) FROM similar s WHERE s.document_id=d.document_id AND kind='{kind}'), [])"
-    return f"""CASE WHEN d.passage='' THEN {names} ELSE list_concat({near}, list_filter(({names})[1:6], lambda n: NOT list_contains({near}, n))) END"""
-
-
-SIMILAR_CTES["shortlist"] = SIMILAR_CTES["shortlist"].format(**{k: _list_sql(k) for k in A.KINDS})
-
-
 def shortlist(spark, sf):
     chunks = D.chunk_vec(spark, sf)
     docs = chunks.where(F.col("chunk_index") == 0).select(
@@ -223,10 +222,12 @@ def build_suggestion(spark, sf):
 @query(
     "creation_policy",
     with_(
-        """SELECT id, array_to_string(list_filter(tags, lambda t: list_contains((SELECT list(lower(name)) FROM entity WHERE entity_type='tag' AND name<>''), lower(t))), ',') AS tags,
+        """SELECT id, coalesce((SELECT array_to_string(list(tag ORDER BY pos), ',') FROM kept_tag k WHERE k.id=suggestion.id), '') AS tags,
         CASE WHEN lower(correspondent) IN (SELECT lower(name) FROM entity WHERE entity_type='correspondent') THEN correspondent END AS correspondent,
         document_type, CASE WHEN lower(storage_path) IN (SELECT lower(name) FROM entity WHERE entity_type='storage_path') THEN storage_path END AS storage_path
-        FROM suggestion"""
+        FROM suggestion""",
+        kept_tag="""SELECT id, tag, pos FROM (SELECT id, unnest(tags) AS tag, generate_subscripts(tags,1) AS pos FROM suggestion)
+          WHERE lower(tag) IN (SELECT lower(name) FROM entity WHERE entity_type='tag' AND name<>'')""",
     ),
 )
 def creation_policy(spark, sf):

@@ -1,0 +1,76 @@
+"""Streaming forms of the request limits, with one small state value per key."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from foliant.operators.limits import token_step, window_step
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Limiter(StatefulProcessor):
+    """Replays the events of a key in time order from the stored state."""
+
+    state_schema = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.state_schema)
+
+    def step(self, state, us):
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        state = self.state.get() if self.state.exists() else None
+        out = []
+        for us, event in zip(frame["us"], frame["event_id"]):
+            state, *result = self.step(state, int(us))
+            out.append((key[0], event, *result))
+        self.state.update(state)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class TokenBucket(_Limiter):
+    state_schema = "tokens double, since long"
+    columns = ["key", "event_id", "allowed", "retry_after"]
+
+    def __init__(self, max_requests: int, window_seconds: float):
+        self.capacity, self.rate = max_requests, max_requests / window_seconds
+
+    def step(self, state, us):
+        return token_step(tuple(state) if state is not None else None, us, self.capacity, self.rate)
+
+
+class FixedWindow(_Limiter):
+    state_schema = "count long, opened long"
+    columns = ["key", "event_id", "allowed"]
+
+    def __init__(self, limit: int, seconds: float):
+        self.limit, self.seconds = limit, seconds
+
+    def step(self, state, us):
+        return window_step(tuple(state) if state is not None else None, us, self.limit, self.seconds)
+
+
+def token_bucket_stream(events: DataFrame, max_requests: int, window_seconds: float) -> DataFrame:
+    """Events (key, event_id, us) to decisions. Needs the RocksDB state store."""
+    return events.groupBy("key").transformWithStateInPandas(
+        TokenBucket(max_requests, window_seconds),
+        "key long, event_id long, allowed boolean, retry_after long",
+        "append",
+        "none",
+    )
+
+
+def fixed_window_stream(events: DataFrame, limit: int, seconds: float) -> DataFrame:
+    return events.groupBy("key").transformWithStateInPandas(
+        FixedWindow(limit, seconds), "key long, event_id long, allowed boolean", "append", "none"
+    )
