@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: white space as a Unicode-aware pattern class, with the four
-# ASCII separators that count as space in the reference semantics.
-SPACE = r"[\s\x1C-\x1F]"
-SENTENCE_GAP = rf"(?U)(?<=[.!?]){SPACE}+"
+# Fixed value: the characters that count as white space. Written out because an
+# explicit class is many times faster than a Unicode-aware \s.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = r"[\t-\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SENTENCE_GAP = rf"(?<=[.!?]){SPACE}+"
 
 
 def strip(text: Column | str) -> Column:
     """Remove leading and trailing Unicode white space."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def blank(text: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from foliant.functions import text as X
 from foliant.functions.plugins import CompleterFactory, EmbedderFactory
+from foliant.session import spread
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 
@@ -36,7 +37,7 @@ def chunk(
             *keep, column, F.size("_starts").alias("_total"), F.posexplode("_starts").alias("_pos", "_item")
         ).withColumn("passage", F.substring(F.col(column), F.col("_item") + 1, F.lit(size)))
     else:
-        parts = docs.withColumn("_parts", X.sentence_chunks(F.col(column), size, overlap))
+        parts = spread(docs).withColumn("_parts", X.sentence_chunks(F.col(column), size, overlap))
         rows = parts.select(
             *keep, F.size("_parts").alias("_total"), F.posexplode("_parts").alias("_pos", "passage")
         )
@@ -110,9 +111,9 @@ def split_failed(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def sparse_terms(rows: DataFrame, keys: list[str], column: str = "passage") -> DataFrame:
     """(keys, term, tf): lower-cased white-space tokens with counts."""
-    tokens = F.split(F.lower(X.strip(column)), rf"(?U){X.SPACE}+")
+    tokens = F.split(F.lower(X.strip(column)), rf"{X.SPACE}+")
     return (
-        rows.select(*keys, F.explode(tokens).alias("term"))
+        spread(rows.select(*keys, column)).select(*keys, F.explode(tokens).alias("term"))
         .where(F.col("term") != "")
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("tf"))

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.functions.plugins import ScorerFactory
 from foliant.functions.ranking import salted_top_n
-from foliant.functions.vectors import AtLeast, TopN, cosine, on_grid, score_blocks, unit_score
+from foliant.functions.vectors import AtLeast, TopN, cosine, on_grid, score_blocks, score_within, unit_score
+from foliant.session import cut
 
 OVERFETCH = 5
 POINT = ("document_id", "chunk_index")
@@ -357,9 +358,8 @@ def train_cells(chunks: DataFrame, cells: int, seed: int = 7, sample: int = 200_
 
     total = chunks.count()
     share = min(1.0, sample / max(total, 1))
-    unit = chunks.where(F.col("vector").isNotNull()).sample(share, seed=seed).select(
-        array_to_vector(_unit("vector")).alias("features")
-    )
+    unit = chunks.where(F.col("vector").isNotNull()).sample(share, seed=seed).select(_unit("vector").alias("unit"))
+    unit = cut(unit).select(array_to_vector("unit").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, featuresCol="features").fit(unit)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return chunks.sparkSession.createDataFrame(rows, "cell long, vector array<double>")
@@ -396,27 +396,18 @@ def assign_cells(points: DataFrame, cells: DataFrame, keys: tuple[str, ...], pro
     return chosen.mapInArrow(task, schema)
 
 
-def cell_nearest(
-    chunks: DataFrame, queries: DataFrame, cells: DataFrame, n: int, probes: int = 4, salts: int = 8
-) -> DataFrame:
-    """Approximate top-n through an inverted cell index, rescored exactly.
+def cell_nearest(chunks: DataFrame, queries: DataFrame, cells: DataFrame, n: int, probes: int = 4) -> DataFrame:
+    """Approximate top-n through an inverted cell index; scores are exact.
 
     Queries meet chunks by an equi-join on the cell, so the cost grows with
-    probes / cells of the table. Cells are salted by chunk: a cell that holds
-    many copies is spread over several tasks.
+    probes / cells of the table. Inside a cell, packed chunk blocks are
+    multiplied with the cell's queries; a cell that holds many copies has many
+    blocks, which are salted over the tasks.
     """
     points = chunks.where(F.col("vector").isNotNull())
-    home = assign_cells(points, cells, POINT).withColumn(
-        "_salt", F.pmod(F.xxhash64(*POINT), F.lit(salts)).cast("int")
-    )
-    probe = (
-        assign_cells(queries, cells, ("query_id",), probes)
-        .withColumnRenamed("vector", "_q")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    scored = home.join(probe, ["cell", "_salt"]).select(
-        "query_id", *POINT, on_grid(cosine("vector", "_q")).alias("cosine")
-    )
+    home = assign_cells(points, cells, POINT).withColumnRenamed("cell", "block")
+    probe = assign_cells(queries, cells, ("query_id",), probes).withColumnRenamed("cell", "block")
+    scored = score_within(home, probe, TopN(n), POINT, ("query_id",))
     order = [F.desc("cosine"), *[F.col(k) for k in POINT]]
     return (
         salted_top_n(scored, ["query_id"], order, n, POINT)

@@ -389,7 +389,8 @@ def scan_candidates(
             "replacement_score": F.round("replacement_score", 4),
         }
     )
-    return mark_skipped(rounded, dismissals, pending)
+    # The result is small and read several times (cap, grouping, summary).
+    return cut(mark_skipped(rounded, dismissals, pending))
 
 
 def kept(candidates: DataFrame) -> DataFrame:

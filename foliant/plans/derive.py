@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from foliant.session import spread
+
 INBOX, QUALITY, TOXIC, BLANK = 100, 101, 102, 103
 
 
@@ -39,9 +41,10 @@ def document(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with tag ids, single-valued ids (some unset or unknown) and custom fields."""
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels")
+    spread_docs = spread(docs)
     first = docs.groupBy("source").agg((F.min("doc_id") + 1).alias("correspondent_id"))
     types = docs.groupBy("lang").agg((F.min("doc_id") + 1).alias("document_type_id"))
-    d = docs.join(labels, "doc_id", "left").join(first, "source").join(types, "lang")
+    d = spread_docs.join(labels, "doc_id", "left").join(first, "source").join(types, "lang")
     tag = lambda test, tid: F.when(test, F.lit(tid).cast("long"))
     document_id = F.col("doc_id") + 1
     created = ntz("2024-01-01 00:00:00") + hours(F.col("doc_id") % 8760)

@@ -323,10 +323,8 @@ def scan_suggestions(spark, sf):
     ),
 )
 def scan_summary(spark, sf):
-    from foliant.session import cut
-
     s = Stages(spark, sf)
-    candidates = cut(s.candidates())
+    candidates = s.candidates()
     return S.scan_summary(candidates, s.applied(candidates), WIDE.max_suggestions)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import cosine
@@ -9,7 +11,8 @@ from foliant.operators import chunking, retrieval
 from foliant.plans import derive as D
 from foliant.plans.derive_sql import with_
 from foliant.plans.registry import query
-from foliant.plans.text_queries import HASH_SQL, HashEmbedder  # noqa: F401
+from foliant.plans.text_queries import HASH_SQL
+from foliant.session import ensure_checkpoint_dir, spread
 
 SCORED = """
 SELECT query_id, document_id, chunk_index, tag_ids, correspondent, document_type,
@@ -118,7 +121,7 @@ def text_search(spark, sf):
     """Whole text path: chunk all documents, hash-embed, search with every benchmark text."""
     from foliant.functions.text import hash_embedding
 
-    docs = D.table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("document_id"), F.col("text").alias("content"))
+    docs = spread(D.table(spark, sf, "documents")).select((F.col("doc_id") + 1).alias("document_id"), F.col("text").alias("content"))
     chunks = chunking.chunk(docs).withColumn("vector", hash_embedding(F.col("passage")))
     queries = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), hash_embedding(F.col("text")).alias("vector"))
     docs = retrieval.group_documents(retrieval.nearest(chunks, queries, 25), 5)
@@ -190,7 +193,10 @@ def sparse_inputs(spark, sf):
     )
     asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    return chunking.sparse_terms(docs, list(retrieval.POINT)), chunking.sparse_terms(asked, ["query_id"]), total
+    # The term table of an index is stored when the chunks are, not rebuilt per search.
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    chunking.sparse_terms(docs, list(retrieval.POINT)).write.parquet(path)
+    return spark.read.parquet(path), chunking.sparse_terms(asked, ["query_id"]), total
 
 
 @query(
@@ -222,7 +228,7 @@ def hybrid(spark, sf):
     from foliant.functions.text import hash_embedding
 
     terms, asked, total = sparse_inputs(spark, sf)
-    docs = D.table(spark, sf, "documents").select(
+    docs = spread(D.table(spark, sf, "documents")).select(
         (F.col("doc_id") + 1).alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), hash_embedding(F.col("text")).alias("vector")
     )
     items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), hash_embedding(F.col("text")).alias("vector"))
@@ -293,7 +299,7 @@ def rerank(spark, sf):
     hits = retrieval.with_payload(retrieval.nearest(chunks, queries, 20), chunks, "passage")
     asked = queries.select("query_id", F.concat(F.lit("question "), "query_id").alias("query_text"))
     scored = retrieval.rerank(hits, asked, LengthScorer)
-    docs = retrieval.group_documents(retrieval.apply_rerank(hits.drop("passage"), scored), 5)
+    docs = retrieval.group_documents(scored, 5)
     return docs.select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -64,3 +64,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartitions an input too small to occupy all cores, ahead of CPU-heavy expressions.
+
+    Decided from the planner's size estimate, without running anything: below
+    one split per core a scan leaves cores idle, and moving so little data is
+    cheap. A large input already has more splits than cores and is left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("bB") or 0)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < size < cores * split else df

@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_body(body: Column) -> tuple[Column, Column]:
-    """(document_id, reason): the id a payload names, or why there is none.
+def webhook_events(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """Adds ``document_id`` and ``reason``; rows with a reason belong in quarantine.
 
     The body may be an object, or a JSON string holding one. ``document_id``
     or ``id`` is taken first (a zero counts as missing), then the number in
-    ``doc_url``.
+    ``doc_url``. Steps are separate columns, so each text is parsed once.
     """
-    outer = F.try_parse_json(body)
-    inner_text = F.try_variant_get(outer, "$", "string")
-    is_string = F.schema_of_variant(outer) == "STRING"
-    text = F.when(is_string, inner_text).otherwise(body)
-    value = F.try_parse_json(text)
-    kind = F.schema_of_variant(value)
-    is_object = F.startswith(kind, F.lit("OBJECT"))
-    number = lambda path: F.nullif(F.trim(F.get_json_object(text, path)).try_cast("bigint"), F.lit(0).cast("bigint"))
-    in_url = F.regexp_extract(F.get_json_object(text, "$.doc_url"), r"/documents/(\d+)", 1).try_cast("bigint")
-    named = F.coalesce(number("$.document_id"), number("$.id"))
-    document_id = F.when(is_object, F.coalesce(named, F.nullif(in_url, F.lit(0).cast("bigint"))))
+    zero = F.lit(0).cast("bigint")
+    number = lambda name: F.nullif(F.trim(F.col(f"_f.{name}")).try_cast("bigint"), zero)
+    in_url = F.regexp_extract("_f.doc_url", r"/documents/(\d+)", 1).try_cast("bigint")
+    is_object = F.startswith("_kind", F.lit("OBJECT"))
+    document_id = F.coalesce(number("document_id"), number("id"), F.nullif(in_url, zero))
     reason = (
-        F.when(value.isNull(), "invalid_json")
+        F.when(F.col("_kind").isNull(), "invalid_json")
         .when(~is_object, "unexpected_type")
-        .when(document_id.isNull(), "no_document_id")
+        .when(F.col("document_id").isNull(), "no_document_id")
+    )
+    # Only a body that starts with a quote can be a doubly encoded one.
+    quoted = F.startswith(F.ltrim(column), F.lit('"'))
+    inner = F.try_variant_get(F.try_parse_json(F.col(column)), "$", "string")
+    return (
+        bodies.withColumn("_text", F.when(quoted, inner).otherwise(F.col(column)))
+        .withColumn("_kind", F.schema_of_variant(F.try_parse_json("_text")))
+        .withColumn("_f", F.when(is_object, F.from_json("_text", "document_id string, id string, doc_url string")))
+        .withColumn("document_id", document_id)
+        .withColumn("reason", reason)
+        .drop("_text", "_kind", "_f")
     )
-    return document_id, reason
-
-
-def webhook_events(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Adds ``document_id`` and ``reason``; rows with a reason belong in quarantine."""
-    document_id, reason = parse_body(F.col(column))
-    return bodies.withColumns({"document_id": document_id, "reason": reason})
 
 
 def form_events(forms: DataFrame) -> DataFrame:
