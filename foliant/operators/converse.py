@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.functions.graph import connected_components
-from foliant.functions.ranking import salted_top_n
-from foliant.functions.vectors import AtLeast, TopN, score_blocks
+from foliant.functions.ranking import blocked_row_number, id_blocks, salted_top_n
+from foliant.functions.vectors import Linked, TopN, score_blocks
 from foliant.operators.retrieval import POINT, nearest, with_payload
 from foliant.session import cut
 
@@ -81,8 +83,9 @@ def persist_turns(turns: DataFrame, exchanges: DataFrame) -> DataFrame:
     without turns starts at 0.
     """
     last = turns.groupBy("session_id").agg(F.max("turn_no").alias("_last"))
-    window = Window.partitionBy("session_id").orderBy("exchange_no")
-    rows = exchanges.join(last, "session_id", "left").withColumn("_k", F.row_number().over(window))
+    coarse, fine = id_blocks("exchange_no")
+    numbered = blocked_row_number(exchanges, ["session_id"], coarse, fine, [F.col("exchange_no")], "_k")
+    rows = numbered.join(last, "session_id", "left")
     base = F.coalesce("_last", F.lit(-1)) + 2 * (F.col("_k") - 1)
     say = lambda role, text, n: F.struct(
         (base + n).cast("long").alias("turn_no"), F.lit(role).alias("role"), F.col(text).alias("content")
@@ -293,6 +296,60 @@ def _upsert_component(batches: Iterator[pd.DataFrame], threshold: float) -> Iter
         yield pd.DataFrame(part, columns=["memory_id", "text", "vector", "facts"])
 
 
+PIVOTS = 512
+
+
+def similar_groups(items: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, component) of items linked, directly or through others, by cosine >= threshold.
+
+    Items without a link are left out. Copies and near copies must not
+    multiply into pairs: equal vectors are represented by their smallest id,
+    and vectors within half the threshold angle of a pivot share its label,
+    since any two of them are then within the threshold. Only one link per two
+    labels is reported. The pivots are a bounded choice of vectors; every item
+    keeps its own label where no pivot is that near.
+    """
+    distinct = cut(items.groupBy("vector").agg(F.min("item_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    chosen = distinct.orderBy(F.xxhash64("rep")).limit(PIVOTS).select("rep", "vector").toArrow()
+    ids = chosen.column("rep").to_numpy()
+    pivots = np.array(chosen.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-30)
+    half = math.cos(math.acos(threshold) / 2) + 1e-9
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+            matrix = flat.reshape(batch.num_rows, -1)
+            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
+            near = matrix @ pivots.T
+            best = near.argmax(axis=1)
+            own = batch.column("rep").to_numpy()
+            labels = np.where(near[np.arange(len(own)), best] >= half, ids[best], own)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vector"), pa.array(labels)], names=["rep", "vector", "label"])
+
+    labelled = cut(distinct.select("rep", "vector").mapInArrow(label, "rep long, vector array<double>, label long"))
+    links = score_blocks(
+        labelled.select("label", "vector"),
+        labelled.select(F.col("label").alias("other"), "vector"),
+        Linked(threshold),
+        point_keys=("label",),
+        query_keys=("other",),
+    )
+    shared = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
+    copied = distinct.where("copies > 1").select("rep").join(labelled.select("rep", "label"), "rep").select("label")
+    alone = shared.unionByName(copied).select(F.col("label").alias("a"), F.col("label").alias("b"))
+    edges = links.select(F.col("label").alias("a"), F.col("other").alias("b")).unionByName(alone)
+    parts = connected_components(edges)
+    return (
+        items.join(distinct.select("vector", "rep"), "vector")
+        .join(labelled.select("rep", "label"), "rep")
+        .join(parts.select(F.col("id").alias("label"), "component"), "label")
+        .select("item_id", "component")
+    )
+
+
 def upsert_memories(memories: DataFrame, facts: DataFrame, threshold: float = MEMORY_DEDUP) -> DataFrame:
     """(memory_id, text, vector, facts): the memories after facts arrive in ``fact_id`` order.
 
@@ -308,15 +365,8 @@ def upsert_memories(memories: DataFrame, facts: DataFrame, threshold: float = ME
             facts.select(F.lit(1).alias("kind"), (-F.col("fact_id") - 1).alias("item_id"), F.col("fact_id").alias("ord"), "text", F.col("vector").cast("array<double>").alias("vector"))
         )
     )
-    near = score_blocks(
-        items.select("item_id", "vector"),
-        items.where(F.col("kind") == 1).select(F.col("item_id").alias("fact"), "vector"),
-        AtLeast(threshold),
-        point_keys=("item_id",),
-        query_keys=("fact",),
-    ).where(F.col("fact") != F.col("item_id"))
-    parts = connected_components(near.select(F.col("fact").alias("a"), F.col("item_id").alias("b")))
-    placed = cut(items.join(parts.select(F.col("id").alias("item_id"), "component"), "item_id", "left"))
+    parts = similar_groups(items.select("item_id", "vector"), threshold)
+    placed = cut(items.join(parts, "item_id", "left"))
     alone = placed.where(F.col("component").isNull()).select(
         F.col("item_id").alias("memory_id"), "text", "vector", F.col("kind").cast("long").alias("facts")
     )

@@ -547,9 +547,8 @@ def scan_summary(candidates: DataFrame, applied: DataFrame, max_documents: int)
             F.count_distinct(F.when(F.col("skipped").isNull(), F.col("document_id"))) - max_documents, F.lit(0)
         ).cast("long").alias("capped"),
     )
-    # Both sides are single rows; the constant key joins them.
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    return one(done).join(one(skipped), "_k").drop("_k")
+    both = done.unionByName(skipped, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def stamp_scanned(state: DataFrame, entity_types: list[str], at: Column) -> DataFrame:

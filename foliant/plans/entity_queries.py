@@ -153,7 +153,8 @@ WHERE entity_type='correspondent' AND entity_id%2=0"""
 
 def tag_mapping(spark, sf):
     tags = D.entity(spark, sf).where((F.col("entity_type") == "tag") & (F.col("entity_id") > D.QUALITY))
-    return tags.select(F.col("entity_id").alias("remove_id"), F.lit(D.QUALITY).cast("long").alias("keep_id"))
+    tags_kept = D.entity(spark, sf).where(F.col("name") == "quality").agg(F.min("entity_id"))
+    return tags.select(F.col("entity_id").alias("remove_id"), tags_kept.scalar().alias("keep_id"))
 
 
 def source_mapping(spark, sf):
