@@ -7,6 +7,7 @@ plan, and every step can be repeated after a failure.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,30 @@ def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
-def write_version(df: DataFrame, path: str) -> int:
-    """Full rewrite into a new version; readers switch when its commit marker appears."""
+def write_version(df: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """Full rewrite into a new version; readers switch when its commit marker appears.
+
+    ``buckets`` is the unit of later upserts and is fixed per version (kept in
+    the name of a marker file). Choose it so that a bucket is about a gigabyte.
+    """
     spark = df.sparkSession
     found = versions(spark, path)
     version = found[-1] + 1 if found else 1
-    _bucketed(df).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={version}")
+    fs, root = _files(spark, f"{path}/v={version}")
+    if fs.exists(root):  # left over from a write that never committed
+        fs.delete(root, True)
+    fs.mkdirs(root)
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, f"_buckets.{buckets}")).close()
+    _bucketed(df, buckets).write.mode("append").partitionBy("bucket").parquet(f"{path}/v={version}")
     return version
 
 
+def _bucket_count(spark: SparkSession, table: str) -> int:
+    fs, root = _files(spark, table)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return next((int(n.split(".")[1]) for n in names if n.startswith("_buckets.")), BUCKETS)
+
+
 def _bucketed(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Rows with their bucket, gathered by bucket and spread by chunk so that one document cannot fill a task."""
     spread = F.pmod(F.xxhash64("chunk_index"), F.lit(8)) if "chunk_index" in df.columns else F.lit(0)
@@ -79,12 +95,13 @@ def upsert_buckets(spark: SparkSession, path: str, new: DataFrame, touched: Data
     """
     version = versions(spark, path)[-1]
     table = f"{path}/v={version}"
-    # At most BUCKETS values, whatever the number of documents.
-    hit = [r[0] for r in touched.select(bucket()).distinct().collect()]
+    buckets = _bucket_count(spark, table)
+    # At most one value per bucket, whatever the number of documents.
+    hit = [r[0] for r in touched.select(bucket(buckets=buckets)).distinct().collect()]
     if not hit:
         return
     current = spark.read.parquet(table).where(F.col("bucket").isin(hit)).drop("bucket")
-    merged = _bucketed(upsert(current, new, touched))
+    merged = _bucketed(upsert(current, new, touched), buckets)
     merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
     staged = spark.read.schema(merged.schema).parquet(staging)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
@@ -117,6 +134,32 @@ def compact(spark: SparkSession, log_path: str, out_path: str, keys: Sequence[st
     current(spark.read.parquet(log_path), keys, version).write.mode("overwrite").parquet(out_path)
 
 
+# --- day partitions ------------------------------------------------------------------------------
+
+
+def append_days(df: DataFrame, path: str, column: str = "changed_at") -> None:
+    """Appends rows to a table partitioned by the day of ``column``."""
+    df.withColumn("day", F.to_date(column)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def drop_before(spark: SparkSession, path: str, cutoff: datetime, staging: str, column: str = "changed_at") -> None:
+    """Removes rows strictly older than ``cutoff``: whole days by deleting their directories.
+
+    Only the day of the cutoff is rewritten, through ``staging``.
+    """
+    fs, root = _files(spark, path)
+    edge = cutoff.date().isoformat()
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("day=") and name[4:] < edge:
+            fs.delete(status.getPath(), True)
+    boundary = f"{path}/day={edge}"
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(boundary)):
+        return
+    spark.read.parquet(boundary).where(F.col(column) >= F.lit(cutoff)).write.mode("overwrite").parquet(staging)
+    spark.read.parquet(staging).write.mode("overwrite").parquet(boundary)
+
+
 # --- migration -----------------------------------------------------------------------------------------
 
 
