@@ -34,20 +34,28 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError("need size >= 1 and 0 <= overlap < size")
 
 
-def char_starts(length: Column, size: int, overlap: int) -> Column:
-    """0-based chunk starts of a text of ``length`` characters (empty for length 0)."""
-    return (
-        F.when(length == 0, F.array().cast("array<int>"))
-        .when(length <= size, F.array(F.lit(0)))
-        .otherwise(F.sequence(F.lit(0), length - 1, F.lit(size - overlap)))
-    )
-
-
 def char_chunks(text: Column, size: int, overlap: int) -> Column:
-    """Array of overlapping character chunks."""
+    """Array of overlapping character chunks; a text of at most ``size`` is one chunk, '' is none.
+
+    The text is cut once into pieces of ``size - overlap`` characters and a
+    chunk is glued from the pieces it spans. Taking substrings at growing
+    offsets would read a long text once per chunk.
+    """
     check_window(size, overlap)
-    return F.transform(
-        char_starts(F.length(text), size, overlap), lambda s: F.substring(text, s + 1, F.lit(size))
+    step = size - overlap
+    span = -(-size // step)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def glue(all_pieces: Column) -> Column:
+        joined = lambda i: F.array_join(F.slice(all_pieces, i + 1, F.lit(span)), "")
+        return F.transform(all_pieces, lambda _, i: F.substring(joined(i), 1, size))
+
+    # Through a one-element array, so that the pieces are found once per text.
+    chunks = F.get(F.transform(F.array(pieces), glue), F.lit(0))
+    return (
+        F.when(F.length(text) == 0, F.array().cast("array<string>"))
+        .when(F.length(text) <= size, F.array(text))
+        .otherwise(chunks)
     )
 
 

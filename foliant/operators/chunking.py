@@ -29,18 +29,21 @@ def chunk(
     shuffle, and every expression stays in the JVM.
     """
     keep = [c for c in docs.columns if c != column]
-    if strategy != "sentence":
-        # Explode starts, not texts, so that a text is held once per row.
-        X.check_window(size, overlap)
-        starts = docs.withColumn("_starts", X.char_starts(F.length(column), size, overlap))
-        rows = starts.select(
-            *keep, column, F.size("_starts").alias("_total"), F.posexplode("_starts").alias("_pos", "_item")
-        ).withColumn("passage", F.substring(F.col(column), F.col("_item") + 1, F.lit(size)))
-    else:
-        parts = spread(docs).withColumn("_parts", X.sentence_chunks(F.col(column), size, overlap))
-        rows = parts.select(
-            *keep, F.size("_parts").alias("_total"), F.posexplode("_parts").alias("_pos", "passage")
-        )
+    split = X.sentence_chunks if strategy == "sentence" else X.char_chunks
+    wide = spread(docs) if strategy == "sentence" else docs
+    # The text itself is not carried through the explode, only its chunks; and
+    # the chunk array is used once, so that it is built once.
+    numbered = F.get(
+        F.transform(
+            F.array(split(F.col(column), size, overlap)),
+            lambda parts: F.transform(
+                parts,
+                lambda part, i: F.struct(i.alias("_pos"), F.size(parts).alias("_total"), part.alias("passage")),
+            ),
+        ),
+        F.lit(0),
+    )
+    rows = wide.select(*keep, F.explode(numbered).alias("_c")).select(*keep, "_c.*")
     return rows.select(
         *keep,
         F.col("_pos").cast("long").alias("chunk_index"),
