@@ -499,7 +499,7 @@ def apply_actions(candidates: DataFrame, docs: DataFrame, names: DataFrame) -> D
         last = F.try_element_at(named, F.lit(-1))
         return F.coalesce(last["new_name"], F.col(f"_{kind}"))
 
-    added = F.array_distinct(F.concat(F.col("base_tags"), picked("add")))
+    added = F.concat(F.col("base_tags"), F.array_distinct(picked("add")))
     return grouped.select(
         "document_id",
         "title",
