@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import toxicity
+from foliant.llm import near_dup, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -16,8 +16,14 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf, "labels"))
     scored = toxicity.with_scores(doc_rows(docs, "doc_id", "text"), model)
     return scored.select(
-        "doc_id",
-        (fold_of("doc_id") == 0).alias("held_out"),
+        "row.doc_id",
+        (fold_of("row.doc_id") == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_dup.near_components(table(spark, sf, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -10,7 +10,7 @@ the language.
 
 Defined results: a null or empty text has no words and gets the score of all-zero
 responses; repeated rows get the same score each; without labelled rows of both classes
-every score is the neutral 0.25; extra columns are kept by ``with_scores``.
+every score is the neutral 0.25; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliant.llm.common import doc_rows, fold_of
 from foliant.llm.words import batches, mix, word_hashes
@@ -215,19 +216,18 @@ def score_texts(model: Model | None, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-(pooled @ model.out + model.bias).astype(np.float64)))
 
 
-def with_scores(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1 (an input column of that name is replaced)."""
+def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(row, score): each row of ``docs`` as a struct, so that no column can clash, and its score from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != column]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = docs.schema.add(column, "double", False)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, "text", 2 << 20):
-            scores = score_texts(shared.value, batch.column(batch.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, column])
+            scores = score_texts(shared.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, false_rate: float = 0.01) -> dict[str, float]:
@@ -238,7 +238,7 @@ def thresholds(scored: DataFrame, labels: DataFrame, false_rate: float = 0.01) -
     """
     marks = doc_rows(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = (
-        scored.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.floor(F.col("score") * 100).cast("int").alias("step"))
+        scored.select("row.doc_id", F.coalesce(F.col("row.lang"), F.lit("")).alias("lang"), F.floor(F.col("score") * 100).cast("int").alias("step"))
         .where(fold_of("doc_id") != 0)
         .join(marks, "doc_id")
         .where(F.col("toxic") == 0)
@@ -267,6 +267,5 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bars = thresholds(with_scores(known, model), labels)
     bar = F.lit(0.5)
     for lang, value in sorted(bars.items()):
-        bar = F.when(F.coalesce(F.col("lang"), F.lit("")) == lang, F.lit(value)).otherwise(bar)
-    name = "_toxicity"
-    return with_scores(docs, model, name).where(F.col(name) < bar).drop(name)
+        bar = F.when(F.coalesce(F.col("row.lang"), F.lit("")) == lang, F.lit(value)).otherwise(bar)
+    return with_scores(docs, model).where(F.col("score") < bar).select("row.*")
