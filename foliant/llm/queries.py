@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import near_dup, toxicity
+from foliant.llm import line_dedup, near_dup, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -27,3 +27,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = near_dup.near_components(table(spark, sf, "documents"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = doc_rows(table(spark, sf, "documents"), "doc_id", "text")
+    return line_dedup.drop_recurring(docs, "dropped_lines")
