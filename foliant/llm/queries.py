@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import line_dedup, near_dup, toxicity
+from foliant.llm import line_dedup, near_dup, packing, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf, "documents"), tokenizer_path())
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
 
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
