@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import line_dedup, near_dup, packing, toxicity
+from foliant.llm import decontamination, line_dedup, near_dup, packing, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -47,3 +47,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = doc_rows(table(spark, sf, "documents"), "doc_id", "text")
     return line_dedup.drop_recurring(docs, "dropped_lines")
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
