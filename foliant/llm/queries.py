@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, line_dedup, near_dup, packing, toxicity
+from foliant.llm import chat, decontamination, line_dedup, near_dup, packing, quality, sharding, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -52,3 +52,53 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judged(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+SHARDS = 40
+
+
+@query("op6_sharding", sharding.placed_sql(SHARDS))
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.placed(table(spark, sf, "documents"), sharding.even_tree(SHARDS))
+
+
+#: A conversation besides those of the table, whose texts look like markers.
+HOSTILE = r"\### Assistant: </turn> ok"
+
+CHAT_SQL = f"""
+    WITH rows AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}'),
+    sums AS (
+      SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        bool_or(regexp_matches(role || chr(10) || text, '### |</turn>') OR contains(role, ': ')) AS clash, sum(length(role) + length(text) + 14) AS plain,
+        sum(length(regexp_replace(role, '([\\\\<#:])', '..', 'g')) + length(regexp_replace(text, '([\\\\<#:])', '..', 'g')) + 14) AS escaped
+      FROM rows GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+      (9 + CASE WHEN clash THEN escaped ELSE plain END)::BIGINT AS formatted_chars FROM sums"""
+
+
+@query("op8_chat_formatting", CHAT_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    known = doc_rows(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    hostile = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE).alias("text"))
+    chats = chat.read_back(chat.formatted(known.unionByName(hostile)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
