@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontamination, line_dedup, near_dup, packing, quality, sharding, toxicity
+from foliant.llm import chat, decontamination, line_dedup, near_dup, packing, quality, sharding, surrogates, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -102,3 +102,13 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+#: Keys the surrogates of the registered query; a real job passes its own.
+SECRET = "query"
+
+
+@query("op10_pii_surrogates")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = doc_rows(table(spark, sf, "documents"), "doc_id", "text")
+    return surrogates.replaced(docs, SECRET, "kinds")
