@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontamination, line_dedup, near_dup, packing, quality, sharding, surrogates, toxicity
+from foliant.llm import chat, decontamination, licenses, line_dedup, near_dup, packing, quality, sharding, surrogates, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -112,3 +112,9 @@ SECRET = "query"
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = doc_rows(table(spark, sf, "documents"), "doc_id", "text")
     return surrogates.replaced(docs, SECRET, "kinds")
+
+
+@query("op3_license_scans")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return licenses.notices(docs, licenses.fit(docs))
