@@ -10,10 +10,10 @@ Bands of coordinates make buckets. Inside a bucket no pair list is made:
 
 1. texts with equal sets are one class, and only one row of it goes on;
 2. every member is compared with its bucket's smallest member, on full sets;
-3. for some rounds, buckets whose members are not yet in one component compare them with
-   another member drawn by hash;
-4. what is still apart is compared exhaustively, in blocks of a few hundred sketches a
-   task; pairs that a sketch does not exclude (six standard deviations) are verified.
+3. buckets whose members are not yet in one component compare them with another member,
+   drawn by hash;
+4. what is still apart is compared exhaustively, in blocks of a few hundred texts a task:
+   pairs that the sketches do not exclude (six standard deviations) on full sets.
 
 Similarity is at least ``percent`` / 100, on hashed shingles (64 bits) of whole texts. With
 200 coordinates in bands of five, a linked pair shares no bucket with probability 1.3e-7.
@@ -39,8 +39,8 @@ from foliant.llm.words import batches, mix, word_hashes
 
 COORDINATES = 200
 ROWS = 5
-ROUNDS = 3
-BLOCK = 256
+ROUNDS = 2
+BLOCK = 512
 SALTS = 32
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -118,6 +118,16 @@ def sketches(docs: DataFrame, words: int = 2) -> DataFrame:
     )
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least ``percent`` per cent of their union."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    spots = np.searchsorted(large, small)
+    same = int((large[np.minimum(spots, len(large) - 1)] == small).sum())
+    return 100 * same >= percent * (len(small) + len(large) - same)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, p) whose full shingle sets are similar enough.
 
@@ -150,44 +160,49 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                 if roles[i] == 0:
                     centres.append(own)
                     continue
-                for centre in centres:
-                    small, large = sorted((own, centre), key=len)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    spots = np.searchsorted(large, small)
-                    same = int((large[np.minimum(spots, len(large) - 1)] == small).sum())
-                    if same and 100 * same >= percent * (len(small) + len(large) - same):
-                        found.append(i)
-                        break
+                if any(similar(own, centre, percent) for centre in centres):
+                    found.append(i)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([p[i] for i in found], pa.int64())], ["a", "p"])
 
     return met.mapInArrow(compare, "a long, p long").distinct()
 
 
-def _in_blocks(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, p) of different components in a bucket that the sketches do not exclude.
+def _in_blocks(mixed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, p) that join what is still apart in a bucket: every pair of its members is considered.
 
-    Members of a bucket are dealt into blocks; a task gets two blocks at a time.
+    ``mixed``: (key, band, members, class_id, component, brief, text). Members of a bucket are dealt into
+    blocks; a task gets two blocks at a time, compares full sets where the sketches do not
+    exclude a link, and returns only edges that join components. A pair is compared in
+    the first band that both share.
     """
     share = percent / 100
     bar = COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class_id", F.lit(7)), blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "component", "brief")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "component", "brief", "text")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, component = group["class_id"].to_numpy(), group["component"].to_numpy()
+        ids, component = group["class_id"].to_numpy(), group["component"].to_numpy().copy()
         own, brief = group["own"].to_numpy(), np.frombuffer(b"".join(group["brief"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        values, offsets = shingle_sets(group["text"].combine_chunks(), words)
+        bands = brief.reshape(len(ids), -1, ROWS)
+        i, j, band = (group[c][0].as_py() for c in ("i", "j", "band"))
+        right = np.flatnonzero(own == j)
         a, p = [], []
-        for x in left:
+        for x in np.flatnonzero(own == i):
             near = right[component[right] != component[x]]
+            near = near[near > x] if i == j else near
             near = near[(brief[near] == brief[x]).sum(axis=1) >= bar]
-            a.append(np.maximum(ids[near], ids[x])), p.append(np.minimum(ids[near], ids[x]))
-        return pa.table({"a": pa.array(np.concatenate([*a, ids[:0]])), "p": pa.array(np.concatenate([*p, ids[:0]]))})
+            near = near[~(bands[near, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
+            for y in near:
+                if component[y] != component[x] and similar(
+                    values[offsets[x] : offsets[x + 1]], values[offsets[y] : offsets[y + 1]], percent
+                ):
+                    a.append(max(ids[x], ids[y])), p.append(min(ids[x], ids[y]))
+                    component[component == component[y]] = component[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "p": pa.array(p, pa.int64())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, p long").distinct()
 
@@ -199,36 +214,36 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     filled = all_sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = filled.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
     reps = filled.join(classes, same).where(F.col("doc_id") == F.col("class_id"))
-    entries = reps.select("class_id", F.explode("keys").alias("key"))
+    entries = reps.select("class_id", F.posexplode("keys").alias("band", "key"))
     ends = entries.groupBy("key").agg(F.min("class_id").alias("pivot"), F.max("class_id").alias("last"))
     buckets = stored(entries.join(ends.where("pivot < last").drop("last"), "key").distinct(), "buckets")
 
     pairs = buckets.where("class_id != pivot").select(F.col("class_id").alias("a"), F.col("pivot").alias("p")).distinct()
-    tested = pairs = stored(pairs, "pairs")
+    pairs = stored(pairs, "pairs")
     edges = stored(verified(docs, pairs, words, percent), "edges")
     labels = _labels(edges)
     for step in range(1, ROUNDS + 1):
         placed = buckets.join(labels, F.col("class_id") == F.col("id"), "left").select(
-            "key", "class_id", F.coalesce("component", "class_id").alias("component")
+            "key", "band", "class_id", F.coalesce("component", "class_id").alias("component")
         )
         chosen = F.struct(F.xxhash64("class_id", F.lit(step)), "class_id", "component")
         state = placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.min(chosen).alias("pivot"),
-            F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(F.xxhash64("class_id"), 24)).alias("print"),
-        )
-        state = state.where("low < high").withColumn("alike", F.struct("members", "print"))
+            F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(F.xxhash64("class_id"), 24)).alias("print"), F.min("band").alias("band"),
+        ).where("low < high")
         if step < ROUNDS:
-            open_ = placed.join(state, "key").where(F.col("component") != F.col("pivot.component"))
+            open_ = placed.join(state.select("key", "pivot"), "key").where(F.col("component") != F.col("pivot.component"))
             fresh = open_.select(F.greatest("class_id", "pivot.class_id").alias("a"), F.least("class_id", "pivot.class_id").alias("p"))
-        else:
-            state = state.groupBy("alike").agg(F.min("key").alias("key"), F.first("members").alias("members"))
-            mixed = placed.join(state.select("key", "members"), "key").join(reps.select("class_id", "brief").dropDuplicates(["class_id"]), "class_id")
-            fresh = _in_blocks(mixed, percent)
-        fresh = stored(fresh.distinct().join(tested, ["a", "p"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        tested = tested.unionByName(fresh)
-        found = stored(verified(docs, fresh, words, percent), "edges")
+            fresh = stored(fresh.distinct().join(pairs, ["a", "p"], "left_anti"), "pairs")
+            found = verified(docs, fresh, words, percent)
+        else:  # of buckets with the same members, the one of the first band
+            state = state.groupBy("members", "print").agg(F.min_by("key", "band").alias("key"))
+            members = stored(placed.join(state.select("key", "members"), "key"), "mixed")
+            briefs = reps.select("class_id", "brief").dropDuplicates(["class_id"])
+            known = members.select("class_id").distinct().join(briefs, "class_id")
+            texts = doc_rows(docs, "doc_id", "text").join(broadcast_checked(known), F.col("doc_id") == F.col("class_id")).select("class_id", "brief", "text")
+            found = _in_blocks(members.join(texts, "class_id"), words, percent)
+        found = stored(found, "edges")
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = _labels(edges)
