@@ -73,9 +73,13 @@ def _turn(piece: Column, level: int) -> Column:
 def parse(rendered: Column) -> Column:
     """The turns (role, text) that the grammar reads from ``rendered``."""
     level = F.substring(rendered, 7, 1)
+
+    def reader(n: int):
+        return lambda piece: _turn(piece, n)
+
     out = None
     for n in reversed(range(LEVELS)):
-        turns = F.transform(_pieces(rendered), lambda p, n=n: _turn(p, n))
+        turns = F.transform(_pieces(rendered), reader(n))
         out = turns if out is None else F.when(level == str(n), turns).otherwise(out)
     return out
 

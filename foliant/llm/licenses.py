@@ -91,7 +91,7 @@ def words_of(line: Column) -> Column:
 
 def grams_of(line: Column) -> Column:
     """The distinct words and word pairs of ``line``."""
-    pairs = lambda w: F.concat(w, F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b")), lambda p: F.concat_ws(" ", p["0"], p["1"])))
+    pairs = lambda w: F.concat(w, F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"])))
     return F.array_distinct(F.element_at(F.transform(F.array(words_of(line)), pairs), 1))
 
 
