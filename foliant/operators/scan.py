@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.ranking import blocked_row_number, salted_top_n
+from foliant.functions.ranking import blocked_row_number
 from foliant.functions.vectors import cosine, on_grid, unit_score
 from foliant.operators.retrieval import POINT, nearest, with_payload
 from foliant.session import broadcast_if_small, cut
@@ -20,7 +20,6 @@ from foliant.session import broadcast_if_small, cut
 KEY = ["entity_type", "entity_id"]
 PAIR = [*KEY, "document_id"]
 SINGLE_VALUED = ("correspondent", "document_type")
-COHORT_MAX = 2000
 MIN_COHORT = 10
 EVIDENCE_CHARS = 300
 
@@ -32,7 +31,7 @@ class ScanParams:
     remove: float = 0.35
     percentile: int = 10
     min_chunks: int = 2
-    max_suggestions: int = 50
+    max_suggestions: int | None = None
 
 
 # --- which entities -----------------------------------------------------------------
@@ -111,20 +110,16 @@ def scan_scores(hits: DataFrame, add: float) -> DataFrame:
     )
 
 
-def cohort_scores(
-    chunks: DataFrame, entities: DataFrame, assigned: DataFrame, top_k: int
-) -> DataFrame:
+def cohort_scores(chunks: DataFrame, entities: DataFrame, assigned: DataFrame) -> DataFrame:
     """(entity, document, score) for every assigned document, scored among its own cohort.
 
     Chunks meet entities by an equi-join on what the payload carries (tag id
-    or name), so the work is linear in the chunk table. An entity looks at its
-    max(top_k, min(2000, 5 * assigned)) best chunks; documents it does not
-    reach score 0.
+    or name), so the work is linear in the chunk table. A document's best chunk
+    that carries the entity counts; a document without one scores 0.
     """
-    sizes = assigned.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_assigned"))
-    wanted = entities.select(*KEY, "name", F.col("vector").alias("_ev")).join(sizes, KEY)
-    depth = F.greatest(F.lit(top_k), F.least(F.lit(COHORT_MAX), 5 * F.col("_assigned")))
-    wanted = broadcast_if_small(cut(wanted.withColumn("_depth", depth)))
+    with_cohort = assigned.select(*KEY).distinct()
+    wanted = entities.select(*KEY, "name", F.col("vector").alias("_ev")).join(with_cohort, KEY, "left_semi")
+    wanted = broadcast_if_small(cut(wanted))
     base = chunks.where(F.col("vector").isNotNull() & (F.col("document_id") != 0))
     carried = [F.transform(F.array_distinct("tag_ids"), lambda t: _use("tag", t.cast("string")))]
     carried += [F.array(_use(kind, F.col(kind))) for kind in SINGLE_VALUED if kind in chunks.columns]
@@ -135,15 +130,9 @@ def cohort_scores(
         "_ref", F.when(F.col("entity_type") == "tag", F.col("entity_id").cast("string")).otherwise(F.col("name"))
     )
     scored = uses.join(named, ["entity_type", "_ref"]).select(
-        *KEY, *POINT, "_depth", on_grid(cosine("vector", "_ev")).alias("cosine")
-    )
-    bound = max(top_k, COHORT_MAX)
-    reached = (
-        salted_top_n(scored, KEY, [F.desc("cosine"), *POINT], bound, POINT)
-        .where(F.col("rank") <= F.col("_depth"))
-        .groupBy(*PAIR)
-        .agg(F.max("cosine").alias("cosine"))
+        *PAIR, on_grid(cosine("vector", "_ev")).alias("cosine")
     )
+    reached = scored.groupBy(*PAIR).agg(F.max("cosine").alias("cosine"))
     return (
         assigned.join(reached, PAIR, "left")
         .withColumn("score", F.coalesce(unit_score("cosine"), F.lit(0.0)))
@@ -363,7 +352,7 @@ def scan_candidates(
     entities = cut(entities.select(*KEY, "name", "vector"))
     assigned = cut(assignments(docs, entities))
     scores = cut(scan_scores(scan_hits(chunks, entities, params.top_k), params.add))
-    percentiles = cut(cohort_percentiles(cohort_scores(chunks, entities, assigned, params.top_k)))
+    percentiles = cut(cohort_percentiles(cohort_scores(chunks, entities, assigned)))
     is_tag = F.col("entity_type") == "tag"
     split = lambda df, tag: df.where(is_tag if tag else ~is_tag)
     actions = classify_multi(*[split(df, True) for df in (scores, assigned, percentiles)], params).unionByName(
@@ -401,17 +390,21 @@ def action_order() -> list[Column]:
     return [F.desc(F.round("distance", 12)), F.col("entity_type"), F.col("entity_id"), F.col("action")]
 
 
-def cap_documents(candidates: DataFrame, max_documents: int) -> DataFrame:
-    """Actions of the documents with the best evidence; every action of a kept document stays."""
+def cap_documents(candidates: DataFrame, max_documents: int | None) -> DataFrame:
+    """Actions of the documents with the best evidence, all without a number; every action of a kept document stays."""
+    if max_documents is None:
+        return candidates
     best = candidates.groupBy("document_id").agg(F.max(F.round("distance", 12)).alias("_best"))
     chosen = best.orderBy(F.desc("_best"), "document_id").limit(max_documents)
     return candidates.join(chosen.select("document_id"), "document_id", "left_semi")
 
 
-def capped_count(candidates: DataFrame, max_documents: int) -> DataFrame:
-    return candidates.agg(
-        F.greatest(F.count_distinct("document_id") - max_documents, F.lit(0)).cast("long").alias("capped")
-    )
+def capped_count(candidates: DataFrame, max_documents: int | None) -> DataFrame:
+    return candidates.agg(_beyond(F.count_distinct("document_id"), max_documents).alias("capped"))
+
+
+def _beyond(documents: Column, most: int | None) -> Column:
+    return F.lit(0).cast("long") if most is None else F.greatest(documents - most, F.lit(0)).cast("long")
 
 
 def apply_actions(candidates: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -532,7 +525,7 @@ def build_suggestions(applied: DataFrame, at: Column, provider: str, model: str)
     )
 
 
-def scan_summary(candidates: DataFrame, applied: DataFrame, max_documents: int) -> DataFrame:
+def scan_summary(candidates: DataFrame, applied: DataFrame, max_documents: int | None) -> DataFrame:
     """One row: applied actions by kind, skipped and capped counts."""
     done = applied.select(F.explode("actions").alias("a")).agg(
         *[
@@ -543,9 +536,7 @@ def scan_summary(candidates: DataFrame, applied: DataFrame, max_documents: int)
     skipped = candidates.agg(
         F.count_if(F.col("skipped") == "dismissed").alias("skipped_dismissed"),
         F.count_if(F.col("skipped") == "pending").alias("skipped_pending"),
-        F.greatest(
-            F.count_distinct(F.when(F.col("skipped").isNull(), F.col("document_id"))) - max_documents, F.lit(0)
-        ).cast("long").alias("capped"),
+        _beyond(F.count_distinct(F.when(F.col("skipped").isNull(), F.col("document_id"))), max_documents).alias("capped"),
     )
     both = done.unionByName(skipped, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -209,14 +209,17 @@ def entity_vec(spark: SparkSession, sf: str) -> DataFrame:
 def archive(spark: SparkSession, sf: str) -> DataFrame:
     """The document table behind ``chunk_vec``: the truth for assignments.
 
-    Every sixth document has no correspondent although its chunks still carry one.
+    Every sixth document has no correspondent although its chunks still carry one;
+    every eighth has a correspondent and a tag that none of its chunks carries.
     """
     c = chunk_vec(spark, sf)
+    drifted = F.col("document_id") % 8 == 5
+    after = F.col("tag_ids")[0] % 10 + 1
     return c.where(F.col("chunk_index") == 0).select(
         "document_id",
         "title",
-        "tag_ids",
-        F.when(F.col("document_id") % 6 != 0, F.col("tag_ids")[0]).alias("correspondent_id"),
+        F.when(drifted, F.array_distinct(F.array_append("tag_ids", after))).otherwise(F.col("tag_ids")).alias("tag_ids"),
+        F.when(F.col("document_id") % 6 != 0, F.when(drifted, after).otherwise(F.col("tag_ids")[0])).alias("correspondent_id"),
     )
 
 

@@ -56,7 +56,9 @@ CTE["entity_vec"] = """
 SELECT 'tag' AS entity_type, label+1 AS entity_id, 'tag' || (label+1) AS name, vector FROM entity_mean
 UNION ALL SELECT 'correspondent', label+1, 'c' || label, vector FROM entity_mean"""
 CTE["archive"] = """
-SELECT document_id, title, tag_ids, CASE WHEN document_id%6<>0 THEN tag_ids[1] END AS correspondent_id
+SELECT document_id, title,
+  CASE WHEN document_id%8=5 AND NOT list_contains(tag_ids, tag_ids[1]%10+1) THEN list_append(tag_ids, tag_ids[1]%10+1) ELSE tag_ids END AS tag_ids,
+  CASE WHEN document_id%6<>0 THEN CASE WHEN document_id%8=5 THEN tag_ids[1]%10+1 ELSE tag_ids[1] END END AS correspondent_id
 FROM chunk_vec WHERE chunk_index=0"""
 CTE["suggestion"] = """
 SELECT event_id AS id, event_id%300+1 AS document_id,

@@ -33,12 +33,11 @@ def chain(p: S.ScanParams) -> dict[str, str]:
             UNION ALL SELECT 'correspondent', correspondent_id, document_id FROM archive WHERE correspondent_id IS NOT NULL)
             WHERE (entity_type, entity_id) IN (SELECT (entity_type, entity_id) FROM entity_vec)""",
         sizes="SELECT entity_type, entity_id, count(*) AS n_assigned FROM assigned GROUP BY 1,2",
-        reached=f"""SELECT entity_type, entity_id, document_id, (1+max(cos))/2 AS score FROM (
-            SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY cos DESC, document_id, chunk_index) AS r FROM (
-            SELECT e.entity_type, e.entity_id, c.document_id, c.chunk_index, n_assigned, round(list_cosine_similarity(e.vector, c.vector), 12) AS cos
-            FROM entity_vec e JOIN sizes USING (entity_type, entity_id) JOIN chunk_vec c ON
-              (e.entity_type='tag' AND list_contains(c.tag_ids, e.entity_id)) OR (e.entity_type='correspondent' AND c.correspondent=e.name)))
-            WHERE r <= greatest({p.top_k}, least(2000, 5*n_assigned)) GROUP BY 1,2,3""",
+        reached="""SELECT entity_type, entity_id, document_id, (1+max(cos))/2 AS score FROM (
+            SELECT e.entity_type, e.entity_id, c.document_id, round(list_cosine_similarity(e.vector, c.vector), 12) AS cos
+            FROM entity_vec e JOIN chunk_vec c ON
+              (e.entity_type='tag' AND list_contains(c.tag_ids, e.entity_id)) OR (e.entity_type='correspondent' AND c.correspondent=e.name))
+            GROUP BY 1,2,3""",
         cohort="SELECT a.*, coalesce(score, 0.0) AS score FROM assigned a LEFT JOIN reached USING (entity_type, entity_id, document_id)",
         percentiles="""SELECT *, 100.0::DOUBLE*(row_number() OVER w - 1)/(n-1) AS percentile FROM (
             SELECT *, count(*) OVER (PARTITION BY entity_type, entity_id) AS n FROM cohort) WHERE n >= 10
@@ -124,7 +123,7 @@ class Stages:
         return S.assignments(self.docs, self.entities)
 
     def cohort(self):
-        return S.cohort_scores(self.chunks, self.entities, self.assigned(), self.p.top_k)
+        return S.cohort_scores(self.chunks, self.entities, self.assigned())
 
     def percentiles(self):
         return S.cohort_percentiles(self.cohort())
