@@ -31,6 +31,31 @@ class Scorer(Protocol):
     def score(self, query: str, passages: Sequence[str]) -> list[float]: ...
 
 
+def in_calls(call: Callable[[Sequence], Sequence], items: Sequence, size: int) -> tuple[list, list[str | None]]:
+    """(results, errors) of ``call`` on at most ``size`` items at a time.
+
+    A call that raises, or returns another number of results, is made once more;
+    if that fails too, only its own items have no result.
+    """
+    results: list = []
+    errors: list[str | None] = []
+    for at in range(0, len(items), size):
+        some = items[at : at + size]
+        made, error = None, None
+        for _ in range(2):
+            try:
+                made = list(call(some))
+            except Exception as problem:  # whatever a plug-in raises
+                made, error = None, str(problem) or type(problem).__name__
+                continue
+            if len(made) == len(some):
+                break
+            made, error = None, f"{len(some)} items, another number of results"
+        results += made if made is not None else [None] * len(some)
+        errors += [error if made is None else "no answer" if r is None else None for r in results[at:]]
+    return results, errors
+
+
 EmbedderFactory = Callable[[], Embedder]
 CompleterFactory = Callable[[], Completer]
 ScorerFactory = Callable[[], Scorer]

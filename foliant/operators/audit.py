@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXPORT_LIMIT = 100_000
 MIN_RETENTION_DAYS, RETENTION_DAYS = 30, 180
 EXPORT_COLUMNS = (
     "id", "document_id", "document_title", "field_name", "previous_value", "new_value",
@@ -69,9 +68,10 @@ def query(
     return out
 
 
-def export_rows(audit: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
-    """Newest rows first, in export column order and with ISO times."""
-    newest = audit.orderBy(F.desc("changed_at"), F.desc("id")).limit(limit)
+def export_rows(audit: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest rows first, in export column order and with ISO times; all of them unless a limit is given."""
+    newest = audit.orderBy(F.desc("changed_at"), F.desc("id"))
+    newest = newest if limit is None else newest.limit(limit)
     return newest.select(
         *[
             F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == "changed_at" else F.col(c)
@@ -80,9 +80,12 @@ def export_rows(audit: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
     )
 
 
-def export(audit: DataFrame, path: str, fmt: str = "csv", limit: int = EXPORT_LIMIT) -> None:
-    """Writes the export as CSV with a header and empty strings for NULL, or as JSON."""
-    rows = export_rows(audit, limit).coalesce(1)
+def export(audit: DataFrame, path: str, fmt: str = "csv", limit: int | None = None) -> None:
+    """Writes the export as CSV with a header and empty strings for NULL, or as JSON.
+
+    The rows are range-sorted: part files in name order hold them newest first.
+    """
+    rows = export_rows(audit, limit)
     if fmt == "csv":
         rows.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions import text as X
-from foliant.functions.plugins import CompleterFactory, EmbedderFactory
+from foliant.functions.plugins import CompleterFactory, EmbedderFactory, in_calls
 from foliant.session import spread
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
@@ -82,9 +82,7 @@ def embed(
         step = max(1, min(batch_size, model.max_batch))
         for batch in batches:
             texts = batch.column(column).to_pylist()
-            vectors: list = []
-            for at in range(0, len(texts), step):
-                vectors.extend(model.embed(texts[at : at + step]))
+            vectors, _ = in_calls(model.embed, texts, step)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
@@ -154,8 +152,9 @@ def complete(
     prompt: str = "prompt",
     out: str = "response",
     max_tokens: int = 1024,
+    call_size: int = 16,
 ) -> DataFrame:
-    """Adds ``out`` (NULL on failure), ``error`` and ``model`` from a plug-in text model."""
+    """Adds ``out`` (NULL on failure), ``error`` and ``model`` from a plug-in text model, ``call_size`` prompts a call."""
     extra = [T.StructField(c, T.StringType()) for c in (out, "error", "model")]
     schema = T.StructType([*rows.schema.fields, *extra])
 
@@ -163,15 +162,12 @@ def complete(
         model = completer()
         for batch in batches:
             prompts = batch.column(prompt).to_pylist()
-            try:
-                answers, error = model.complete(prompts, max_tokens), "no answer"
-            except Exception as err:  # one failed call must not fail the partition
-                answers, error = [None] * len(prompts), str(err)
+            answers, errors = in_calls(lambda some: model.complete(some, max_tokens), prompts, call_size)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
                     pa.array(answers, pa.string()),
-                    pa.array([error if a is None else None for a in answers], pa.string()),
+                    pa.array(errors, pa.string()),
                     pa.array([model.name] * len(prompts), pa.string()),
                 ],
                 names=[*batch.schema.names, out, "error", "model"],

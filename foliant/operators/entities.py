@@ -20,13 +20,12 @@ from foliant.session import cut
 
 NAME_THRESHOLD, EMBED_THRESHOLD = 0.85, 0.90
 
-# Fixed value: wording of the description request.
+# Type, name, name again, number of documents, titles, excerpts.
 DESCRIPTION_PROMPT = (
-    "You are documenting the metadata vocabulary of a document archive.\n"
-    'Write a 2-4 sentence description of what the %s "%s" means in this archive, '
-    "based on the documents that use it.\n\n"
-    '"%s" is used by %s documents. Sample titles:\n%s\n\n%s\n\n'
-    "Return only the description text, no preamble, no quotes."
+    'Explain the %s called "%s" for a reader new to this collection: two to four sentences, '
+    "drawn from the material below and nothing else.\n\n"
+    'Documents filed under "%s": %s. Some of their titles:\n%s\n\n%s\n\n'
+    "Answer with the explanation alone."
 )
 
 

@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 FIELDS = ("title", "tags", "correspondent", "document_type", "storage_path", "custom_fields")
 CONTENT_CHARS = 500
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def enqueue(queue: DataFrame, new: DataFrame) -> DataFrame:
-    """The queue with ``new`` added as pending; an id already present is left unchanged."""
+    """The queue with ``new`` added as pending; an id already present is left unchanged.
+
+    Of rows that repeat an id the earliest counts (by ``created_at`` where there is one, then by content).
+    """
+    order = ["created_at"] * ("created_at" in new.columns) + [c for c in new.columns if not c.startswith("created_at")]
+    sortable = [c for c in order if not new.schema[c].dataType.typeName() in ("map", "variant")]
+    first = F.min_by(F.struct(*new.columns), F.struct(*sortable)).alias("_first")
     fresh = (
-        new.dropDuplicates(["id"])
+        new.groupBy("id").agg(first).select("_first.*")
         .join(queue.select("id"), "id", "left_anti")
         .withColumn("status", F.lit("pending"))
     )
@@ -425,11 +432,24 @@ def merge_tags(resolved: DataFrame, docs: DataFrame) -> DataFrame:
     return resolved.join(existing, "document_id", "left").withColumn("tag_ids", merged).drop("_old")
 
 
+def _number(text: Column) -> Column:
+    """The number that ``text`` spells, NULL if it is none; type suffixes as in 12d are not part of a number."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def _plain(number: Column) -> Column:
+    """Decimal notation, one digit after the point at least, as far as 38 digits hold it."""
+    digits = F.regexp_replace(number.cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    exponent = number.cast("string").contains("E") & (F.abs(number) < 1e18) & (F.abs(number) >= 1e-3)
+    return F.when(exponent, plain).otherwise(number.cast("string"))
+
+
 def coerce_value(value: Column, data_type: Column) -> Column:
     """Custom-field text in the form the archive expects; what cannot be read stays as given."""
     text = F.trim(value)
-    money = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
-    number = text.try_cast("double")
+    money = _number(F.replace(text, F.lit(","), F.lit(".")))
+    number = _number(text)
     finite = F.abs(number) < 9e18  # false for infinities, NULL or false for what is not a number
     truncated = F.when(finite & ~F.isnan(number), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
     truncated = truncated.cast("string")
@@ -437,7 +457,7 @@ def coerce_value(value: Column, data_type: Column) -> Column:
     return (
         F.when(data_type == "monetary", F.coalesce(F.when(money.isNotNull(), F.format_string("%.2f", money)), value))
         .when(data_type == "integer", F.coalesce(truncated, value))
-        .when(data_type == "float", F.coalesce(number.cast("string"), value))
+        .when(data_type == "float", F.coalesce(_plain(number), value))
         .when(data_type == "boolean", truth)
         .otherwise(value)
     )

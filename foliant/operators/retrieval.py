@@ -347,18 +347,16 @@ def rescore(candidates: DataFrame, points: DataFrame, queries: DataFrame, n: int
     )
 
 
-def train_cells(chunks: DataFrame, cells: int, seed: int = 7, sample: int = 200_000, iterations: int = 10) -> DataFrame:
-    """(cell, vector): k-means centroids of unit vectors, trained on a bounded sample.
+def train_cells(chunks: DataFrame, cells: int, seed: int = 7, share: float = 1.0, iterations: int = 10) -> DataFrame:
+    """(cell, vector): k-means centroids of unit vectors, trained on all of them or a ``share`` the caller sets.
 
-    Only the centroids come from a sample; every chunk is assigned to a cell
-    and stays searchable.
+    Only the centroids depend on it; every chunk is assigned to a cell and stays searchable.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = chunks.count()
-    share = min(1.0, sample / max(total, 1))
-    unit = chunks.where(F.col("vector").isNotNull()).sample(share, seed=seed).select(_unit("vector").alias("unit"))
+    unit = chunks.where(F.col("vector").isNotNull()).select(_unit("vector").alias("unit"))
+    unit = unit if share >= 1 else unit.sample(share, seed=seed)
     unit = cut(unit).select(array_to_vector("unit").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, featuresCol="features").fit(unit)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

@@ -152,7 +152,18 @@ def build_prompt(spark, sf):
     return docs.select("document_id", prompt.alias("_p")).select("document_id", F.md5("_p").alias("prompt_md5"), F.length("_p").cast("long").alias("chars"))
 
 
-@query("llm_complete")
+_JSON_SQL = A.JSON_RULE.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(
+    "llm_complete",
+    with_(
+        f"""SELECT document_id, CASE WHEN length(p)%2=0 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN length(p)%2=1 THEN 'no answer' END AS error
+        FROM (SELECT document_id, CASE WHEN contains(template, '{{content}}') THEN replace(template, '{{content}}', content)
+          ELSE template || chr(10) || chr(10) || 'Document content:' || chr(10) || content || chr(10) END || '{_JSON_SQL}' AS p
+        FROM (SELECT document_id, content, {TEMPLATE_SQL} AS template FROM document))"""
+    ),
+)
 def llm_complete(spark, sf):
     docs = _templates(D.document(spark, sf)).withColumn(
         "prompt", A.build_prompt(F.col("template"), F.col("content"), F.lit(""), F.lit(""))

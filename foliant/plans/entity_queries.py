@@ -283,7 +283,21 @@ class EchoModel:
         return [None if len(p) % 2 else f' "{p[:40]}" ' for p in prompts]
 
 
-@query("generate_descriptions")
+_FIELDS = ("entity_type", "name", "name", "coalesce(documents, 0)", "coalesce(titles, '(no documents)')", "coalesce(excerpts, '')")
+_WORDING = ["'" + part.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for part in E.DESCRIPTION_PROMPT.split("%s")]
+_PROMPT_SQL = _WORDING[0] + "".join(f" || {field} || {part}" for field, part in zip(_FIELDS, _WORDING[1:]))
+
+
+@query(
+    "generate_descriptions",
+    with_(
+        rf"""SELECT entity_id, CASE WHEN ok THEN trim(regexp_replace(trim(' "' || substring(p,1,40) || '" '), '^"+|"+$', '', 'g')) ELSE '' END AS description,
+          CASE WHEN ok THEN 'llm' ELSE 'user' END AS description_source, NOT ok AS embedding_stored, CASE WHEN NOT ok THEN 'no answer' END AS error
+        FROM (SELECT *, length(p)%2=0 AS ok FROM (SELECT e.entity_id, {_PROMPT_SQL} AS p
+          FROM (SELECT * FROM entity WHERE entity_type='correspondent') e LEFT JOIN samples USING (entity_id)))""",
+        samples=SAMPLES,
+    ),
+)
 def generate_descriptions(spark, sf):
     state = D.entity(spark, sf).where(F.col("entity_type") == "correspondent").select(
         "entity_type", "entity_id", "name", F.lit("").alias("description"), F.lit("user").alias("description_source"),

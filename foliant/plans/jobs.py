@@ -141,13 +141,17 @@ def suggest(
     completer: CompleterFactory,
     template: str,
     at: Column,
+    max_chars: int | None,
     similar_docs: int = 5,
     fallback_n: int = 20,
-    max_chars: int = 12_000,
     inbox_tag: int | None = None,
     existing_only: dict[str, bool] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(suggestions, failed): shortlist, prompt, model, parsing, creation policy."""
+    """(suggestions, failed): shortlist, prompt, model, parsing, creation policy.
+
+    ``max_chars`` is what the model's window leaves for a text, None for whole texts;
+    suggestions tell in ``truncated`` whose text was cut.
+    """
     named = documents.resolve_names(docs, entities, definitions).withColumn(
         "current_tags", F.col("tags")
     )
@@ -163,6 +167,7 @@ def suggest(
         analysis.build_prompt(F.lit(template), F.col("content"), F.col("entity_context"), F.col("_instructions")).alias("prompt"),
     )
     made, failed = analysis.analyse(prompts, completer, "plugin", "plugin", at)
+    made = made.join(fitted.select("document_id", "truncated"), "document_id", "left")
     policy = existing_only or {}
     return analysis.creation_policy(cut(made), entities, policy), failed
 

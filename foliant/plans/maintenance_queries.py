@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from foliant.operators import chunking, limits, retrieval
+from foliant.operators import chunking, retrieval
 from foliant.operators import maintenance as M
 from foliant.operators import queue as G
 from foliant.plans import derive as D
@@ -95,7 +95,7 @@ def _legacy(spark, sf):
     ),
 )
 def vector_migrate(spark, sf):
-    rows, _, _, _ = store.migrate(_legacy(spark, sf), None)
+    rows, _ = store.migrate(_legacy(spark, sf), None)
     return rows.select(
         "chunk_id", "document_id", "chunk_index", "total_chunks", F.array_join("tags", ",").alias("tags"),
         F.array_join(F.col("tag_ids").cast("array<string>"), ",").alias("tag_ids"), F.try_element_at("custom_fields", F.lit("batch")).alias("batch"),
@@ -111,7 +111,7 @@ def vector_migrate(spark, sf):
     ),
 )
 def migrate_sparse_terms(spark, sf):
-    rows, _, _, _ = store.migrate(_legacy(spark, sf), None)
+    rows, _ = store.migrate(_legacy(spark, sf), None)
     return chunking.sparse_terms(rows, list(retrieval.POINT))
 
 
@@ -316,43 +316,3 @@ def webhook_form(spark, sf):
         .otherwise(F.create_map(F.lit("document"), F.lit("oops")))
     )
     return WH.form_events(e.select("event_id", fields.alias("fields"))).select("event_id", "document_id", "reason")
-
-
-# --- limits ----------------------------------------------------------------------------------------
-
-
-def _access_log(spark, sf):
-    return D.table(spark, sf, "events").select(
-        F.col("user_id").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
-    )
-
-
-TOKEN_SQL = """
-WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-step AS (SELECT key, event_id, us, n, 1.0::DOUBLE AS tokens, true AS allowed, 0::BIGINT AS retry_after FROM e WHERE n=1
-  UNION ALL SELECT key, event_id, us, n, CASE WHEN t>=1 THEN t-1 ELSE t END, t>=1, CASE WHEN t>=1 THEN 0 ELSE ceil((1.0-t)/(2/72000.0::DOUBLE))::BIGINT END FROM (
-    SELECT e.*, least(2.0::DOUBLE, s.tokens + (e.us-s.us)/1e6::DOUBLE*(2/72000.0::DOUBLE)) AS t FROM step s JOIN e ON e.key=s.key AND e.n=s.n+1))
-SELECT key, event_id, allowed, retry_after FROM step"""
-
-
-@query("token_bucket", TOKEN_SQL)
-def token_bucket(spark, sf):
-    """Two requests per twenty hours and user, so that about half are denied."""
-    return limits.token_bucket(_access_log(spark, sf), "key", "us", "event_id", 2, 72_000)
-
-
-WINDOW_SQL = """
-WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-step AS (SELECT key, event_id, us, n, 1::BIGINT AS c, us AS opened, true AS allowed FROM e WHERE n=1
-  UNION ALL SELECT e.key, e.event_id, e.us, e.n, CASE WHEN e.us-s.opened > 86400000000 THEN 1 WHEN s.c>=2 THEN s.c ELSE s.c+1 END,
-    CASE WHEN e.us-s.opened > 86400000000 THEN e.us ELSE s.opened END, e.us-s.opened > 86400000000 OR s.c<2
-    FROM step s JOIN e ON e.key=s.key AND e.n=s.n+1)
-SELECT key, event_id, allowed FROM step"""
-
-
-@query("fixed_window_limit", WINDOW_SQL)
-def fixed_window_limit(spark, sf):
-    """Two attempts per day and user."""
-    return limits.fixed_window(_access_log(spark, sf), "key", "us", "event_id", 2, 86_400)
-
-

@@ -25,11 +25,13 @@ AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
     ),
 )
 def enqueue(spark, sf):
+    """Late rows come twice under their id, the second for another document; the first counts."""
     s = D.suggestion(spark, sf).select("id", "document_id", "status")
     late = D.table(spark, sf, "events").where(F.col("event_type").isin("purchase", "error")).select(
         F.col("event_id").alias("id"), (F.col("event_id") % 300 + 1).alias("document_id"), F.lit("approved").alias("status")
     )
-    return G.enqueue(s.where(F.col("status") != "pending"), s.unionByName(late))
+    twice = late.unionByName(late.withColumn("document_id", F.col("document_id") + 1000))
+    return G.enqueue(s.where(F.col("status") != "pending"), s.unionByName(twice))
 
 
 def states(supersede: bool) -> dict[str, str]:
@@ -318,6 +320,7 @@ def _raw_values(spark, sf):
         .when(i % 6 == 2, F.lit("Yes"))
         .when(i % 6 == 3, F.concat(F.lit("about "), F.floor(v)))
         .when(i % 6 == 4, F.concat(F.lit("-"), F.floor(v), F.lit(".75")))
+        .otherwise(F.get(F.array(F.lit("12d"), F.lit("12f"), F.lit("1e7"), F.lit(None)), (i % 4).cast("int")))
     )
     kinds = F.array(*[F.lit(k) for k in ("monetary", "integer", "float", "boolean", "string")])
     return D.table(spark, sf, "events").select("event_id", text.alias("value"), F.get(kinds, (F.col("user_id") % 5).cast("int")).alias("data_type"))
@@ -331,7 +334,7 @@ def _raw_values(spark, sf):
       WHEN 'float' THEN coalesce(TRY_CAST(trim(value) AS DOUBLE)::VARCHAR, value)
       WHEN 'boolean' THEN CASE WHEN value IS NOT NULL THEN (lower(value) IN ('true','1','yes','on'))::VARCHAR END ELSE value END AS coerced FROM (
       SELECT event_id, CASE event_id%6 WHEN 0 THEN ' ' || replace(value::VARCHAR, '.', ',') || ' ' WHEN 1 THEN value::VARCHAR WHEN 2 THEN 'Yes'
-        WHEN 3 THEN 'about ' || floor(value)::BIGINT WHEN 4 THEN '-' || floor(value)::BIGINT || '.75' END AS value,
+        WHEN 3 THEN 'about ' || floor(value)::BIGINT WHEN 4 THEN '-' || floor(value)::BIGINT || '.75' ELSE ['12d','12f','1e7',NULL][event_id%4+1] END AS value,
         ['monetary','integer','float','boolean','string'][user_id%5+1] AS data_type FROM events)""",
 )
 def coerce_custom_field(spark, sf):

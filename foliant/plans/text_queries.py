@@ -262,7 +262,7 @@ def embed_hash(spark, sf):
 
 
 class HashEmbedder:
-    """Plug-in twin of ``hash_embedding``; texts longer than 20 000 characters fail."""
+    """Plug-in twin of ``hash_embedding``; fails for texts whose length is a multiple of seven."""
 
     name, max_batch = "sha256", 96
 
@@ -272,15 +272,30 @@ class HashEmbedder:
         out = []
         for t in texts:
             d = hashlib.sha256(t.encode()).digest()
-            out.append(None if len(t) > 20_000 else [b / 255 for b in d + d])
+            out.append(None if len(t) % 7 == 0 else [b / 255 for b in d + d])
         return out
 
 
-@query("embed_chunks")
+@query(
+    "embed_chunks",
+    with_(
+        """SELECT document_id, chunk_index, len(v) AS dims, 'sha256' AS embed_model,
+        list_sum(list_transform(v, lambda x, i: i*round(x*255)))::BIGINT AS weighted
+        FROM (SELECT document_id, chunk_index, """
+        + HASH_SQL
+        + f""" AS v FROM (SELECT document_id, chunk_index, {PREFIX} || passage AS t
+            FROM char_chunks JOIN resolved USING (document_id)) WHERE length(t)%7<>0)""",
+        resolved=RESOLVED,
+        char_chunks=CHAR_CHUNKS,
+    ),
+)
 def embed_chunks(spark, sf):
     chunks = chunking.with_embed_text(chunking.chunk(resolved(spark, sf)))
     stored, _failed = chunking.split_failed(chunking.embed(chunks, HashEmbedder, 32))
-    return stored.select("document_id", "chunk_index", F.size("vector").cast("long").alias("dims"), "embed_model")
+    weighted = F.aggregate(F.transform("vector", lambda x, i: F.round(x * 255) * (i + 1)), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return stored.select(
+        "document_id", "chunk_index", F.size("vector").cast("long").alias("dims"), "embed_model", weighted.cast("long").alias("weighted")
+    )
 
 
 @query(

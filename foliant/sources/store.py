@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,20 +185,34 @@ def from_legacy(points: DataFrame) -> DataFrame:
     )
 
 
-def migrate(source: DataFrame | None, destination: DataFrame | None, layouts_match: bool = True) -> tuple[DataFrame | None, int, bool, str]:
-    """(rows to load, migrated, needs_reindex, reason) for copying vectors without embedding them again.
+#: Decisions on moving vectors: load the rows, nothing to do, or embed anew.
+LOAD, DONE, REINDEX = "load", "done", "reindex"
 
-    Nothing is copied from an empty source or over a filled destination, and
-    an unsupported layout asks for a re-index.
+
+def migration(source: DataFrame | None, destination: DataFrame | None, layouts_match: bool = True) -> DataFrame:
+    """One row (decision, rows_before, rows_after, detail) on copying vectors without embedding them again.
+
+    Counts decide: rows are loaded from a filled source into an empty destination
+    only; where the source cannot be read in this layout, or fails to be read,
+    the documents need a new index.
     """
-    if source is None or not layouts_match:
-        return None, 0, True, "layout does not support migration"
-    if source.isEmpty():
-        return None, 0, False, "source is empty"
-    if destination is not None and not destination.isEmpty():
-        return None, 0, False, "destination already populated"
-    rows = from_legacy(source)
-    return rows, rows.count(), False, ""
+    spark = SparkSession.active()
+    size = lambda df: 0 if df is None else df.count()
+    before, after, trouble = 0, size(destination), "" if source is not None and layouts_match else "other layout"
+    if not trouble:
+        try:
+            before = size(from_legacy(source))
+        except PySparkException as error:
+            trouble = f"unreadable: {error}"[:200]
+    counts = spark.range(1).select(F.lit(before).cast("long").alias("rows_before"), F.lit(after).cast("long").alias("rows_after"), F.lit(trouble).alias("detail"))
+    decision = F.when(F.col("detail") != "", REINDEX).when((F.col("rows_before") > 0) & (F.col("rows_after") == 0), LOAD).otherwise(DONE)
+    return counts.select(decision.alias("decision"), "*")
+
+
+def migrate(source: DataFrame | None, destination: DataFrame | None, layouts_match: bool = True) -> tuple[DataFrame | None, str]:
+    """(rows to load if any, decision) of ``migration``."""
+    decision = migration(source, destination, layouts_match).first()["decision"]
+    return (from_legacy(source) if decision == LOAD else None), decision
 
 
 def migrate_memories(source: DataFrame | None, destination: DataFrame | None) -> DataFrame | None:

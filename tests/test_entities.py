@@ -1,14 +1,20 @@
 import random
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.functions.graph import connected_components
-from foliant.functions.names import fold, similar_names
+from foliant.functions.names import normalise_name, similar_names
 from foliant.operators import entities as E
 
 
+def fold(name):
+    """A model of the normalisation, character by character."""
+    return "".join(c for c in unicodedata.normalize("NFKD", name.strip().casefold()) if unicodedata.category(c) not in ("Mn", "Me") or not unicodedata.combining(c))
+
+
 def ratio(a, b):
     return SequenceMatcher(None, a, b).ratio()
 
@@ -46,9 +52,10 @@ def test_components_of_random_graphs(spark):
     assert {(r.scope, r.id): r.component for r in connected_components(df, "scope").collect()} == want
 
 
-def test_fold():
-    assert fold("  Straße ÉTÉ ") == "strasse ete"
-    assert fold("ﬁle") == "file"
+def test_names_are_folded(spark):
+    rows = [("  Straße ÉTÉ ",), ("ﬁle",), (None,), ("",), ("İ",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "name string").select(normalise_name("name")).collect()]
+    assert got == ["strasse ete", "file", None, "", fold("İ")]
 
 
 def names(rng, n):

@@ -90,9 +90,10 @@ def test_suggest(spark, sf):
     vectors = chunks.where("chunk_index = 0").select("document_id", "vector")
     described = spark.createDataFrame([(1, "title", "be brief")], "position long, key string, description string")
     made, failed = jobs.suggest(
-        docs, chunks, vectors, entities, fields, described, Model, "T {content}", now(), existing_only={"tag": True, "correspondent": True}
+        docs, chunks, vectors, entities, fields, described, Model, "T {content}", now(), 12_000, existing_only={"tag": True, "correspondent": True}
     )
     rows = made.collect()
+    assert {r.truncated for r in rows} <= {True, False} and None not in {r.truncated for r in rows}
     assert rows and all(r.tags == ["QUALITY"] and r.correspondent is None and r.title == "New" for r in rows)
     assert len(rows) + failed.count() == docs.count()
 

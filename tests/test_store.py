@@ -42,10 +42,12 @@ def test_uncommitted_version_is_invisible(spark, tmp_path):
 def test_migration_outcomes(spark):
     empty = spark.createDataFrame([], "vector array<float>")
     full = spark.createDataFrame([([1.0],)], "vector array<float>")
-    assert store.migrate(None, None)[1:3] == (0, True)
-    assert store.migrate(full, None, layouts_match=False)[1:3] == (0, True)
-    assert store.migrate(empty, None)[1:] == (0, False, "source is empty")
-    assert store.migrate(full, full)[1:] == (0, False, "destination already populated")
+    assert store.migrate(None, None) == (None, store.REINDEX)
+    assert store.migrate(full, None, layouts_match=False) == (None, store.REINDEX)
+    assert store.migrate(full.drop("id", "document"), None) == (None, store.REINDEX)
+    assert store.migrate(empty, None) == (None, store.DONE)
+    assert store.migrate(full, full) == (None, store.DONE)
+    assert store.migrate(full, empty)[1] == store.LOAD
     assert store.migrate_memories(full, full) is None
 
 

@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import limits, maintenance
+from foliant.operators import maintenance
 from foliant.plans import derive as D
-from foliant.streaming import jobs, limits as stream_limits, webhook
+from foliant.streaming import jobs, webhook
 
 
 def split(df, path, parts, seed):
@@ -85,46 +85,3 @@ def test_enqueue_stream_drops_repeats(spark, tmp_path):
     query = jobs.enqueue_stream(stream).writeStream.format("memory").queryName("queued").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.id for r in spark.table("queued").collect()) == list(range(20))
-
-
-def access_log(spark, n=600):
-    rng, rows, us = random.Random(9), [], 0
-    for i in range(n):
-        us += rng.choice([1, 5, 30, 400]) * 1_000_000
-        # One key makes most of the requests.
-        rows.append((1 if rng.random() < 0.6 else rng.randrange(2, 8), i, us))
-    return spark.createDataFrame(rows, "key long, event_id long, us long"), rows
-
-
-def replay(rows, step):
-    state, out = {}, {}
-    for key, event, us in sorted(rows, key=lambda r: (r[2], r[1])):
-        state[key], *result = step(state.get(key), us)
-        out[event] = tuple(result)
-    return out
-
-
-def test_limits_replay(spark):
-    log, rows = access_log(spark)
-    token = {r.event_id: (r.allowed, r.retry_after) for r in limits.token_bucket(log, "key", "us", "event_id", 3, 900).collect()}
-    assert token == replay(rows, lambda s, us: limits.token_step(s, us, 3, 3 / 900))
-    assert len({a for a, _ in token.values()}) == 2
-    fixed = {r.event_id: (r.allowed,) for r in limits.fixed_window(log, "key", "us", "event_id", 2, 300).collect()}
-    assert fixed == replay(rows, lambda s, us: limits.window_step(s, us, 2, 300))
-    assert len(set(fixed.values())) == 2
-
-
-def test_limit_streams_equal_batch(spark, tmp_path):
-    log, rows = access_log(spark, 120)
-    path = str(tmp_path / "in")
-    # Files in time order, as a log arrives.
-    for part in (rows[:40], rows[40:90], rows[90:]):
-        spark.createDataFrame(part, log.schema).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
-    for name, made, step in (
-        ("tokens", stream_limits.token_bucket_stream(stream, 3, 900), lambda s, us: limits.token_step(s, us, 3, 3 / 900)),
-        ("windows", stream_limits.fixed_window_stream(stream, 2, 300), lambda s, us: limits.window_step(s, us, 2, 300)),
-    ):
-        made.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        got = {r.event_id: tuple(r)[2:] for r in spark.table(name).collect()}
-        assert got == replay(rows, step)

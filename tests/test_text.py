@@ -138,3 +138,39 @@ def test_failed_embeddings(spark):
     stored, failed = chunking.split_failed(chunking.embed(df, Half, 10))
     assert sorted(r.document_id for r in stored.collect()) == [1, 3]
     assert [tuple(r) for r in failed.collect()] == [(2, 1)]
+
+
+class Flaky:
+    """A plug-in whose calls fail for some texts: always, once, or by an item too few."""
+
+    name, max_batch = "flaky", 2
+
+    def __init__(self):
+        self.seen = set()
+
+    def answer(self, texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        if "once" in texts and "once" not in self.seen:
+            self.seen.add("once")
+            raise ValueError("later")
+        return [t.upper() if t else None for t in texts][: 1 if "few" in texts else None]
+
+    def embed(self, texts):
+        return [None if t is None else [float(len(t))] for t in self.answer(texts)]
+
+    def complete(self, texts, max_tokens):
+        return self.answer(texts)
+
+
+def test_failing_calls_cost_their_own_items(spark):
+    from foliant.operators import chunking
+
+    texts = ["a", "b", "bad", "c", "once", "d", "few", "e", "", "f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, prompt string").coalesce(1)
+    done = {r.prompt: (r.response, r.error) for r in chunking.complete(rows, Flaky, call_size=2).collect()}
+    assert done["a"] == ("A", None) and done["once"] == ("ONCE", None) and done["f"] == ("F", None)
+    assert done["bad"] == (None, "no") and done["c"] == (None, "no") and done[""] == (None, "no answer")
+    assert done["few"][0] is None and done["e"][0] is None and "number" in done["e"][1]
+    vectors = {r.prompt: r.vector for r in chunking.embed(rows, Flaky, 8, "prompt").collect()}
+    assert {t for t, v in vectors.items() if v is None} == {"bad", "c", "few", "e", ""}
