@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.functions.plugins import ScorerFactory
+from foliant.functions.plugins import Scorer, ScorerFactory
 from foliant.functions.ranking import salted_top_n
 from foliant.functions.vectors import AtLeast, TopN, cosine, on_grid, score_blocks, score_within, unit_score
-from foliant.session import cut
+from foliant.session import broadcast_if_small, cut
 
 OVERFETCH = 5
 POINT = ("document_id", "chunk_index")
@@ -186,16 +186,18 @@ def sparse_scores(terms: DataFrame, query_terms: DataFrame, total: DataFrame) ->
     """(query_id, document_id, chunk_index, score): dot product with IDF-weighted terms.
 
     Query terms are cut down to those in the index first, and document
-    frequencies are counted for those terms only. The term is the join key; a
-    very frequent term is a hot key, which AQE splits, and the partial sum per
-    (query, chunk) runs before the aggregation shuffle.
+    frequencies are counted for those terms only. The index terms are clustered
+    by chunk and the weights of the queries broadcast when a count proves them
+    small, so that sums per (query, chunk) need no exchange of their own; more
+    weights join by term instead.
     """
     wanted = terms.join(query_terms.select("term").distinct(), "term", "left_semi")
     weights = query_terms.join(idf(wanted, total), "term").select(
         "query_id", "term", (F.col("tf") * F.col("idf")).alias("_w")
     )
     return (
-        wanted.join(weights, "term")
+        wanted.repartition(*POINT)
+        .join(broadcast_if_small(cut(weights), 200_000), "term")
         .groupBy("query_id", *POINT)
         .agg(F.sum(F.col("tf") * F.col("_w")).alias("score"))
     )
@@ -260,12 +262,11 @@ def rerank(
     """Scores the candidates of each query with a plug-in scorer, in candidate order.
 
     ``hits`` carries ``passage`` and at most the candidate count per query.
-    ``passage_chars`` bounds the text sent to a prompt-based scorer.
+    ``passage_chars`` bounds the text sent to a prompt-based scorer. Rows are
+    clustered by query; a task makes one scorer and holds one query's rows.
     """
 
-    def one_query(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
-        model = scorer()
+    def one_query(model: Scorer, frame: pd.DataFrame) -> pd.DataFrame:
         passages = [p[:passage_chars] if passage_chars else p for p in frame["passage"]]
         try:
             raw = [float(s) for s in model.score(frame["query_text"].iloc[0], passages)]
@@ -280,14 +281,25 @@ def rerank(
             score = np.full(len(passages), 0.5)
         return frame[["query_id", *POINT, "rank"]].assign(score=score)
 
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, held = scorer(), None
+        for frame in frames:
+            if frame.empty:
+                continue
+            frame = frame if held is None else pd.concat([held, frame])
+            open_ = frame["query_id"] == frame["query_id"].iloc[-1]
+            held = frame[open_]
+            for _, rows in frame[~open_].groupby("query_id", sort=False):
+                yield one_query(model, rows)
+        if held is not None:
+            yield one_query(model, held)
+
     rows = hits.join(query_texts.select("query_id", "query_text"), "query_id").select(
         "query_id", "query_text", *POINT, "rank", "passage"
     )
     id_type = hits.schema["query_id"].dataType.simpleString()
-    return rows.groupBy("query_id").applyInPandas(
-        one_query,
-        f"query_id {id_type}, document_id long, chunk_index long, rank long, score double",
-    )
+    clustered = rows.repartition("query_id").sortWithinPartitions("query_id", "rank")
+    return clustered.mapInPandas(task, f"query_id {id_type}, document_id long, chunk_index long, rank long, score double")
 
 
 # --- approximate search ----------------------------------------------------------

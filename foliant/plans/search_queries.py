@@ -201,10 +201,15 @@ def sparse_inputs(spark, sf):
 
 @query(
     "sparse_score",
-    with_("SELECT query_id, document_id, round(score,6) AS score FROM sparse", terms=TERMS, query_term=QTERMS, sparse=SPARSE),
+    with_(
+        "SELECT query_id, document_id, round(score,6) AS score, rank FROM sparse_ranked WHERE rank<=100",
+        terms=TERMS, query_term=QTERMS, sparse=SPARSE, sparse_ranked=SPARSE_RANKED,
+    ),
 )
 def sparse_score(spark, sf):
-    return retrieval.sparse_scores(*sparse_inputs(spark, sf)).select("query_id", "document_id", F.round("score", 6).alias("score"))
+    """The hundred best documents of each query."""
+    best = retrieval.nearest_sparse(*sparse_inputs(spark, sf), 100)
+    return best.select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
 HYBRID_CTES = dict(
