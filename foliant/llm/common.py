@@ -31,6 +31,18 @@ def doc_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def drawn(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest hash of ``by``.
+
+    A count and the hash's even spread bound what tasks hand on: rows beyond the share of the
+    hash's range that holds ``n`` rows (and ten standard deviations) are dropped at once.
+    """
+    share = (n + 10 * n**0.5 + 10) / max(1, df.count())
+    place = F.pmod(F.xxhash64(*by), F.lit(1 << 40))
+    near = df.withColumn("_place", place).where(F.col("_place") < int(min(1.0, share) * (1 << 40)))
+    return near.orderBy("_place", *by).limit(n).drop("_place")
+
+
 def fold_of(doc_id: Column | str, folds: int = 5) -> Column:
     """crc32 of the id's decimal text modulo ``folds``; 0 is the held-out fold."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

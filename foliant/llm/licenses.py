@@ -23,7 +23,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import doc_rows
+from foliant.llm.common import doc_rows, drawn
 
 SAMPLE = 4000
 FEATURES = 2000
@@ -113,11 +113,10 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def sample_lines(docs: DataFrame) -> DataFrame:
     """(text): at most ``SAMPLE`` lines of the corpus, one of a document, drawn by a hash of its id and text."""
-    drawn = doc_rows(docs, "doc_id", "text").where("text is not null").select(
-        F.xxhash64("doc_id", "text").alias("h"), F.split("text", "\n").alias("lines")
-    )
-    line = F.get("lines", F.pmod(F.col("h"), F.size("lines").cast("long")).cast("int"))
-    return drawn.select("h", line.alias("text")).orderBy("h").limit(SAMPLE).select("text")
+    hashed = doc_rows(docs, "doc_id", "text").where("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    lines = F.split("text", "\n")
+    line = F.get(lines, F.pmod(F.col("h"), F.size(lines).cast("long")).cast("int"))
+    return drawn(hashed.drop("doc_id"), SAMPLE, "h").select(line.alias("text"))
 
 
 def fit(docs: DataFrame) -> Model:

@@ -26,7 +26,7 @@ ENOUGH = 200
 SPREADS = 6
 MIN_WORDS = 50
 #: ratio: (lowest upper limit, highest upper limit); the limit of a group lies between.
-UPPER = {"symbol_share": (0.05, 0.10), "dup_line_share": (0.20, 0.30), "repeat_share": (0.20, 0.50), "word_length": (9.0, 15.0)}
+UPPER = {"symbol_share": (0.05, 0.10), "dup_line_share": (0.30, 0.50), "repeat_share": (0.20, 0.50), "word_length": (9.0, 15.0)}
 _SPACES = " \t\n\u000b\f\r"
 _LOG = math.log((1 + ACCURACY) / (1 - ACCURACY))
 _TINY = 1e-4

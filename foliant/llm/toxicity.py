@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from foliant.llm.common import doc_rows, fold_of
+from foliant.llm.common import doc_rows, drawn, fold_of
 from foliant.llm.words import batches, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -185,11 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, longest: int = 2
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    drawn = None
-    for y in (0, 1):
-        part = marks.where((F.col("toxic") == y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    texts = doc_rows(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    clean, toxic = (drawn(marks.where(F.col("toxic") == y), sample // 2, "doc_id") for y in (0, 1))
+    texts = doc_rows(docs, "doc_id", "text").join(F.broadcast(clean.unionByName(toxic)), "doc_id")
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, "text"):
