@@ -64,8 +64,13 @@ def nearest(
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
-    """Fetches payload columns for the few ranked hits; AQE broadcasts the hits when they are small."""
-    return hits.join(chunks.select(*POINT, *columns), list(POINT))
+    """Fetches payload columns for the ranked hits.
+
+    The hits are materialised first: a count then proves them small enough to be
+    broadcast, and no passage is shuffled; more of them join by shuffle.
+    """
+    known = broadcast_if_small(cut(hits), 100_000)
+    return chunks.select(*POINT, *columns).join(known, list(POINT)).select(*hits.columns, *columns)
 
 
 def search_chunks(chunks: DataFrame, queries: DataFrame, n: int, **filters) -> DataFrame:
