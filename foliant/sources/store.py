@@ -198,10 +198,10 @@ def migration(source: DataFrame | None, destination: DataFrame | None, layouts_m
     """
     spark = SparkSession.active()
     size = lambda df: 0 if df is None else df.count()
-    before, after, trouble = 0, size(destination), "" if source is not None and layouts_match else "other layout"
-    if not trouble:
+    before, after, trouble = size(source), size(destination), "" if source is not None and layouts_match else "other layout"
+    if not trouble and before and not after:
         try:
-            before = size(from_legacy(source))
+            from_legacy(source).write.format("noop").mode("overwrite").save()
         except PySparkException as error:
             trouble = f"unreadable: {error}"[:200]
     counts = spark.range(1).select(F.lit(before).cast("long").alias("rows_before"), F.lit(after).cast("long").alias("rows_after"), F.lit(trouble).alias("detail"))

@@ -140,31 +140,30 @@ def test_failed_embeddings(spark):
     assert [tuple(r) for r in failed.collect()] == [(2, 1)]
 
 
-class Flaky:
-    """A plug-in whose calls fail for some texts: always, once, or by an item too few."""
-
-    name, max_batch = "flaky", 2
+def test_failing_calls_cost_their_own_items(spark):
+    from foliant.operators import chunking
 
-    def __init__(self):
-        self.seen = set()
+    class Flaky:
+        """A plug-in whose calls fail for some texts: always, once, or by an item too few."""
 
-    def answer(self, texts):
-        if "bad" in texts:
-            raise ValueError("no")
-        if "once" in texts and "once" not in self.seen:
-            self.seen.add("once")
-            raise ValueError("later")
-        return [t.upper() if t else None for t in texts][: 1 if "few" in texts else None]
+        name, max_batch = "flaky", 2
 
-    def embed(self, texts):
-        return [None if t is None else [float(len(t))] for t in self.answer(texts)]
+        def __init__(self):
+            self.seen = set()
 
-    def complete(self, texts, max_tokens):
-        return self.answer(texts)
+        def answer(self, texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            if "once" in texts and "once" not in self.seen:
+                self.seen.add("once")
+                raise ValueError("later")
+            return [t.upper() if t else None for t in texts][: 1 if "few" in texts else None]
 
+        def embed(self, texts):
+            return [None if t is None else [float(len(t))] for t in self.answer(texts)]
 
-def test_failing_calls_cost_their_own_items(spark):
-    from foliant.operators import chunking
+        def complete(self, texts, max_tokens):
+            return self.answer(texts)
 
     texts = ["a", "b", "bad", "c", "once", "d", "few", "e", "", "f"]
     rows = spark.createDataFrame(list(enumerate(texts)), "n long, prompt string").coalesce(1)
