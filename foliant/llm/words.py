@@ -7,12 +7,14 @@ the memory needed beyond the result does not depend on the length of a text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+#: Places inside words (bytes, their starts and ends) where another word begins.
+Parts = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -50,7 +52,7 @@ _up, _down = _powers(SLICE + 1)
 
 
 def _slice_hashes(
-    data: np.ndarray, breaks: np.ndarray, delimiter: np.ndarray, prefixes: tuple[int, ...]
+    data: np.ndarray, breaks: np.ndarray, delimiter: np.ndarray, prefixes: tuple[int, ...], parts: Parts | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (one column for the word and one for each prefix), starts and ends of the words of ``data``.
 
@@ -65,6 +67,9 @@ def _slice_hashes(
         before = breaks[breaks > 0] - 1
         stop[before] |= inside[1:-1][before]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    if parts is not None:
+        cuts = parts(data, starts, ends)
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
     global _up, _down
     if len(data) > len(_up):
         _up, _down = _powers(len(data))
@@ -91,11 +96,12 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[places[0] : places[-1]], places - places[0]
 
 
-def word_hashes(texts: pa.Array, spans: bool = False, letters: bool = False, prefixes: tuple[int, ...] = ()):
+def word_hashes(texts: pa.Array, spans: bool = False, letters: bool = False, prefixes: tuple[int, ...] = (), parts: Parts | None = None):
     """(hashes, word offsets of n + 1 texts), with ``spans`` also byte starts and ends in the joined texts.
 
     With ``letters``, ASCII punctuation parts words too. ``prefixes`` (numbers of
-    bytes) adds a column to the hashes for each: the hash of the word's beginning.
+    bytes) adds a column to the hashes for each: the hash of the word's beginning. ``parts``
+    cuts words further.
     """
     data, places = text_buffer(texts)
     delimiter = _not_letters if letters else _delimiter
@@ -114,7 +120,7 @@ def word_hashes(texts: pa.Array, spans: bool = False, letters: bool = False, pre
                 gaps = np.flatnonzero(delimiter[data[to:text_end]])
                 to = to + int(gaps[0]) if len(gaps) else text_end
         inner = places[np.searchsorted(places, at) : np.searchsorted(places, to)] - at
-        h, s, e = _slice_hashes(data[at:to], np.unique(inner), delimiter, prefixes)
+        h, s, e = _slice_hashes(data[at:to], np.unique(inner), delimiter, prefixes, parts)
         hashes.append(h), starts.append(s + at), ends.append(e + at)
         at = to
     first, found = np.concatenate(starts), np.concatenate(hashes)
