@@ -1,7 +1,7 @@
 """Benchmark passages in documents, found by latent semantic retrieval and confirmed on the words.
 
 1. Document frequencies of the benchmark's words over all passages of the corpus (runs of
-   ``PASSAGE`` words) give TF-IDF weights; words in over a tenth of the passages weigh nothing.
+   ``PASSAGE`` words) give TF-IDF weights; words in over 1 % of the passages weigh nothing.
 2. A randomised decomposition of the TF-IDF matrix: one more pass sums A'(A W) for a random
    W, every task for its own passages; the benchmark's items join with as much energy as the
    corpus. The leading right singular vectors map words to ``RANK`` dimensions.
@@ -38,7 +38,7 @@ RANK = 128
 EXTRA = 8
 BUCKETS = 1 << 15
 ITEMS = 20_000
-COMMON = 0.1
+COMMON = 0.01
 COSINE = 0.4
 LCS = 0.7
 LCS_ALONE = 0.85
@@ -53,11 +53,18 @@ class Items:
     answers: list[int]  # words of the answer, at the end
     vocabulary: np.ndarray  # sorted hashes of all items' words
 
+    @property
+    def buckets(self) -> int:
+        return min(len(self.vocabulary), BUCKETS)
+
     def columns(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the words that an item has, their bucket)."""
-        spot = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        have = np.flatnonzero(self.vocabulary[spot] == hashes)
-        spot = spot[have]
+        heads = np.zeros(1 << 18, bool)
+        heads[self.vocabulary >> np.uint64(46)] = True
+        have = np.flatnonzero(heads[hashes >> np.uint64(46)])
+        spot = np.minimum(np.searchsorted(self.vocabulary, hashes[have]), len(self.vocabulary) - 1)
+        same = self.vocabulary[spot] == hashes[have]
+        have, spot = have[same], spot[same]
         return have, spot if len(self.vocabulary) <= BUCKETS else (mix(hashes[have]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
@@ -106,18 +113,14 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return found[:-1], int(found[-1])
 
 
-def _sparse_sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``values`` (one row for each of ``rows``) by row number."""
-    out = np.zeros((size, values.shape[1]), np.float32)
-    if len(rows):
-        order = np.argsort(rows, kind="stable")
-        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        out[rows[order][starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, sums of ``values``) over runs of equal, sorted ``rows``."""
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[starts], np.add.reduceat(values, starts, axis=0)
 
 
-def _random(size: int) -> np.ndarray:
-    return np.random.default_rng(17).normal(size=(BUCKETS, size)).astype(np.float32)
+def _random(rows: int, size: int) -> np.ndarray:
+    return np.random.default_rng(17).standard_normal((rows, size), np.float32)
 
 
 def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -> tuple[np.ndarray, float]:
@@ -126,7 +129,7 @@ def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -
 
     def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weight = shared.value
-        random, total, energy = _random(size), np.zeros((BUCKETS, size), np.float32), 0.0
+        random, total, energy = _random(items.buckets, size), np.zeros((items.buckets, size), np.float32), 0.0
         for batch in batches(rows, "text", 1 << 20):
             hashes, offsets = word_hashes(batch.column(0), letters=True)
             half, _ = _passages(offsets, len(hashes))
@@ -135,13 +138,13 @@ def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -
             half, column = half[have][keep], column[keep]
             for at in range(0, len(column), 1 << 16):
                 own, c = half[at : at + (1 << 16)], column[at : at + (1 << 16)]
-                own = own - own[0]
                 value = weight[c][:, None]
-                mapped = _sparse_sums(own, value * random[c], int(own[-1]) + 1)
-                part = value * mapped[own]
+                passages, mapped = _sums(own, value * random[c])
                 order = np.argsort(c, kind="stable")
-                starts = np.flatnonzero(np.diff(c[order], prepend=-1))
-                total[c[order][starts]] += np.add.reduceat(part[order], starts, axis=0)
+                part = mapped[np.searchsorted(passages, own[order])]
+                part *= value[order]
+                buckets, sums = _sums(c[order], part)
+                total[buckets] += sums
                 energy += float((value * value).sum())
         some = np.flatnonzero(total.any(axis=1))
         total = np.concatenate([total[some], np.full((1, size), energy, np.float32)])
@@ -162,10 +165,13 @@ def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -
 
     kind = "bucket int, sums binary"
     rows = doc_rows(docs, "text").mapInArrow(partial, kind).repartition("bucket").mapInArrow(merged, kind).collect()
-    total = np.zeros((BUCKETS + 1, size))
+    total, energy = np.zeros((items.buckets, size)), 0.0
     for row in rows:  # BUCKETS + 1 rows at most
-        total[row["bucket"]] = np.frombuffer(row["sums"], np.float64)
-    return total[:-1], float(total[-1, 0])
+        if row["bucket"] == BUCKETS:
+            energy = float(np.frombuffer(row["sums"], np.float64)[0])
+        else:
+            total[row["bucket"]] = np.frombuffer(row["sums"], np.float64)
+    return total, energy
 
 
 def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +179,7 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
     counts, passages = _frequencies(docs, items)
     weight = np.log((passages + 1) / (counts + 0.5)).astype(np.float32)
     weight[counts > max(COMMON * passages, 20)] = 0
-    weight = np.maximum(weight, 0)
+    weight = np.maximum(weight, 0)[: items.buckets]
     size = RANK + EXTRA
     total, energy = _corpus_sums(docs, items, weight, size)
     rows = [items.columns(w)[1] for w in items.words]
@@ -183,7 +189,7 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
         np.add.at(tfidf[i], np.searchsorted(used, columns), weight[columns])
     own = float((tfidf**2).sum())
     share = max(energy, 1.0) / max(own, 1e-9)
-    random = _random(size)
+    random = _random(items.buckets, size)
     total[used] += share * (tfidf.T @ (tfidf @ random[used]))
     shift = 1e-6 * np.linalg.norm(total)
     total = total + shift * random
@@ -227,8 +233,18 @@ def confirm(item: np.ndarray, answer: int, text: np.ndarray) -> tuple[float, flo
     return best if share >= LCS_ALONE or share >= LCS and answered >= ANSWER else None
 
 
+def _least_words(items: Items, weight: np.ndarray) -> int:
+    """Weighted words that some window on a confirmed item has at least: a share of 1 - LCS of its words may be others'."""
+    least = np.inf
+    for words in items.words:
+        known, n = int((weight[items.columns(words)[1]] > 0).sum()), len(words)
+        least = min(least, (known - (1 - LCS) * n) * min(1, HALF / n))
+    return max(1, int(least))
+
+
 def _search(docs: DataFrame, items: Items) -> DataFrame:
     weight, vectors, targets = latent_space(docs, items)
+    least = _least_words(items, weight)
     shared = docs.sparkSession.sparkContext.broadcast((items, weight, vectors, targets))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,20 +253,27 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
             hashes, offsets = word_hashes(batch.column(1), letters=True)
             half, owner = _passages(offsets, len(hashes))
             have, column = items.columns(hashes)
+            live = weight[column] > 0
+            have, column = have[live], column[live]
+            places = half[have]
             near: dict[tuple[int, int], list] = {}
             step = 8192
             for at in range(0, len(owner), step):
                 to = min(at + step + 1, len(owner))
-                a, b = np.searchsorted(half[have], [at, to])
-                c = column[a:b]
-                place = half[have[a:b]] - at
-                sums = _sparse_sums(place, vectors[c], to - at)
-                norms = np.bincount(place, weight[c].astype(np.float64) ** 2, to - at)
+                a, b = np.searchsorted(places, [at, to])
+                if a == b:
+                    continue
+                c, place = column[a:b], places[a:b] - at
+                counts, norms = np.bincount(place, minlength=to - at), np.bincount(place, weight[c].astype(np.float64) ** 2, to - at)
                 joined = np.append(owner[at : to - 1] == owner[at + 1 : to], False)
-                sums[:-1] += sums[1:] * joined[:-1, None]
+                counts[:-1] += counts[1:] * joined[:-1]
+                live = np.flatnonzero(counts[: min(step, to - at)] >= least)
+                sums = np.zeros((to - at + 1, vectors.shape[1]), np.float32)
+                rows, values = _sums(place, vectors[c])
+                sums[rows] = values
                 norms[:-1] += norms[1:] * joined[:-1]
-                live = np.flatnonzero(norms[: min(step, to - at)] > 0)
-                cosine = sums[live] @ targets.T / np.sqrt(norms[live])[:, None]
+                windows = sums[live] + sums[live + 1] * joined[live, None]
+                cosine = windows @ targets.T / np.sqrt(norms[live])[:, None].astype(np.float32)
                 for window, item in zip(*np.nonzero(cosine >= COSINE)):
                     key = (int(owner[at + live[window]]), int(item))
                     near.setdefault(key, []).append((at + int(live[window]), float(cosine[window, item])))
