@@ -20,12 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliant.llm.common import doc_rows, drawn, fold_of
-from foliant.llm.words import batches, mix, word_hashes
+from foliant.llm.words import batches, word_hashes
 
 BUCKETS = 1 << 16
 DIMS = 8
@@ -51,7 +52,7 @@ class Model:
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket numbers of the word and its two prefixes, word offsets of n + 1 texts)."""
     hashes, offsets = word_hashes(texts, letters=True, prefixes=PREFIXES)
-    return (hashes >> np.uint64(48)).astype(np.int32), offsets
+    return (hashes >> np.uint64(48)).astype(np.uint16), offsets
 
 
 def _responses(model: Model, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -137,7 +138,7 @@ def train(ids: list[np.ndarray], labels: np.ndarray, epochs: int = 4, seed: int
         for at in range(0, len(second), 32):
             some = second[at : at + 32]
             offsets = np.concatenate([[0], np.cumsum([len(ids[i]) for i in some])])
-            rows = np.concatenate([ids[i] for i in some]) if offsets[-1] else np.zeros((0, 3), np.int32)
+            rows = np.concatenate([ids[i] for i in some]) if offsets[-1] else np.zeros((0, 3), np.uint16)
             pooled, places = _winners(model, rows, offsets)
             p = 1 / (1 + np.exp(-(pooled @ model.out + model.bias)))
             error = ((p - labels[some]) * weight[labels[some]] / len(some)).astype(np.float32)
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, longest: int = 2
     labels_of = np.array([int(r["toxic"]) for r in rows], int)
     if len(set(labels_of.tolist())) < 2:
         return None
-    return train([np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in rows], labels_of)
+    return train([np.frombuffer(r["ids"], np.uint16).reshape(-1, 1 + len(PREFIXES)) for r in rows], labels_of)
 
 
 def score_texts(model: Model | None, texts: pa.Array) -> np.ndarray:
@@ -216,13 +217,14 @@ def score_texts(model: Model | None, texts: pa.Array) -> np.ndarray:
 def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """(row, score): each row of ``docs`` as a struct, so that no column can clash, and its score from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, "text", 2 << 20):
-            scores = score_texts(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
+        for batch in rows:
+            texts = pa.record_batch([pc.struct_field(batch.column(0), "text")], ["text"])
+            scores = [score_texts(shared.value, some.column(0)) for some in batches([texts], "text", 2 << 20)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]))], ["row", "score"])
 
     return rows.mapInArrow(run, schema)
 
@@ -260,8 +262,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     if model is None:
         return docs
-    known = doc_rows(docs, "doc_id", "text", "lang").join(doc_rows(labels, "doc_id").distinct(), "doc_id", "left_semi")
-    bars = thresholds(with_scores(known, model), labels)
+    bars = thresholds(with_scores(doc_rows(docs, "doc_id", "text", "lang"), model), labels)
     bar = F.lit(0.5)
     for lang, value in sorted(bars.items()):
         bar = F.when(F.coalesce(F.col("row.lang"), F.lit("")) == lang, F.lit(value)).otherwise(bar)
