@@ -6,7 +6,7 @@
    W, every task for its own passages; the benchmark's items join with as much energy as the
    corpus. The leading right singular vectors map words to ``RANK`` dimensions.
 3. Every window of two half passages of every text meets every item in that space; the
-   cosine uses the norms of the full vectors. Windows at ``COSINE`` or above are candidates.
+   cosine uses the window's full norm. Windows at ``COSINE`` or above are candidates.
 4. A candidate is confirmed by the longest common subsequence of words about the window,
    and by the part of it that falls on the item's answer (what follows the last question
    mark, else its last fifth).
@@ -34,8 +34,10 @@ from foliant.llm.words import batches, mix, word_hashes
 
 PASSAGE = 32
 HALF = PASSAGE // 2
-RANK = 128
-EXTRA = 8
+RANK = 256
+EXTRA = 16
+#: Energy of the items in the decomposition, as a multiple of the corpus's.
+ITEM_SHARE = 16
 BUCKETS = 1 << 15
 ITEMS = 20_000
 COMMON = 0.01
@@ -175,7 +177,7 @@ def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -
 
 
 def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(IDF weight by bucket, word vectors scaled by it, items' vectors of unit full norm)."""
+    """(IDF weight by bucket, word vectors scaled by it, items' vectors of unit norm)."""
     counts, passages = _frequencies(docs, items)
     weight = np.log((passages + 1) / (counts + 0.5)).astype(np.float32)
     weight[counts > max(COMMON * passages, 20)] = 0
@@ -188,7 +190,7 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
     for i, columns in enumerate(rows):
         np.add.at(tfidf[i], np.searchsorted(used, columns), weight[columns])
     own = float((tfidf**2).sum())
-    share = max(energy, 1.0) / max(own, 1e-9)
+    share = ITEM_SHARE * max(energy, 1.0) / max(own, 1e-9)
     random = _random(items.buckets, size)
     total[used] += share * (tfidf.T @ (tfidf @ random[used]))
     shift = 1e-6 * np.linalg.norm(total)
@@ -197,8 +199,8 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
     value, vector = np.linalg.eigh((core + core.T) / 2)
     root = vector / np.sqrt(np.maximum(value, shift * 1e-6 + 1e-12))
     basis = np.linalg.svd(total @ root, full_matrices=False)[0][:, :RANK].astype(np.float32)
-    norms = np.maximum(np.sqrt((tfidf**2).sum(axis=1)), 1e-9)
-    return weight, basis * weight[:, None], tfidf @ basis[used] / norms[:, None]
+    targets = tfidf @ basis[used]
+    return weight, basis * weight[:, None], targets / np.maximum(np.linalg.norm(targets, axis=1), 1e-9)[:, None]
 
 
 def common_words(item: np.ndarray, text: np.ndarray) -> int:

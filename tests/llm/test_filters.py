@@ -225,3 +225,13 @@ def test_collisions_take_another_attempt(spark):
     assert {r.value for r in again} >= set(ips[:5])
     texts = [r.text for r in surrogates.replaced(docs, "k").orderBy("doc_id").collect()]
     assert len(set(texts)) == len(texts) and not {t.split(" ")[1] for t in texts} & set(ips + taken)
+
+
+def test_every_item_found_word_by_word_is_a_leak(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.01")
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = lambda text: f" {' '.join(re.findall(r'[^\W_]+', text.lower()))} "
+    items = {r.item_id: words(r.text) for r in bench.collect()}
+    whole = {(r.doc_id, i) for r in docs.collect() for text in [words(r.text)] for i, item in items.items() if item in text}
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert len(whole) > 10 and got >= whole and len(got - whole) <= 0.02 * len(whole) + 1
