@@ -34,8 +34,8 @@ from foliant.llm.words import batches, mix, word_hashes
 
 PASSAGE = 32
 HALF = PASSAGE // 2
-RANK = 256
-EXTRA = 16
+RANK = 224
+EXTRA = 8
 #: Energy of the items in the decomposition, as a multiple of the corpus's.
 ITEM_SHARE = 16
 BUCKETS = 1 << 15
