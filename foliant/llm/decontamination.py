@@ -3,16 +3,17 @@
 1. Document frequencies of the benchmark's words over all passages of the corpus (runs of
    ``PASSAGE`` words) give TF-IDF weights; words in over 1 % of the passages weigh nothing.
 2. A randomised decomposition of the TF-IDF matrix: one more pass sums A'(A W) for a random
-   W, every task for its own passages; the benchmark's items join with as much energy as the
-   corpus. The leading right singular vectors map words to ``RANK`` dimensions.
+   W, every task for its own passages. The items' own directions come first, exactly, then
+   the corpus's leading ones: ``RANK`` dimensions, so an item keeps its whole length.
 3. Every window of two half passages of every text meets every item in that space; the
    cosine uses the window's full norm. Windows at ``COSINE`` or above are candidates.
 4. A candidate is confirmed by the longest common subsequence of words about the window,
    and by the part of it that falls on the item's answer (what follows the last question
    mark, else its last fifth).
 
-Items come in blocks of ``ITEMS``, each a pass; a block's word table has at most ``BUCKETS``
-rows, so broadcasts have one bound (about 20 MB) for any corpus or benchmark.
+Items come in blocks of at most ``RANK``, each with three passes (rows are fetched ``ITEMS`` at a
+time); a block's word table has at most ``BUCKETS`` rows, so broadcasts have one bound (about
+30 MB) for any corpus or benchmark.
 
 Defined results: null or empty texts and items match nothing; items under ``SHORT`` words
 must be found word by word; repeated rows give one pair; an empty corpus or benchmark gives
@@ -36,8 +37,6 @@ PASSAGE = 32
 HALF = PASSAGE // 2
 RANK = 224
 EXTRA = 8
-#: Energy of the items in the decomposition, as a multiple of the corpus's.
-ITEM_SHARE = 16
 BUCKETS = 1 << 15
 ITEMS = 20_000
 COMMON = 0.01
@@ -125,13 +124,13 @@ def _random(rows: int, size: int) -> np.ndarray:
     return np.random.default_rng(17).standard_normal((rows, size), np.float32)
 
 
-def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """(A'(A W), squared norm of A) for the TF-IDF matrix A of all half passages."""
+def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -> np.ndarray:
+    """A'(A W) for the TF-IDF matrix A of all half passages."""
     shared = docs.sparkSession.sparkContext.broadcast((items, weight))
 
     def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weight = shared.value
-        random, total, energy = _random(items.buckets, size), np.zeros((items.buckets, size), np.float32), 0.0
+        random, total = _random(items.buckets, size), np.zeros((items.buckets, size), np.float32)
         for batch in batches(rows, "text", 1 << 20):
             hashes, offsets = word_hashes(batch.column(0), letters=True)
             half, _ = _passages(offsets, len(hashes))
@@ -147,10 +146,8 @@ def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -
                 part *= value[order]
                 buckets, sums = _sums(c[order], part)
                 total[buckets] += sums
-                energy += float((value * value).sum())
         some = np.flatnonzero(total.any(axis=1))
-        total = np.concatenate([total[some], np.full((1, size), energy, np.float32)])
-        buckets = np.append(some, BUCKETS).astype(np.int32)
+        total, buckets = total[some], some.astype(np.int32)
         for at in range(0, len(buckets), 2000):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(buckets[at : at + 2000]), pa.array([v.tobytes() for v in total[at : at + 2000]], pa.binary())], ["bucket", "sums"]
@@ -167,13 +164,10 @@ def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -
 
     kind = "bucket int, sums binary"
     rows = doc_rows(docs, "text").mapInArrow(partial, kind).repartition("bucket").mapInArrow(merged, kind).collect()
-    total, energy = np.zeros((items.buckets, size)), 0.0
-    for row in rows:  # BUCKETS + 1 rows at most
-        if row["bucket"] == BUCKETS:
-            energy = float(np.frombuffer(row["sums"], np.float64)[0])
-        else:
-            total[row["bucket"]] = np.frombuffer(row["sums"], np.float64)
-    return total, energy
+    total = np.zeros((items.buckets, size))
+    for row in rows:  # BUCKETS rows at most
+        total[row["bucket"]] = np.frombuffer(row["sums"], np.float64)
+    return total
 
 
 def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,22 +177,25 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
     weight[counts > max(COMMON * passages, 20)] = 0
     weight = np.maximum(weight, 0)[: items.buckets]
     size = RANK + EXTRA
-    total, energy = _corpus_sums(docs, items, weight, size)
+    total = _corpus_sums(docs, items, weight, size)
     rows = [items.columns(w)[1] for w in items.words]
     tfidf = np.zeros((len(rows), len(np.unique(np.concatenate(rows)))), np.float32)
     used = np.unique(np.concatenate(rows))
     for i, columns in enumerate(rows):
         np.add.at(tfidf[i], np.searchsorted(used, columns), weight[columns])
-    own = float((tfidf**2).sum())
-    share = ITEM_SHARE * max(energy, 1.0) / max(own, 1e-9)
+    span, length, _ = np.linalg.svd(tfidf.T.astype(np.float64), full_matrices=False)
+    own = np.zeros((items.buckets, int((length > 1e-6 * max(length.max(), 1e-9)).sum())))
+    own[used] = span[:, : own.shape[1]]
     random = _random(items.buckets, size)
-    total[used] += share * (tfidf.T @ (tfidf @ random[used]))
-    shift = 1e-6 * np.linalg.norm(total)
+    shift = 1e-6 * np.linalg.norm(total) + 1e-9
     total = total + shift * random
     core = random.T.astype(np.float64) @ total
     value, vector = np.linalg.eigh((core + core.T) / 2)
     root = vector / np.sqrt(np.maximum(value, shift * 1e-6 + 1e-12))
-    basis = np.linalg.svd(total @ root, full_matrices=False)[0][:, :RANK].astype(np.float32)
+    led = total @ root
+    rest, length, _ = np.linalg.svd(led - own @ (own.T @ led), full_matrices=False)
+    rest = rest[:, length > 1e-6 * np.linalg.norm(led)][:, : RANK - own.shape[1]]
+    basis = np.concatenate([own, rest], axis=1).astype(np.float32)
     targets = tfidf @ basis[used]
     return weight, basis * weight[:, None], targets / np.maximum(np.linalg.norm(targets, axis=1), 1e-9)[:, None]
 
@@ -310,9 +307,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     for block in range(blocks):
         some = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        items = read_items(sorted(some.collect(), key=lambda r: (r["item_id"], r["text"])))  # ITEMS rows, more or less
-        if items.ids:
-            found = found.unionByName(_search(docs, items))
+        rows = sorted(some.collect(), key=lambda r: (r["item_id"], r["text"]))  # ITEMS rows, more or less
+        for at in range(0, len(rows), RANK):
+            items = read_items(rows[at : at + RANK])
+            if items.ids:
+                found = found.unionByName(_search(docs, items))
     best = F.max(F.struct("lcs_share", "answer_share", "cosine", "word")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.cosine", "best.lcs_share", "best.answer_share", "best.word"

@@ -235,3 +235,12 @@ def test_every_item_found_word_by_word_is_a_leak(spark, sf):
     whole = {(r.doc_id, i) for r in docs.collect() for text in [words(r.text)] for i, item in items.items() if item in text}
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
     assert len(whole) > 10 and got >= whole and len(got - whole) <= 0.02 * len(whole) + 1
+
+
+def test_more_items_than_dimensions_are_all_found(spark):
+    items = [item(7000 + i, 16 + i % 40) for i in range(2000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{item(10_000 + i, 20)} {text} {item(20_000 + i, 20)}" for i, text in enumerate(items) if i % 5 == 0]
+    whole = {(d, i) for d, text in enumerate(texts) for i, t in enumerate(items) if f" {t} " in text}
+    assert len(whole) == 400
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, texts), bench).collect()} == whole
