@@ -7,7 +7,10 @@
    the corpus's leading ones: ``RANK`` dimensions, so an item keeps its whole length.
 3. Every window of two half passages of every text meets every item in that space; the
    cosine uses the window's full norm. Windows at ``COSINE`` or above are candidates.
-4. A candidate is confirmed by the longest common subsequence of words about the window,
+4. Independent of weights and bars, the rarest words of each item lead to the runs of half
+   passages that hold as many of them as any confirmed copy must: further candidates, so that
+   items of common words, and copies that the space ranks too low, are found as well.
+5. A candidate is confirmed by the longest common subsequence of words about the window,
    and by the part of it that falls on the item's answer (what follows the last question
    mark, else its last fifth).
 
@@ -22,6 +25,7 @@ no pairs; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -170,8 +174,8 @@ def _corpus_sums(docs: DataFrame, items: Items, weight: np.ndarray, size: int) -
     return total
 
 
-def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(IDF weight by bucket, word vectors scaled by it, items' vectors of unit norm)."""
+def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(passages by bucket, IDF weight by bucket, word vectors scaled by it, items' vectors of unit norm)."""
     counts, passages = _frequencies(docs, items)
     weight = np.log((passages + 1) / (counts + 0.5)).astype(np.float32)
     weight[counts > max(COMMON * passages, 20)] = 0
@@ -197,7 +201,7 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
     rest = rest[:, length > 1e-6 * np.linalg.norm(led)][:, : RANK - own.shape[1]]
     basis = np.concatenate([own, rest], axis=1).astype(np.float32)
     targets = tfidf @ basis[used]
-    return weight, basis * weight[:, None], targets / np.maximum(np.linalg.norm(targets, axis=1), 1e-9)[:, None]
+    return counts, weight, basis * weight[:, None], targets / np.maximum(np.linalg.norm(targets, axis=1), 1e-9)[:, None]
 
 
 def common_words(item: np.ndarray, text: np.ndarray) -> int:
@@ -213,6 +217,11 @@ def common_words(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def _span(n: int) -> int:
+    """Words that a confirmed item of ``n`` words lies in."""
+    return n + n // 4 + 2
+
+
 def confirm(item: np.ndarray, answer: int, text: np.ndarray) -> tuple[float, float, int] | None:
     """(share of the item, share of its answer, place) where ``text`` holds it best; None where not confirmed."""
     n = len(item)
@@ -221,7 +230,7 @@ def confirm(item: np.ndarray, answer: int, text: np.ndarray) -> tuple[float, flo
             if (text[at : at + n] == item).all():
                 return 1.0, 1.0, at
         return None
-    width, best = n + n // 4 + 2, (0.0, 0.0, 0)
+    width, best = _span(n), (0.0, 0.0, 0)
     known = np.isin(text, item)
     for at in range(0, max(1, len(text) - width + max(1, n // 4)), max(1, n // 4)):
         if known[at : at + width].sum() >= LCS * n:
@@ -241,17 +250,64 @@ def _least_words(items: Items, weight: np.ndarray) -> int:
     return max(1, int(least))
 
 
+@dataclass
+class RareWords:
+    """Items by their rarest words; a confirmed copy has ``least`` of them in ``reach`` half passages."""
+
+    starts: np.ndarray  # by bucket, into ``owners``
+    owners: np.ndarray
+    least: np.ndarray  # by item, as ``reach``
+    reach: np.ndarray
+
+    def runs(self, column: np.ndarray, half: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first half passage, the one after the last); ``ends``: by half passage, the first one of the next text."""
+        n = self.starts[column + 1] - self.starts[column]
+        column, half, n = column[n > 0], half[n > 0], n[n > 0]
+        place = np.arange(n.sum()) + np.repeat(self.starts[column] - (np.cumsum(n) - n), n)
+        most = len(ends) + 1
+        keys, counts = np.unique(self.owners[place] * most + np.repeat(half, n), return_counts=True)
+        item, first = keys // most, keys % most
+        last = np.minimum(first + self.reach[item], ends[first])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        held = upto[np.searchsorted(keys, item * most + last)] - upto[:-1]
+        hit = np.flatnonzero(held >= self.least[item])
+        item, first, last = item[hit], first[hit], last[hit]
+        apart = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (first >= np.concatenate([[0], last[:-1]])) | (ends[first] != np.concatenate([[0], ends[first[:-1]]])))
+        stop = np.append(apart[1:], len(item)) - 1 if len(item) else apart
+        yield from zip(item[apart].tolist(), first[apart].tolist(), last[stop].tolist())
+
+
+def rare_words(items: Items, counts: np.ndarray) -> RareWords:
+    """Of an item, n - need words may be missing: of any n - need + least of its words, ``least`` are there."""
+    buckets, owners, least, reach = [], [], [], []
+    for i, words in enumerate(items.words):
+        n = len(words)
+        need = math.ceil(LCS * n - 1e-9)
+        least.append(max(1, need // 3)), reach.append((HALF + _span(n) - 2) // HALF + 1)
+        if n >= SHORT:
+            column = items.columns(words)[1]
+            some = np.unique(column[np.argsort(counts[column], kind="stable")[: n - need + least[-1]]])
+            buckets.append(some), owners.append(np.full(len(some), i))
+    column, owner = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (buckets, owners))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=items.buckets))])
+    return RareWords(starts, owner[np.argsort(column, kind="stable")], np.array(least), np.array(reach))
+
+
 def _search(docs: DataFrame, items: Items) -> DataFrame:
-    weight, vectors, targets = latent_space(docs, items)
+    counts, weight, vectors, targets = latent_space(docs, items)
     least = _least_words(items, weight)
-    shared = docs.sparkSession.sparkContext.broadcast((items, weight, vectors, targets))
+    shared = docs.sparkSession.sparkContext.broadcast((items, weight, vectors, targets, rare_words(items, counts)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, vectors, targets = shared.value
+        items, weight, vectors, targets, rare = shared.value
         for batch in batches(rows, "text", 2 << 20):
             hashes, offsets = word_hashes(batch.column(1), letters=True)
             half, owner = _passages(offsets, len(hashes))
             have, column = items.columns(hashes)
+            first = np.searchsorted(owner, np.arange(len(offsets)))
+            runs: dict[tuple[int, int], list] = {}
+            for item, a, b in rare.runs(column, half[have], first[owner + 1]):
+                runs.setdefault((int(owner[a]), item), []).append((a, b))
             live = weight[column] > 0
             have, column = have[live], column[live]
             places = half[have]
@@ -276,16 +332,26 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                 for window, item in zip(*np.nonzero(cosine >= COSINE)):
                     key = (int(owner[at + live[window]]), int(item))
                     near.setdefault(key, []).append((at + int(live[window]), float(cosine[window, item])))
-            first = np.searchsorted(owner, np.arange(len(offsets) - 1))
             out: list[list] = [[], [], [], [], [], []]
-            for (text, item), windows in near.items():
+            for text, item in dict.fromkeys([*near, *runs]):
                 n, best, done = len(items.words[item]), None, -1
-                for window, cosine in windows:
+                for window, cosine in near.get((text, item), []):
                     place = (window - first[text]) * HALF
                     lo, hi = max(0, place - n, done), min(offsets[text + 1] - offsets[text], place + PASSAGE + n)
                     found = confirm(items.words[item], items.answers[item], hashes[offsets[text] + lo : offsets[text] + hi])
                     if found and (best is None or found[0] > best[0]):
                         best = (found[0], found[1], cosine, int(lo + found[2]))
+                for a, b in runs.get((text, item), []):
+                    if best and best[0] == 1:
+                        break
+                    step, words = max(1, n // 4), hashes[offsets[text] : offsets[text + 1]]
+                    lo = max(0, (a - first[text]) * HALF - _span(n)) // step * step
+                    found = confirm(items.words[item], items.answers[item], words[lo : (b - first[text]) * HALF + _span(n)])
+                    if found and (best is None or found[0] > best[0]):
+                        at = int(lo + found[2])
+                        c = items.columns(words[at : at + PASSAGE])[1]
+                        norm = max(float(np.linalg.norm(weight[c])), 1e-9)
+                        best = (found[0], found[1], float(vectors[c].sum(axis=0) @ targets[item]) / norm, at)
                 if best:
                     for values, value in zip(out, (batch.column(0)[text].as_py(), items.ids[item], best[2], best[0], best[1], best[3])):
                         values.append(value)

@@ -244,3 +244,19 @@ def test_more_items_than_dimensions_are_all_found(spark):
     whole = {(d, i) for d, text in enumerate(texts) for i, t in enumerate(items) if f" {t} " in text}
     assert len(whole) == 400
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, texts), bench).collect()} == whole
+
+
+def test_items_of_words_that_stand_everywhere_are_found(spark):
+    hot, common = item(91, 24), "the of and to in a is it for on with as was by".split()
+    plain = " ".join(random.Random(5).choice(common) for _ in range(30))
+    bench = spark.createDataFrame([(0, hot), (1, plain), (2, item(92, 30))], "item_id long, text string")
+    texts, planted = [], set()
+    for i in range(240):
+        mixed = [random.Random(600 + i * 99 + k).choice([*common, *item(i * 99 + k, 2).split()]) for k in range(90)]
+        for k, text in ((0, hot), (1, plain)):
+            if i % 3 == 0 or i % 40 == k:
+                mixed.insert(40 + k, text)
+                planted.add((i, k))
+        texts.append(" ".join(mixed))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, texts), bench).collect()}
+    assert got == planted and len(planted) > 160
