@@ -9,7 +9,8 @@
    cosine uses the window's full norm. Windows at ``COSINE`` or above are candidates.
 4. Independent of weights and bars, the rarest words of each item lead to the runs of half
    passages that hold as many of them as any confirmed copy must: further candidates, so that
-   items of common words, and copies that the space ranks too low, are found as well.
+   items of common words, long ones (of which a window is a small part) and short ones (a small
+   part of a window), and other copies that the space ranks too low, are found as well.
 5. A candidate is confirmed by the longest common subsequence of words about the window,
    and by the part of it that falls on the item's answer (what follows the last question
    mark, else its last fifth).
@@ -282,12 +283,11 @@ def rare_words(items: Items, counts: np.ndarray) -> RareWords:
     buckets, owners, least, reach = [], [], [], []
     for i, words in enumerate(items.words):
         n = len(words)
-        need = math.ceil(LCS * n - 1e-9)
-        least.append(max(1, need // 3)), reach.append((HALF + _span(n) - 2) // HALF + 1)
-        if n >= SHORT:
-            column = items.columns(words)[1]
-            some = np.unique(column[np.argsort(counts[column], kind="stable")[: n - need + least[-1]]])
-            buckets.append(some), owners.append(np.full(len(some), i))
+        need = math.ceil(LCS * n - 1e-9) if n >= SHORT else n
+        least.append(max(1, need // 3) if n >= SHORT else n), reach.append((HALF + _span(n) - 2) // HALF + 1)
+        column = items.columns(words)[1]
+        some = np.unique(column[np.argsort(counts[column], kind="stable")[: n - need + least[-1]]])
+        buckets.append(some), owners.append(np.full(len(some), i))
     column, owner = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (buckets, owners))
     starts = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=items.buckets))])
     return RareWords(starts, owner[np.argsort(column, kind="stable")], np.array(least), np.array(reach))

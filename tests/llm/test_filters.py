@@ -260,3 +260,24 @@ def test_items_of_words_that_stand_everywhere_are_found(spark):
         texts.append(" ".join(mixed))
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, texts), bench).collect()}
     assert got == planted and len(planted) > 160
+
+
+def test_items_of_any_length_are_found(spark):
+    lengths = [1, 2, 3, 4, 5, 60, 150, 250, 400, 1200]
+    items = [item(300 + i, n) for i, n in enumerate(lengths)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts, planted = [item(40_000, 300)], set()
+    others = [item(350 + i, 30) for i in range(20)]  # words of the benchmark around them
+    bench = bench.unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(others)], bench.schema))
+    for i, text in enumerate(items):
+        around = [" ".join(random.Random(i * 50 + k).sample(" ".join(others).split(), 60)) for k in range(2)]
+        planted.add((len(texts), i))
+        texts.append(f"{around[0]} {text} {around[1]}")
+        if lengths[i] >= 60:  # a paraphrase: 72 % of the words
+            words = text.split()
+            kept = [f"other{k}" if k % 25 in (1, 4, 8, 11, 15, 18, 22) else w for k, w in enumerate(words)]
+            planted.add((len(texts), i))
+            texts.append(f"{item(50_000 + i, 40)} {' '.join(kept)} {item(60_000 + i, 40)}")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, texts), bench).collect()}
+    singles = {(d, 0) for d, text in enumerate(texts) if items[0] in text.split()}
+    assert got == planted | singles
