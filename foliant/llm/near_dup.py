@@ -171,23 +171,26 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 def _in_blocks(mixed: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, p) that join what is still apart in a bucket: every pair of its members is considered.
 
-    ``mixed``: (key, band, members, class_id, component, brief, text). Members of a bucket are dealt into
+    ``mixed``: (key, band, members, class_id, component, brief, keys, text). Members of a bucket are dealt into
     blocks; a task gets two blocks at a time, compares full sets where the sketches do not
     exclude a link, and returns only edges that join components. A pair is compared in
-    the first band that both share.
+    the first band that both share, by the keys that made the buckets; a class without keys (its id
+    has several rows) is compared in every band.
     """
     share = percent / 100
     bar = COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class_id", F.lit(7)), blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "component", "brief", "text")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "component", "brief", "keys", "text")
 
     def compare(group: pa.Table) -> pa.Table:
         ids, component = group["class_id"].to_numpy(), group["component"].to_numpy().copy()
         own, brief = group["own"].to_numpy(), np.frombuffer(b"".join(group["brief"].to_pylist()), np.uint8).reshape(len(ids), -1)
         values, offsets = shingle_sets(group["text"].combine_chunks(), words)
-        bands = brief.reshape(len(ids), -1, ROWS)
+        lists = group["keys"].combine_chunks()
+        sure, keys = lists.is_valid().to_numpy(zero_copy_only=False), np.zeros((len(ids), COORDINATES // ROWS), np.int64)
+        keys[sure] = lists.flatten().to_numpy().reshape(-1, keys.shape[1])
         i, j, band = (group[c][0].as_py() for c in ("i", "j", "band"))
         right = np.flatnonzero(own == j)
         a, p = [], []
@@ -195,7 +198,7 @@ def _in_blocks(mixed: DataFrame, words: int, percent: int) -> DataFrame:
             near = right[component[right] != component[x]]
             near = near[near > x] if i == j else near
             near = near[(brief[near] == brief[x]).sum(axis=1) >= bar]
-            near = near[~(bands[near, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
+            near = near[~(sure[x] & sure[near] & (keys[near, :band] == keys[x, :band]).any(axis=1))]
             for y in near:
                 if component[y] != component[x] and similar(
                     values[offsets[x] : offsets[x + 1]], values[offsets[y] : offsets[y + 1]], percent
@@ -239,9 +242,10 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
         else:  # of buckets with the same members, the one of the first band
             state = state.groupBy("members", "print").agg(F.min_by("key", "band").alias("key"))
             members = stored(placed.join(state.select("key", "members"), "key"), "mixed")
-            briefs = reps.select("class_id", "brief").dropDuplicates(["class_id"])
+            one = F.when(F.count(F.lit(1)) == 1, F.first("keys")).alias("keys")
+            briefs = reps.groupBy("class_id").agg(F.first("brief").alias("brief"), one)
             known = members.select("class_id").distinct().join(briefs, "class_id")
-            texts = doc_rows(docs, "doc_id", "text").join(broadcast_checked(known), F.col("doc_id") == F.col("class_id")).select("class_id", "brief", "text")
+            texts = doc_rows(docs, "doc_id", "text").join(broadcast_checked(known), F.col("doc_id") == F.col("class_id")).select("class_id", "brief", "keys", "text")
             found = _in_blocks(members.join(texts, "class_id"), words, percent)
         found = stored(found, "edges")
         if not found.isEmpty():

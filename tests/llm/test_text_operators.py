@@ -193,3 +193,16 @@ def test_crc_of_pieces(spark):
 
     row = packing.token_pieces(rows_of(spark, ["one"]), tokenizer_path()).select("ids", F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(bytes(row.ids))
+
+
+def test_a_pair_meets_in_the_first_band_that_both_share(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join([*words[:280], *"some other words at the end".split()])]
+    brief = bytes(near_dup.COORDINATES)  # the bytes agree where the coordinates don't
+    bands = near_dup.COORDINATES // near_dup.ROWS
+    kind = "key long, band int, members long, class_id long, component long, brief binary, keys array<long>, text string"
+    for shared, found in ([7], 1), ([3, 7], 0), (None, 1):
+        keys = [[b if b in (shared or ()) else 1000 * (k + 1) + b for b in range(bands)] for k in range(2)]
+        rows = [(7, 7, 2, k, k, brief, keys[k] if shared else None, texts[k]) for k in range(2)]
+        edges = near_dup._in_blocks(spark.createDataFrame(rows, kind), 2, 80).collect()
+        assert [(r.a, r.p) for r in edges] == [(1, 0)] * found
