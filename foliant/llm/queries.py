@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontamination, licenses, line_dedup, near_dup, packing, quality, sharding, surrogates, toxicity
+from foliant.llm import chat, decontamination, licenses, line_dedup, near_dup, packing, quality, resampling, sharding, surrogates, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -118,3 +118,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return licenses.notices(docs, licenses.fit(docs))
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resampling.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
