@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontamination, licenses, line_dedup, near_dup, packing, quality, resampling, sharding, surrogates, toxicity
+from foliant.llm import chat, chat_repair, decontamination, licenses, line_dedup, near_dup, packing, quality, resampling, sharding, surrogates, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -124,3 +124,37 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     drawn = resampling.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with known faults: crc32 of ``conv_id:turn`` decides which rows go, lose text or punctuation, repeat or change role."""
+    space = F.lit(" ")
+    filled = doc_rows(rows, "conv_id", "turn", "role", "text").withColumns({"role": F.coalesce("role", space), "text": F.coalesce("text", space)})
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind = F.crc32(place.cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(kind == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(kind == 0, F.array().cast("array<int>")).when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return filled.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def repaired_digests(rows: DataFrame) -> DataFrame:
+    """A row for each conversation of ``rows``: what the repair of its damaged turns found, did and left."""
+    made, verdicts = chat_repair.repair(damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    words = ["audit", "repaired_sha256"]
+    empty = {c: F.lit(None).cast("long") for c in counts} | {c: F.lit(None).cast("string") for c in words}
+    parts = [rows.select("conv_id"), verdicts.select("conv_id", *counts), chat_repair.digests(made)]
+    every = [part.withColumns({c: v for c, v in empty.items() if c not in part.columns}).select("conv_id", *counts, *words) for part in parts]
+    joined = every[0].unionByName(every[1]).unionByName(every[2]).groupBy("conv_id").agg(*[F.max(c).alias(c) for c in (*counts, *words)])
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired_digests(table(spark, sf, "conversations"))
