@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, chat_repair, decontamination, licenses, line_dedup, near_dup, packing, quality, resampling, sharding, surrogates, toxicity
+from foliant.llm import chat, chat_repair, decontamination, licenses, line_dedup, near_dup, packing, quality, resampling, secret_scan, sharding, surrogates, toxicity
 from foliant.llm.common import doc_rows, fold_of, table
 from foliant.plans.registry import query
 
@@ -158,3 +158,17 @@ def repaired_digests(rows: DataFrame) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return repaired_digests(table(spark, sf, "conversations"))
+
+
+@query("op13_secret_scans")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = [kind for kind, *_ in secret_scan.RULES]
+    return found.select(
+        "doc_id",
+        *[F.size(F.array_remove(F.transform("rules", lambda s: F.when(s["kind"] == kind, 1).otherwise(0)), 0)).cast("long").alias(f"n_{kind}") for kind in kinds],
+        F.sha2(joined(F.col("rules")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
