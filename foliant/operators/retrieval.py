@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.functions.plugins import Scorer, ScorerFactory
 from foliant.functions.ranking import salted_top_n
-from foliant.functions.vectors import AtLeast, TopN, cosine, on_grid, score_blocks, score_within, unit_score
+from foliant.functions.vectors import TopN, cosine, on_grid, score_blocks, score_within, unit_score
 from foliant.session import broadcast_if_small, cut
+from foliant.sources.store import bucket, buckets_of
 
 OVERFETCH = 5
 POINT = ("document_id", "chunk_index")
@@ -63,14 +64,29 @@ def nearest(
     return salted_top_n(scored, keys, order, n, POINT).select(*keys, *POINT, "score", "rank")
 
 
+#: Documents whose ids are sent to the scan of a located table as a filter.
+FETCHED_IDS = 1000
+
+
 def with_payload(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
     """Fetches payload columns for the ranked hits.
 
     The hits are materialised first: a count then proves them small enough to be
-    broadcast, and no passage is shuffled; more of them join by shuffle.
+    broadcast, and no passage is shuffled; more of them join by shuffle. From a table with
+    locations (``store.read_located``) only the buckets of the hits are read, by
+    partition filters that the join makes at run time, and with few documents only row groups that may hold them.
     """
-    known = broadcast_if_small(cut(hits), 100_000)
-    return chunks.select(*POINT, *columns).join(known, list(POINT)).select(*hits.columns, *columns)
+    cut_hits = cut(hits)
+    known = broadcast_if_small(cut_hits, 100_000)
+    buckets = buckets_of(chunks)
+    if not buckets:
+        return chunks.select(*POINT, *columns).join(known, list(POINT)).select(*hits.columns, *columns)
+    source = chunks
+    few = [r[0] for r in cut_hits.select("document_id").distinct().limit(FETCHED_IDS + 1).collect()]
+    if len(few) <= FETCHED_IDS:
+        source = source.where(F.col("document_id").isin(few))
+    wanted = known.withColumn("bucket", bucket("document_id", buckets)).where(F.col("bucket") >= 0)
+    return source.select("bucket", *POINT, *columns).join(wanted, ["bucket", *POINT]).select(*hits.columns, *columns)
 
 
 def search_chunks(chunks: DataFrame, queries: DataFrame, n: int, **filters) -> DataFrame:
@@ -315,16 +331,13 @@ def _int8(matrix: np.ndarray) -> np.ndarray:
     return np.rint(np.divide(matrix, top, out=np.zeros_like(matrix), where=top > 0) * 127)
 
 
-def quantised_nearest(
-    chunks: DataFrame, queries: DataFrame, n: int, kind: str = "binary", oversample: int = 8
-) -> DataFrame:
-    """Approximate top-n: rank by quantised vectors, then rescore exactly.
+def quantised_nearest(chunks: DataFrame, queries: DataFrame, n: int, oversample: int = 2) -> DataFrame:
+    """Approximate top-n: rank by int8 vectors, then rescore exactly.
 
-    Candidates are the ``n * oversample`` best by sign agreement (binary) or
-    by an int8 dot product (scalar). The quantised table is what is scored, and
-    only the candidates' full vectors are read again.
+    Candidates are the ``n * oversample`` best by the cosine of the codes; only
+    their full vectors are read again. Codes of one bit a dimension are stored in
+    an index (``sources.vector_index``) and searched there.
     """
-    quantise = {"binary": lambda m: np.where(m > 0, 1.0, -1.0), "scalar": _int8}[kind]
 
     def to_codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +345,7 @@ def quantised_nearest(
                 continue
             column = batch.column("vector")
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            codes = quantise(flat.reshape(batch.num_rows, -1)).astype(np.float32)
+            codes = _int8(flat.reshape(batch.num_rows, -1)).astype(np.float32)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * codes.shape[1])
             vector = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -496,8 +509,3 @@ def reindex_reason(manifests: DataFrame) -> DataFrame:
         (~reason.isin("none", "migrate")).alias("reindex_required"),
         (backend & ~model & F.col("has_store")).alias("can_migrate"),
     )
-
-
-def similar_pairs(points: DataFrame, queries: DataFrame, threshold: float, point_key: str, query_key: str) -> DataFrame:
-    """All (query, point) pairs with cosine >= threshold."""
-    return score_blocks(points, queries, AtLeast(threshold), (point_key,), (query_key,))

@@ -117,7 +117,7 @@ CITED = dict(
 
 
 def cited(spark, sf):
-    return C.citations(found(spark, sf), D.chunk_vec(spark, sf), 5)
+    return C.citations(found(spark, sf), D.chunk_store(spark, sf), 5)
 
 
 @query(

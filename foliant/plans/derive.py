@@ -5,11 +5,14 @@ Ids are shifted by one because document id 0 means "no document".
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliant.session import spread
+from foliant.session import ensure_checkpoint_dir, spread
+from foliant.sources import store
 
 INBOX, QUALITY, TOXIC, BLANK = 100, 101, 102, 103
 
@@ -172,6 +175,24 @@ def chunk_vec(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Tables that queries of one application share, by its id, their name and the folder of their source.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def shared_path(spark: SparkSession, sf: str, name: str) -> str:
+    """A folder for a table that is built once in an application and then read by many queries."""
+    key = (spark.sparkContext.applicationId, name, sf)
+    return _STORED.setdefault(key, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def chunk_store(spark: SparkSession, sf: str) -> DataFrame:
+    """``chunk_vec`` as a stored table with locations, written by the first query that reads it."""
+    path = shared_path(spark, sf, "chunks")
+    if not store.versions(spark, path):
+        store.write_version(chunk_vec(spark, sf), path, buckets=16)
+    return store.read_located(spark, path)
+
+
 def query_vec(spark: SparkSession, sf: str) -> DataFrame:
     """Every given embedding as a query."""
     return table(spark, sf, "embeddings").select(

@@ -111,7 +111,7 @@ class Stages:
 
     def __init__(self, spark, sf, p: S.ScanParams = WIDE):
         self.p = p
-        self.chunks = D.chunk_vec(spark, sf)
+        self.chunks = D.chunk_store(spark, sf)
         self.entities = D.entity_vec(spark, sf)
         self.docs = D.archive(spark, sf)
         self.spark, self.sf = spark, sf

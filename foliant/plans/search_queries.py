@@ -13,6 +13,7 @@ from foliant.plans.derive_sql import with_
 from foliant.plans.registry import query
 from foliant.plans.text_queries import HASH_SQL
 from foliant.session import ensure_checkpoint_dir, spread
+from foliant.sources import vector_index
 
 SCORED = """
 SELECT query_id, document_id, chunk_index, tag_ids, correspondent, document_type,
@@ -28,7 +29,16 @@ def sql(body: str, **extra: str) -> str:
 
 
 def inputs(spark, sf):
-    return D.chunk_vec(spark, sf), D.query_vec(spark, sf)
+    """The stored chunk table and the queries."""
+    return D.chunk_store(spark, sf), D.query_vec(spark, sf)
+
+
+def index(spark, sf, build: bool = False):
+    """The vector index of the chunk table: built by the first query that needs it, then read."""
+    path = D.shared_path(spark, sf, "vectors")
+    if build or not vector_index.exists(spark, path):
+        return vector_index.build(D.chunk_store(spark, sf), path)
+    return vector_index.opened(spark, path)
 
 
 @query(
@@ -308,23 +318,74 @@ def rerank(spark, sf):
     return docs.select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vector_index", "SELECT count(*) AS points, count(*) AS codes, 64::INTEGER AS dim, true AS tuned FROM embeddings")
+def vector_index_build(spark, sf):
+    """Builds the stored index anew; cells and codes hold every chunk once."""
+    built = index(spark, sf, build=True)
+    codes = built.codes.agg(F.count(F.lit(1)).alias("codes"))
+    sums = built.cells.agg(F.sum("n").alias("points"), F.max("dim").alias("dim"), (F.max("probes") >= 1).alias("tuned"))
+    return sums.crossJoin(codes)  # one row each
+
+
 @query("ann_knn")
 def ann_knn(spark, sf):
-    chunks, queries = inputs(spark, sf)
-    cells = retrieval.train_cells(chunks, 16)
-    return retrieval.cell_nearest(chunks, queries, cells, 10, probes=6).withColumn("score", F.round("score", 6))
+    built = index(spark, sf)
+    return vector_index.search(built, D.query_vec(spark, sf), 10, probes=built.probes).withColumn("score", F.round("score", 6))
+
+
+@query("ann_recall", "SELECT count(*) * 10 AS expected, true AS reached FROM embeddings")
+def ann_recall(spark, sf):
+    """Whether the approximate search returns nine tenths of the exact neighbours of all queries."""
+    built, (chunks, queries) = index(spark, sf), inputs(spark, sf)
+    found = vector_index.search(built, queries, 10, probes=built.probes)
+    return retrieval.recall(found, retrieval.nearest(chunks, queries, 10)).select("expected", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(
+    "knn_indexed",
+    sql("SELECT query_id, document_id, chunk_index, round(score,6) AS score, rank FROM ranked WHERE rank<=10"),
+)
+def knn_indexed(spark, sf):
+    """Exact search through the index: cells and blocks are skipped by bounds only."""
+    return vector_index.search(index(spark, sf), D.query_vec(spark, sf), 10).withColumn("score", F.round("score", 6))
+
 
+SIGNS = """SELECT query_id, document_id, chunk_index, cos,
+  list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (qv[i] > 0) <> (cv[i] > 0) THEN 1 ELSE 0 END)) AS distance
+  FROM (SELECT query_id, document_id, chunk_index, q.vector AS qv, c.vector AS cv,
+    round(list_cosine_similarity(q.vector, c.vector), 12) AS cos FROM query_vec q, chunk_vec c)"""
 
-@query("quantized_knn")
+
+@query(
+    "quantized_knn",
+    with_(
+        """SELECT query_id, document_id, chunk_index, round((1+cos)/2, 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, document_id, chunk_index) AS rank
+        FROM signs JOIN (SELECT query_id, min(distance) AS bar FROM reached WHERE n >= 80 GROUP BY query_id) USING (query_id) WHERE distance <= bar) WHERE rank <= 10""",
+        signs=SIGNS,
+        reached="""SELECT query_id, distance, sum(count(*)) OVER (PARTITION BY query_id ORDER BY distance) AS n FROM signs GROUP BY query_id, distance""",
+    ),
+)
 def quantized_knn(spark, sf):
-    hits = retrieval.quantised_nearest(*inputs(spark, sf), 10, "binary", 8)
-    return hits.withColumn("score", F.round("score", 6))
+    """Candidates by stored sign bits (all within the distance of the 80 nearest), rescored exactly."""
+    chunks, queries = inputs(spark, sf)
+    return vector_index.search_signs(index(spark, sf), chunks, queries, 10, 8).withColumn("score", F.round("score", 6))
 
 
-@query("quantized_knn_int8")
+@query(
+    "quantized_knn_int8",
+    with_(
+        """SELECT query_id, document_id, chunk_index, round((1+cos)/2, 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, document_id, chunk_index) AS rank FROM coded WHERE place <= 20) WHERE rank <= 10""",
+        query_code="SELECT query_id, vector, list_transform(vector, lambda x: round_even(x::DOUBLE / list_max(list_transform(vector, lambda y: abs(y::DOUBLE))) * 127, 0)) AS code FROM query_vec",
+        chunk_code="SELECT document_id, chunk_index, vector, list_transform(vector, lambda x: round_even(x::DOUBLE / list_max(list_transform(vector, lambda y: abs(y::DOUBLE))) * 127, 0)) AS code FROM chunk_vec",
+        coded="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, document_id, chunk_index) AS place FROM (
+          SELECT query_id, document_id, chunk_index, round(list_cosine_similarity(q.code, c.code), 12) AS near,
+            round(list_cosine_similarity(q.vector, c.vector), 12) AS cos FROM query_code q, chunk_code c)""",
+    ),
+)
 def quantized_knn_int8(spark, sf):
-    hits = retrieval.quantised_nearest(*inputs(spark, sf), 10, "scalar", 2)
-    return hits.withColumn("score", F.round("score", 6))
+    return retrieval.quantised_nearest(*inputs(spark, sf), 10, 2).withColumn("score", F.round("score", 6))
 
 
 # --- index state ---------------------------------------------------------------------

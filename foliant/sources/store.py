@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+BUCKETS_KEY = "buckets"
 
 
 # --- tables with versions ---------------------------------------------------------------
@@ -43,6 +44,20 @@ def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
+def read_located(spark: SparkSession, path: str) -> DataFrame | None:
+    """As ``read_current``; the bucket column says how many buckets there are, so that rows can be fetched by location."""
+    found = versions(spark, path)
+    if not found:
+        return None
+    table = f"{path}/v={found[-1]}"
+    return spark.read.parquet(table).withMetadata("bucket", {BUCKETS_KEY: _bucket_count(spark, table)})
+
+
+def buckets_of(df: DataFrame) -> int | None:
+    """The number of buckets of a table read by ``read_located``."""
+    return df.schema["bucket"].metadata.get(BUCKETS_KEY) if "bucket" in df.columns else None
+
+
 def write_version(df: DataFrame, path: str, buckets: int = BUCKETS) -> int:
     """Full rewrite into a new version; readers switch when its commit marker appears.
 
@@ -68,9 +83,13 @@ def _bucket_count(spark: SparkSession, table: str) -> int:
 
 
 def _bucketed(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Rows with their bucket, gathered by bucket and spread by chunk so that one document cannot fill a task."""
+    """Rows with their bucket, gathered by bucket and spread by chunk so that one document cannot fill a task.
+
+    Files are sorted by document, so that row groups outside the wanted documents are skipped.
+    """
     spread = F.pmod(F.xxhash64("chunk_index"), F.lit(8)) if "chunk_index" in df.columns else F.lit(0)
-    return df.withColumn("bucket", bucket("document_id", buckets)).repartition("bucket", spread)
+    dealt = df.withColumn("bucket", bucket("document_id", buckets)).repartition("bucket", spread)
+    return dealt.sortWithinPartitions("bucket", *[c for c in ("document_id", "chunk_index") if c in df.columns])
 
 
 def bucket(column: str = "document_id", buckets: int = BUCKETS) -> Column:

@@ -77,3 +77,18 @@ def test_audit_bounds(spark, sf):
         H.retain(D.audit(spark, sf), F.current_timestamp(), 29)
     pushed = H.query(D.table(spark, sf, "events").withColumnRenamed("ts", "changed_at"), date_from=D.ntz("2024-01-05 00:00:00"))
     assert "GreaterThanOrEqual(ts" in pushed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payload_is_fetched_by_location(spark, tmp_path):
+    from foliant.operators import retrieval
+
+    chunks = spark.range(400).selectExpr("id div 2 + 1 as document_id", "id % 2 as chunk_index", "concat('p', id) as passage")
+    store.write_version(chunks, str(tmp_path / "t"), buckets=8)
+    located = store.read_located(spark, str(tmp_path / "t"))
+    assert store.buckets_of(located.where("chunk_index = 0")) == 8 and store.buckets_of(chunks) is None
+    hits = spark.createDataFrame([(1, 5, 0), (2, 5, 1), (2, 77, 1), (3, 9999, 0)], "query_id long, document_id long, chunk_index long")
+    found = retrieval.with_payload(hits, located, "passage")
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 0, "p8"), (2, 5, 1, "p9"), (2, 77, 1, "p153")]
+    plan = found._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and "In(document_id" in plan.replace("INSET", "In")  or "document_id IN" in plan
+    assert sorted(map(tuple, retrieval.with_payload(hits, chunks, "passage").collect())) == sorted(map(tuple, found.collect()))
