@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import cosine
@@ -12,8 +10,8 @@ from foliant.plans import derive as D
 from foliant.plans.derive_sql import with_
 from foliant.plans.registry import query
 from foliant.plans.text_queries import HASH_SQL
-from foliant.session import ensure_checkpoint_dir, spread
-from foliant.sources import vector_index
+from foliant.session import spread
+from foliant.sources import posting_index, vector_index
 
 SCORED = """
 SELECT query_id, document_id, chunk_index, tag_ids, correspondent, document_type,
@@ -197,16 +195,30 @@ SPARSE_RANKED = """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, document_id, chunk_index) AS rank FROM sparse"""
 
 
-def sparse_inputs(spark, sf):
-    docs = D.table(spark, sf, "documents").select(
-        (F.col("doc_id") + 1).alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.col("text").alias("passage")
-    )
+def sparse_inputs(spark, sf, build=False):
+    """The stored sparse index of all documents (built by the first query that needs it) and the terms of the queries."""
     asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    # The term table of an index is stored when the chunks are, not rebuilt per search.
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    chunking.sparse_terms(docs, list(retrieval.POINT)).write.parquet(path)
-    return spark.read.parquet(path), chunking.sparse_terms(asked, ["query_id"]), total
+    path = D.shared_path(spark, sf, "terms")
+    if build or not posting_index.exists(spark, path):
+        docs = D.table(spark, sf, "documents").select(
+            (F.col("doc_id") + 1).alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.col("text").alias("passage")
+        )
+        total = docs.agg(F.count(F.lit(1)).alias("total"))
+        posting_index.build(chunking.sparse_terms(docs, list(retrieval.POINT)), total, path, buckets=8, doc_buckets=16)
+    return posting_index.PostingIndex(spark, path), chunking.sparse_terms(asked, ["query_id"])
+
+
+@query(
+    "sparse_index",
+    with_(
+        """SELECT term, count(*) AS df, max(tf)::BIGINT AS max_tf FROM terms GROUP BY term""",
+        terms=TERMS,
+    ),
+)
+def sparse_index(spark, sf):
+    """Builds the stored sparse index anew; document frequencies come from its term statistics."""
+    built, _ = sparse_inputs(spark, sf, build=True)
+    return built.terms.select("term", "df", "max_tf")
 
 
 @query(
@@ -218,7 +230,7 @@ def sparse_inputs(spark, sf):
 )
 def sparse_score(spark, sf):
     """The hundred best documents of each query."""
-    best = retrieval.nearest_sparse(*sparse_inputs(spark, sf), 100)
+    best = posting_index.search(*sparse_inputs(spark, sf), 100)
     return best.select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -242,13 +254,13 @@ HYBRID_CTES = dict(
 def hybrid(spark, sf):
     from foliant.functions.text import hash_embedding
 
-    terms, asked, total = sparse_inputs(spark, sf)
+    terms, asked = sparse_inputs(spark, sf)
     docs = spread(D.table(spark, sf, "documents")).select(
         (F.col("doc_id") + 1).alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), hash_embedding(F.col("text")).alias("vector")
     )
     items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), hash_embedding(F.col("text")).alias("vector"))
     dense = retrieval.nearest(docs, items, 20)
-    return retrieval.fuse_rrf(dense, retrieval.nearest_sparse(terms, asked, total, 20), 20)
+    return retrieval.fuse_rrf(dense, posting_index.search(terms, asked, 20), 20)
 
 
 @query(
