@@ -218,7 +218,7 @@ def sparse_inputs(spark, sf, build=False):
 def sparse_index(spark, sf):
     """Builds the stored sparse index anew; document frequencies come from its term statistics."""
     built, _ = sparse_inputs(spark, sf, build=True)
-    return built.terms.select("term", "df", "max_tf")
+    return built.terms.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
 
 
 @query(

@@ -2,18 +2,20 @@
 
 Under one folder lie
 
-- ``postings``, partitioned by a hash of the term: blocks of up to ``BLOCK`` entries of one term in
+- ``postings``, partitioned by a hash of the term: blocks of up to ``BLOCK`` entries of one term and stratum in
   falling order of their frequency, each with its largest one;
-- ``terms``, partitioned alike: number of chunks, largest frequency and first block of each term;
+- ``terms``, partitioned alike: number of chunks, largest frequency and first block of each term and stratum;
 - ``forward``: the term table bucketed by document, from which exact scores are read by location;
 - ``size``: the number of chunks. Written last, it marks the index as complete.
 
 A score is the sum of (frequency in the chunk x frequency in the query x idf). No frequency exceeds its block's
-largest one, so sums of these bound what a chunk can still get:
+largest one, so sums of these bound what a chunk can still get. A stratum holds chunks of like length (by a factor of
+the square root of two): a few very long chunks would lift the bounds of all others otherwise.
 
 1. the first blocks of a query's terms give partial scores; their n-th is a bar that the n-th best chunk reaches;
-2. terms that together stay below the bar (those of stop words, mostly) make no candidates, nor do
-   blocks and entries that stay below it with all other terms at their largest;
+2. strata whose terms together stay below the bar are left out, in the others terms that together stay below it
+   (those of stop words, mostly) make no candidates, nor do blocks and entries that stay below it with all
+   other terms at their largest;
 3. candidates whose partial score cannot reach the bar go; the rest are scored exactly.
 
 The result is that of the exhaustive sum. Rounding is met by ``SLACK``, a share of the bar.
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.ranking import salted_top_n
-from foliant.session import broadcast_if_small, cut
+from foliant.session import cut
 from foliant.sources import store
 
 POINT = ("document_id", "chunk_index")
@@ -36,6 +38,10 @@ BLOCK = 1 << BLOCK_BITS
 #: Folders of terms; about one for a gigabyte of postings.
 TERM_BUCKETS = 64
 SLACK = 1e-9
+#: Chunks a query's bar is read from, as a multiple of the wanted ones.
+HEADS = 40
+#: Share of the entries beyond which bounds are not worth their passes.
+WHOLE = 0.25
 
 
 @dataclass(frozen=True)
@@ -77,17 +83,18 @@ def build(terms: DataFrame, total: DataFrame, path: str, buckets: int = TERM_BUC
     spark = terms.sparkSession
     rows = cut(terms.select(*POINT, "term", F.col("tf").cast("long").alias("tf")))
     store.write_version(rows, f"{path}/forward", doc_buckets)
-    order = ["term", F.desc("tf"), *POINT]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    lengths = rows.groupBy(*POINT).agg(F.floor(2 * F.log2(F.sum("tf"))).cast("int").alias("stratum"))
+    order = ["term", "stratum", F.desc("tf"), *POINT]
+    placed = cut(rows.join(lengths, list(POINT))).repartitionByRange(*order).sortWithinPartitions(*order)
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")
     blocks = (
-        placed.select("term", block, "tf", *POINT)
-        .groupBy("term", "block")
+        placed.select("term", "stratum", block, "tf", *POINT)
+        .groupBy("term", "stratum", "block")
         .agg(F.max("tf").alias("max_tf"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*POINT, "tf")).alias("entries"))
     )
     dealt = blocks.withColumn("bucket", _term_bucket(buckets)).repartition("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stats = spark.read.schema(dealt.schema).parquet(f"{path}/postings").groupBy("bucket", "term")
+    stats = spark.read.schema(dealt.schema).parquet(f"{path}/postings").groupBy("bucket", "term", "stratum")
     stats = stats.agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("block").alias("first_block"))
     stats.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     total.select(F.col("total").cast("long").alias("total"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/size")
@@ -101,29 +108,44 @@ def _by_location(side: DataFrame, small: bool) -> DataFrame:
 
 
 def weights(index: PostingIndex, query_terms: DataFrame) -> tuple[DataFrame, bool]:
-    """(query_id, bucket, term, w, ub, first_block) of the query terms that the index has, and whether they are few."""
+    """(query_id, bucket, term, stratum, w, ub, df, first_block) of the query terms that the index has, and whether they are few."""
     size = index.spark.read.parquet(f"{index.path}/size").first()
     asked = cut(query_terms.select("query_id", "term", "tf").withColumn("bucket", _term_bucket(size["buckets"])))
     small = asked.limit(200_001).count() <= 200_000
     known = index.terms.join(_by_location(asked, small), ["bucket", "term"])
-    idf = F.log((F.lit(size["total"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    in_all = F.sum("df").over(Window.partitionBy("query_id", "term"))  # a row for each stratum
+    idf = F.log((F.lit(size["total"]) - in_all + 0.5) / (in_all + 0.5) + 1)
     w = F.col("tf") * idf
-    return cut(known.select("query_id", "bucket", "term", w.alias("w"), (w * F.col("max_tf")).alias("ub"), "first_block")), small
+    return cut(known.select("query_id", "bucket", "term", "stratum", w.alias("w"), (w * F.col("max_tf")).alias("ub"), F.col("df"), "first_block")), small
 
 
-def candidates(index: PostingIndex, weighted: DataFrame, small: bool, n: int) -> DataFrame:
-    """(query_id, document_id, chunk_index): every chunk that can be among the ``n`` best, ties included."""
-    heads = index.postings.join(_by_location(weighted, small), ["bucket", "term"]).where(F.col("block") == F.col("first_block"))
+def essential_terms(index: PostingIndex, weighted: DataFrame, small: bool, n: int) -> DataFrame:
+    """The rows of ``weighted`` that can make candidates, with their query's ``bar`` and, by stratum, the sum ``all`` of all bounds.
+
+    The bar is read in the strata with the largest sums, as many as hold ``HEADS * n`` chunks.
+    """
+    of_stratum = Window.partitionBy("query_id", "stratum")  # a query's terms
+    known = weighted.withColumns({"all": F.sum("ub").over(of_stratum), "_sum": F.sum("ub").over(of_stratum.orderBy("ub", "term"))})
+    known = cut(known)
+    strata = known.groupBy("query_id", "stratum").agg(F.max("all").alias("all"), F.max("df").alias("chunks"))
+    falling = Window.partitionBy("query_id").orderBy(F.desc("all"), "stratum").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("chunks").over(falling), F.lit(0))
+    top = strata.withColumn("_before", before).where(F.col("_before") < HEADS * n).select("query_id", "stratum")
+    chosen = cut(known.join(top, ["query_id", "stratum"]))
+    heads = index.postings.join(_by_location(chosen.select("query_id", "bucket", "term", "stratum", "w", "first_block"), small), ["bucket", "term", "stratum"])
+    heads = heads.where(F.col("block") == F.col("first_block"))
     first = heads.select("query_id", "w", F.explode("entries").alias("e")).groupBy("query_id", "e.document_id", "e.chunk_index")
     partial = first.agg(F.sum(F.col("w") * F.col("e.tf")).alias("score"))
     best = salted_top_n(partial, ["query_id"], [F.desc("score"), *[F.col(k) for k in POINT]], n, POINT)
     bars = best.where(F.col("rank") == n).select("query_id", (F.col("score") * (1 - SLACK)).alias("bar"))
-    rising = Window.partitionBy("query_id").orderBy("ub", "term")  # a query's terms
-    known = weighted.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
-    known = known.withColumns({"_sum": F.sum("ub").over(rising), "all": F.sum("ub").over(Window.partitionBy("query_id"))})
-    essential = cut(known.where(F.col("_sum") * (1 + SLACK) >= F.col("bar")).drop("_sum", "first_block"))
+    barred = known.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+    return cut(barred.where(F.col("_sum") * (1 + SLACK) >= F.col("bar")).drop("_sum", "first_block"))
+
+
+def candidates(index: PostingIndex, essential: DataFrame, small: bool) -> DataFrame:
+    """(query_id, document_id, chunk_index): every chunk that can reach its query's bar."""
     reach = lambda own: (own + F.col("all") - F.col("ub")) * (1 + SLACK) >= F.col("bar")
-    blocks = index.postings.join(_by_location(essential, small), ["bucket", "term"]).where(reach(F.col("w") * F.col("max_tf")))
+    blocks = index.postings.join(_by_location(essential.drop("df"), small), ["bucket", "term", "stratum"]).where(reach(F.col("w") * F.col("max_tf")))
     entries = blocks.select("query_id", "w", "ub", "all", "bar", F.explode("entries").alias("e")).where(reach(F.col("w") * F.col("e.tf")))
     seen = entries.groupBy("query_id", "e.document_id", "e.chunk_index").agg(
         F.sum(F.col("w") * F.col("e.tf") - F.col("ub")).alias("short"), F.max("all").alias("all"), F.max("bar").alias("bar")
@@ -132,16 +154,21 @@ def candidates(index: PostingIndex, weighted: DataFrame, small: bool, n: int) ->
 
 
 def search(index: PostingIndex, query_terms: DataFrame, n: int) -> DataFrame:
-    """(query_id, document_id, chunk_index, score, rank): the n best chunks of each query (query_id, term, tf)."""
+    """(query_id, document_id, chunk_index, score, rank): the n best chunks of each query (query_id, term, tf).
+
+    Where the bounds leave more than ``WHOLE`` of the entries (n close to the number of chunks), all of them are summed instead.
+    """
     weighted, small = weights(index, query_terms)
-    found = cut(candidates(index, weighted, small, n))
-    forward = index.forward
-    buckets = store.buckets_of(forward)
-    few = found.limit(100_001).count() <= 100_000
-    wanted = found.withColumn("bucket", store.bucket("document_id", buckets))
-    met = forward.join(F.broadcast(weighted.select("term").distinct()) if small else weighted.select("term").distinct(), "term", "left_semi")
-    met = met.join(_by_location(wanted, few), ["bucket", *POINT])
-    own = weighted.select("query_id", "term", "w")
-    scored = met.join(broadcast_if_small(own, 200_000), ["query_id", "term"]).groupBy("query_id", *POINT).agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
+    essential = essential_terms(index, weighted, small, n)
+    own = weighted.groupBy("query_id", "term").agg(F.first("w").alias("w"))  # the same in all strata
+    wanted_terms = own.select("term").distinct()
+    met = index.forward.join(F.broadcast(wanted_terms) if small else wanted_terms, "term", "left_semi")
+    left, every = (x.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] for x in (essential, weighted))
+    on = ["term"]
+    if left <= WHOLE * every:
+        found = cut(candidates(index, essential, small))
+        wanted = found.withColumn("bucket", store.bucket("document_id", store.buckets_of(index.forward)))
+        met, on = met.join(_by_location(wanted, found.limit(100_001).count() <= 100_000), ["bucket", *POINT]), ["query_id", "term"]
+    scored = met.join(F.broadcast(own) if small else own, on).groupBy("query_id", *POINT).agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
     order = [F.desc("_s"), *[F.col(k) for k in POINT]]
     return salted_top_n(scored.withColumn("_s", F.round("score", 9)), ["query_id"], order, n, POINT).drop("_s")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.ranking import salted_top_n
-from foliant.functions.vectors import TopN, _batch, _Pairs, _read, _score, _unit_matrix, _write, cosine, on_grid, score_blocks, unit_score
+from foliant.functions.vectors import TopN, _batch, _Pairs, _read, _score, _unit_matrix, _write, dot, norm, on_grid, score_blocks, unit_score
 from foliant.session import cut, spread
 from foliant.sources.store import _files
 
@@ -356,8 +356,11 @@ def sign_candidates(index: VectorIndex, queries: DataFrame, wanted: int, block:
 def search_signs(index: VectorIndex, chunks: DataFrame, queries: DataFrame, n: int, oversample: int = 8) -> DataFrame:
     """(query_id, document_id, chunk_index, score, rank): candidates by signs, ranked by their exact cosine. No Python on the way."""
     near = sign_candidates(index, queries, n * oversample)
-    pairs = near.join(chunks.select(*POINT, "vector"), list(POINT)).join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
-    scored = pairs.select("query_id", *POINT, on_grid(cosine("vector", "_q")).alias("cosine"))
+    points = chunks.select(*POINT, F.col("vector").alias("p"), norm("vector").alias("_p"))
+    asked = queries.select("query_id", F.col("vector").alias("q"), norm("vector").alias("_q"))
+    pairs = near.join(points, list(POINT)).join(asked, "query_id")
+    product = F.col("_p") * F.col("_q")
+    scored = pairs.select("query_id", *POINT, on_grid(F.when(product == 0, F.lit(0.0)).otherwise(dot("p", "q") / product)).alias("cosine"))
     order = [F.desc("cosine"), *[F.col(k) for k in POINT]]
     found = salted_top_n(scored, ["query_id"], order, n, POINT)
     return found.select("query_id", *POINT, unit_score("cosine").alias("score"), "rank")
