@@ -40,7 +40,9 @@ from foliant.llm.words import batches, mix, word_hashes
 COORDINATES = 200
 ROWS = 5
 ROUNDS = 2
+#: Members of a bucket, and shingles of their sets, that a block of the exhaustive stage holds about.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 SALTS = 32
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -171,15 +173,16 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 def _in_blocks(mixed: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, p) that join what is still apart in a bucket: every pair of its members is considered.
 
-    ``mixed``: (key, band, members, class_id, component, brief, keys, text). Members of a bucket are dealt into
-    blocks; a task gets two blocks at a time, compares full sets where the sketches do not
+    ``mixed``: (key, band, members, shingles, class_id, component, brief, keys, text). Members of a bucket are dealt into
+    blocks, by their number and the size of their sets; a task gets two blocks at a time, compares full sets where the sketches do not
     exclude a link, and returns only edges that join components. A pair is compared in
     the first band that both share, by the keys that made the buckets; a class without keys (its id
     has several rows) is compared in every band.
     """
     share = percent / 100
     bar = COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    shingles = F.col("shingles") if "shingles" in mixed.columns else F.lit(0)
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("class_id", F.lit(7)), blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "component", "brief", "keys", "text")
@@ -217,7 +220,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     filled = all_sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = filled.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
     reps = filled.join(classes, same).where(F.col("doc_id") == F.col("class_id"))
-    entries = reps.select("class_id", F.posexplode("keys").alias("band", "key"))
+    entries = reps.select("class_id", "n", F.posexplode("keys").alias("band", "key"))
     ends = entries.groupBy("key").agg(F.min("class_id").alias("pivot"), F.max("class_id").alias("last"))
     buckets = stored(entries.join(ends.where("pivot < last").drop("last"), "key").distinct(), "buckets")
 
@@ -227,12 +230,12 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     labels = _labels(edges)
     for step in range(1, ROUNDS + 1):
         placed = buckets.join(labels, F.col("class_id") == F.col("id"), "left").select(
-            "key", "band", "class_id", F.coalesce("component", "class_id").alias("component")
+            "key", "band", "class_id", "n", F.coalesce("component", "class_id").alias("component")
         )
         chosen = F.struct(F.xxhash64("class_id", F.lit(step)), "class_id", "component")
         state = placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.min(chosen).alias("pivot"),
-            F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(F.xxhash64("class_id"), 24)).alias("print"), F.min("band").alias("band"),
+            F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.sum(F.shiftright(F.xxhash64("class_id"), 24)).alias("print"), F.min("band").alias("band"),
         ).where("low < high")
         if step < ROUNDS:
             open_ = placed.join(state.select("key", "pivot"), "key").where(F.col("component") != F.col("pivot.component"))
@@ -240,8 +243,8 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
             fresh = stored(fresh.distinct().join(pairs, ["a", "p"], "left_anti"), "pairs")
             found = verified(docs, fresh, words, percent)
         else:  # of buckets with the same members, the one of the first band
-            state = state.groupBy("members", "print").agg(F.min_by("key", "band").alias("key"))
-            members = stored(placed.join(state.select("key", "members"), "key"), "mixed")
+            state = state.groupBy("members", "print").agg(F.min_by(F.struct("key", "shingles"), "band").alias("one"))
+            members = stored(placed.drop("n").join(state.select("one.key", "members", "one.shingles"), "key"), "mixed")
             one = F.when(F.count(F.lit(1)) == 1, F.first("keys")).alias("keys")
             briefs = reps.groupBy("class_id").agg(F.first("brief").alias("brief"), one)
             known = members.select("class_id").distinct().join(briefs, "class_id")

@@ -142,7 +142,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
+    """One for each task."""
     return Encoder(path)
 
 
@@ -151,7 +151,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, "text", 2 << 20):
+        for batch in batches(rows, "text", 1 << 20):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path)(batch.column(1))):
                 ids += end
@@ -162,6 +162,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             names = ["doc_id", "piece", "start", "length", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        encoder.cache_clear()  # the worker lives on, for other stages
 
     return doc_rows(docs, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

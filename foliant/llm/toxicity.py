@@ -20,10 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.util import PythonEvalType
 
 from foliant.llm.common import doc_rows, drawn, fold_of
 from foliant.llm.words import batches, word_hashes
@@ -215,18 +214,21 @@ def score_texts(model: Model | None, texts: pa.Array) -> np.ndarray:
 
 
 def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(row, score): each row of ``docs`` as a struct, so that no column can clash, and its score from 0 to 1."""
+    """(row, score): each row of ``docs`` as a struct, so that no column can clash, and its score from 0 to 1.
+
+    Only texts are sent to Python and only scores come back; the rows wait in the JVM.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            texts = pa.record_batch([pc.struct_field(batch.column(0), "text")], ["text"])
-            scores = [score_texts(shared.value, some.column(0)) for some in batches([texts], "text", 2 << 20)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]))], ["row", "score"])
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            rows = [pa.record_batch([array], ["text"])]
+            scores = [score_texts(shared.value, some.column(0)) for some in batches(rows, "text", 1 << 20)]
+            yield pa.array(np.concatenate([np.zeros(0), *scores]))
 
-    return rows.mapInArrow(run, schema)
+    of_text = F.arrow_udf(score, "double", PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)
+    text = F.col("text") if "text" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), of_text(text).alias("score"))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, false_rate: float = 0.01) -> dict[str, float]:

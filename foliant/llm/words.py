@@ -129,7 +129,7 @@ def word_hashes(texts: pa.Array, spans: bool = False, letters: bool = False, pre
 
 
 def batches(rows: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of ``column``, or one row."""
+    """Slices of the batches with at most ``limit`` bytes of ``column``, or one row; at the end, freed memory goes back to the system."""
     for batch in rows:
         if not batch.num_rows:
             continue
@@ -139,3 +139,4 @@ def batches(rows: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -
             to = max(at + 1, int(np.searchsorted(places, places[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
