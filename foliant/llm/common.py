@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Folders of the tables written inside the innermost ``collecting``.
+_made: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder of spark.checkpoint.dir and read back.
 
@@ -22,9 +28,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders of the tables that are written inside, for ``discard`` once nothing reads them."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``stored``; ``paths`` is empty afterwards."""
+    while paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def doc_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator reads, so that no other column of the input can clash with its own."""
     have = set(docs.columns)

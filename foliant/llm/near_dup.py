@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.graph import connected_components
-from foliant.llm.common import broadcast_checked, doc_rows, stored
+from foliant.llm.common import broadcast_checked, collecting, discard, doc_rows, stored
 from foliant.llm.words import batches, mix, word_hashes
 
 COORDINATES = 200
@@ -44,6 +44,8 @@ ROUNDS = 2
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 SALTS = 32
+#: Edges that one task joins into components: some tens of MB.
+FEW_EDGES = 200_000
 _EMPTY = np.uint64((1 << 64) - 1)
 
 
@@ -226,7 +228,10 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
 
     pairs = buckets.where("class_id != pivot").select(F.col("class_id").alias("a"), F.col("pivot").alias("p")).distinct()
     pairs = stored(pairs, "pairs")
-    edges = stored(verified(docs, pairs, words, percent), "edges")
+    with collecting() as inner:
+        found = verified(docs, pairs, words, percent)
+    edges = stored(found, "edges")
+    discard(docs.sparkSession, inner)
     labels = _labels(edges)
     for step in range(1, ROUNDS + 1):
         placed = buckets.join(labels, F.col("class_id") == F.col("id"), "left").select(
@@ -237,20 +242,22 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
             F.min("component").alias("low"), F.max("component").alias("high"), F.min(chosen).alias("pivot"),
             F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.sum(F.shiftright(F.xxhash64("class_id"), 24)).alias("print"), F.min("band").alias("band"),
         ).where("low < high")
-        if step < ROUNDS:
-            open_ = placed.join(state.select("key", "pivot"), "key").where(F.col("component") != F.col("pivot.component"))
-            fresh = open_.select(F.greatest("class_id", "pivot.class_id").alias("a"), F.least("class_id", "pivot.class_id").alias("p"))
-            fresh = stored(fresh.distinct().join(pairs, ["a", "p"], "left_anti"), "pairs")
-            found = verified(docs, fresh, words, percent)
-        else:  # of buckets with the same members, the one of the first band
-            state = state.groupBy("members", "print").agg(F.min_by(F.struct("key", "shingles"), "band").alias("one"))
-            members = stored(placed.drop("n").join(state.select("one.key", "members", "one.shingles"), "key"), "mixed")
-            one = F.when(F.count(F.lit(1)) == 1, F.first("keys")).alias("keys")
-            briefs = reps.groupBy("class_id").agg(F.first("brief").alias("brief"), one)
-            known = members.select("class_id").distinct().join(briefs, "class_id")
-            texts = doc_rows(docs, "doc_id", "text").join(broadcast_checked(known), F.col("doc_id") == F.col("class_id")).select("class_id", "brief", "keys", "text")
-            found = _in_blocks(members.join(texts, "class_id"), words, percent)
+        with collecting() as inner:
+            if step < ROUNDS:
+                open_ = placed.join(state.select("key", "pivot"), "key").where(F.col("component") != F.col("pivot.component"))
+                fresh = open_.select(F.greatest("class_id", "pivot.class_id").alias("a"), F.least("class_id", "pivot.class_id").alias("p"))
+                fresh = stored(fresh.distinct().join(pairs, ["a", "p"], "left_anti"), "pairs")
+                found = verified(docs, fresh, words, percent)
+            else:  # of buckets with the same members, the one of the first band
+                state = state.groupBy("members", "print").agg(F.min_by(F.struct("key", "shingles"), "band").alias("one"))
+                members = stored(placed.drop("n").join(state.select("one.key", "members", "one.shingles"), "key"), "mixed")
+                one = F.when(F.count(F.lit(1)) == 1, F.first("keys")).alias("keys")
+                briefs = reps.groupBy("class_id").agg(F.first("brief").alias("brief"), one)
+                known = members.select("class_id").distinct().join(briefs, "class_id")
+                texts = doc_rows(docs, "doc_id", "text").join(broadcast_checked(known), F.col("doc_id") == F.col("class_id")).select("class_id", "brief", "keys", "text")
+                found = _in_blocks(members.join(texts, "class_id"), words, percent)
         found = stored(found, "edges")
+        discard(docs.sparkSession, inner)  # read for these edges only
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = _labels(edges)
@@ -265,7 +272,27 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
 
 
 def _labels(edges: DataFrame) -> DataFrame:
-    return stored(connected_components(edges.select("a", F.col("p").alias("b"))), "labels")
+    """(id, component) of all ends of ``edges``: up to ``FEW_EDGES`` in one task, more by rounds of joins."""
+    if edges.limit(FEW_EDGES + 1).count() > FEW_EDGES:
+        return stored(connected_components(edges.select("a", F.col("p").alias("b"))), "labels")
+
+    def joined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in rows:
+            for a, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                above.setdefault(a, a), above.setdefault(p, p)
+                low, high = sorted((root(a), root(p)))
+                above[high] = low  # the smallest id of a component is its root
+        ids = sorted(above)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(i) for i in ids], pa.int64())], ["id", "component"])
+
+    return stored(edges.select("a", "p").coalesce(1).mapInArrow(joined, "id long, component long"), "labels")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

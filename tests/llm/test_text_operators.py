@@ -206,3 +206,12 @@ def test_a_pair_meets_in_the_first_band_that_both_share(spark):
         rows = [(7, 7, 2, k, k, brief, keys[k] if shared else None, texts[k]) for k in range(2)]
         edges = near_dup._in_blocks(spark.createDataFrame(rows, kind), 2, 80).collect()
         assert [(r.a, r.p) for r in edges] == [(1, 0)] * found
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_labels_of_few_and_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dup, "FEW_EDGES", few)
+    pairs = [(5, 2), (9, 5), (7, 1), (8, 7), (1, 8), (30, 20), (20, 30)] + [(i + 1, i) for i in range(100, 160)]
+    edges = spark.createDataFrame(pairs, "a long, p long")
+    want = {2: 2, 5: 2, 9: 2, 1: 1, 7: 1, 8: 1, 20: 20, 30: 20} | {i: 100 for i in range(100, 161)}
+    assert {r.id: r.component for r in near_dup._labels(edges).collect()} == want
