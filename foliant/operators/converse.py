@@ -7,14 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.functions.graph import connected_components
 from foliant.functions.ranking import blocked_row_number, id_blocks, salted_top_n
-from foliant.functions.vectors import Linked, TopN, score_blocks
+from foliant.functions.vectors import (
+    CELL_ROWS,
+    MAX_BROADCAST_QUERIES,
+    Linked,
+    TopN,
+    choose_pivots,
+    in_cells,
+    pairs_in_cells,
+    score_blocks,
+)
 from foliant.operators.retrieval import POINT, nearest, with_payload
 from foliant.session import cut
 
@@ -296,52 +304,40 @@ def _upsert_component(batches: Iterator[pd.DataFrame], threshold: float) -> Iter
         yield pd.DataFrame(part, columns=["memory_id", "text", "vector", "facts"])
 
 
-PIVOTS = 512
-
-
-def similar_groups(items: DataFrame, threshold: float) -> DataFrame:
+def similar_groups(
+    items: DataFrame, threshold: float, one_block: int = MAX_BROADCAST_QUERIES, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """(item_id, component) of items linked, directly or through others, by cosine >= threshold.
 
     Items without a link are left out. Copies and near copies must not
     multiply into pairs: equal vectors are represented by their smallest id,
     and vectors within half the threshold angle of a pivot share its label,
     since any two of them are then within the threshold. Only one link per two
-    labels is reported. The pivots are a bounded choice of vectors; every item
-    keeps its own label where no pivot is that near.
+    labels is reported; every item keeps its own label where no pivot is that
+    near. Up to ``one_block`` vectors are one matrix, more are met cell by cell.
     """
     distinct = cut(items.groupBy("vector").agg(F.min("item_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    chosen = distinct.orderBy(F.xxhash64("rep")).limit(PIVOTS).select("rep", "vector").toArrow()
-    ids = chosen.column("rep").to_numpy()
-    pivots = np.array(chosen.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-30)
-    half = math.cos(math.acos(threshold) / 2) + 1e-9
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            matrix = flat.reshape(batch.num_rows, -1)
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
-            near = matrix @ pivots.T
-            best = near.argmax(axis=1)
-            own = batch.column("rep").to_numpy()
-            labels = np.where(near[np.arange(len(own)), best] >= half, ids[best], own)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vector"), pa.array(labels)], names=["rep", "vector", "label"])
-
-    labelled = cut(distinct.select("rep", "vector").mapInArrow(label, "rep long, vector array<double>, label long"))
-    links = score_blocks(
-        labelled.select("label", "vector"),
-        labelled.select(F.col("label").alias("other"), "vector"),
-        Linked(threshold),
-        point_keys=("label",),
-        query_keys=("other",),
-    )
+    many = distinct.limit(one_block + 1).count() > one_block
+    heads = choose_pivots(distinct, "rep", HEAD_ROWS)
+    head = F.get(F.split(F.lit(",".join(map(str, heads.ids))), ",").cast("array<bigint>"), F.col("cell").cast("int"))
+    label = F.when(F.col("centred"), head).otherwise(F.col("rep"))
+    near_head = in_cells(distinct.select("rep", "vector"), heads, threshold)
+    labelled = cut(near_head.select("rep", "vector", label.alias("label")))
+    if many:
+        placed = cut(in_cells(labelled, choose_pivots(labelled, "rep", cell_rows), threshold))
+        links = pairs_in_cells(placed.withColumn("_all", F.lit(0)), Linked(threshold), "label", "_all")
+    else:
+        links = score_blocks(
+            labelled.select("label", "vector"),
+            labelled.select(F.col("label").alias("other"), "vector"),
+            Linked(threshold),
+            point_keys=("label",),
+            query_keys=("other",),
+        ).select(F.col("label").alias("a"), F.col("other").alias("b"))
     shared = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
     copied = distinct.where("copies > 1").select("rep").join(labelled.select("rep", "label"), "rep").select("label")
     alone = shared.unionByName(copied).select(F.col("label").alias("a"), F.col("label").alias("b"))
-    edges = links.select(F.col("label").alias("a"), F.col("other").alias("b")).unionByName(alone)
-    parts = connected_components(edges)
+    parts = connected_components(links.select("a", "b").unionByName(alone))
     return (
         items.join(distinct.select("vector", "rep"), "vector")
         .join(labelled.select("rep", "label"), "rep")
@@ -350,14 +346,26 @@ def similar_groups(items: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def upsert_memories(memories: DataFrame, facts: DataFrame, threshold: float = MEMORY_DEDUP) -> DataFrame:
+HEAD_ROWS = 8
+REPLAYED = 8192
+ROUND_FACTS = 1024
+
+
+def upsert_memories(
+    memories: DataFrame,
+    facts: DataFrame,
+    threshold: float = MEMORY_DEDUP,
+    replayed: int = REPLAYED,
+    round_facts: int = ROUND_FACTS,
+) -> DataFrame:
     """(memory_id, text, vector, facts): the memories after facts arrive in ``fact_id`` order.
 
     New memories take the id of their first fact, offset past the stored ones
     by their negative: -fact_id - 1. Whatever a fact meets lies within the
     threshold of it, so facts and memories that are linked by similarity form
-    independent components; each is replayed in order as a stream that keeps
-    only its memories in the task. Items without any link skip the replay.
+    independent components. Items without any link skip the replay; a component
+    of at most ``replayed`` items is replayed in order by one task; a larger one is
+    worked on by all tasks in rounds of ``round_facts`` facts (``_in_rounds``).
     """
     items = cut(
         memories.select(F.lit(0).alias("kind"), F.col("memory_id").alias("item_id"), F.col("memory_id").alias("ord"), "text", F.col("vector").cast("array<double>").alias("vector"))
@@ -365,9 +373,9 @@ def upsert_memories(memories: DataFrame, facts: DataFrame, threshold: float = ME
             facts.select(F.lit(1).alias("kind"), (-F.col("fact_id") - 1).alias("item_id"), F.col("fact_id").alias("ord"), "text", F.col("vector").cast("array<double>").alias("vector"))
         )
     )
-    parts = similar_groups(items.select("item_id", "vector"), threshold)
+    parts = cut(similar_groups(items.select("item_id", "vector"), threshold))
     placed = cut(items.join(parts, "item_id", "left"))
-    alone = placed.where(F.col("component").isNull()).select(
+    result = placed.where(F.col("component").isNull()).select(
         F.col("item_id").alias("memory_id"), "text", "vector", F.col("kind").cast("long").alias("facts")
     )
 
@@ -375,12 +383,88 @@ def upsert_memories(memories: DataFrame, facts: DataFrame, threshold: float = ME
         yield from _by_component(batches, threshold)
 
     linked = placed.where(F.col("component").isNotNull())
-    replayed = (
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > replayed).select("component")
+    large = cut(large)
+    if not large.isEmpty():
+        whole = cut(linked.join(large, "component", "left_semi"))
+        result = result.unionByName(_in_rounds(whole, threshold, round_facts))
+        linked = linked.join(large, "component", "left_anti")
+    replayed_rows = (
         linked.repartition("component")
         .sortWithinPartitions("component", "kind", "ord")
         .mapInPandas(replay, "memory_id long, text string, vector array<double>, facts long")
     )
-    return alone.unionByName(replayed)
+    return result.unionByName(replayed_rows)
+
+
+def _in_rounds(linked: DataFrame, threshold: float, round_facts: int) -> DataFrame:
+    """(memory_id, text, vector, facts) of large components, ``round_facts`` facts of each at a time.
+
+    A round's facts are scored against all memories where these lie. A fact
+    changes one memory, so of k facts each needs its k best memories at most to find the best one
+    that the round has not changed; with the cosines among the facts themselves,
+    this decides the round exactly as one fact after another would. The deciding
+    task holds k facts and their candidates, whatever the size of the component.
+    """
+    state = cut(linked.where("kind = 0").select("component", F.col("item_id").alias("memory_id"), "text", "vector", F.lit(0).cast("long").alias("facts")))
+    numbered = blocked_row_number(linked.where("kind = 1"), ["component"], *id_blocks("ord"), [F.col("ord")], "_no")
+    facts = cut(numbered.withColumn("_round", F.floor((F.col("_no") - 1) / round_facts)))
+
+    def decide(new: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        return _decide_round(new, near, threshold)
+
+    for at in range(int(facts.agg(F.max("_round")).first()[0] or 0) + 1):
+        now = facts.where(F.col("_round") == at)
+        near = score_blocks(
+            state.select("memory_id", "vector"),
+            now.select("component", "item_id", "vector"),
+            TopN(round_facts, threshold),
+            point_keys=("memory_id",),
+            query_keys=("component", "item_id"),
+        )
+        best = salted_top_n(near, ["component", "item_id"], [F.desc("cosine"), F.col("memory_id")], round_facts, ["memory_id"])
+        changed = cut(
+            now.select("component", "item_id", "ord", "vector")
+            .groupBy("component")
+            .cogroup(best.select("component", "item_id", "memory_id", "cosine").groupBy("component"))
+            .applyInPandas(decide, "memory_id long, item_id long, added long")
+        )
+        before = state.select("memory_id", F.col("facts").alias("_facts"))
+        fresh = (
+            changed.join(now.select("component", "item_id", "text", "vector"), "item_id")
+            .join(before, "memory_id", "left")
+            .select("component", "memory_id", "text", "vector", (F.coalesce("_facts", F.lit(0)) + F.col("added")).alias("facts"))
+        )
+        state = cut(state.join(changed.select("memory_id"), "memory_id", "left_anti").select(*fresh.columns).unionByName(fresh))
+    return state.drop("component")
+
+
+def _decide_round(new: pd.DataFrame, near: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(memory_id, item_id of its last fact, facts added) of the memories that a round's facts change or found."""
+    new = new.sort_values("ord")
+    ids = new["item_id"].to_numpy()
+    unit = np.array(new["vector"].tolist(), dtype=np.float64)
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    among = np.round(unit @ unit.T, 12)
+    ranked = near.sort_values(["item_id", "cosine", "memory_id"], ascending=[True, False, True])
+    stored = {item: list(zip(g["memory_id"], g["cosine"])) for item, g in ranked.groupby("item_id", sort=False)}
+    memory = np.zeros(len(ids), dtype=np.int64)
+    holds = np.zeros(len(ids), dtype=bool)
+    last: dict[int, int] = {}
+    added: dict[int, int] = {}
+    for i, item in enumerate(ids):
+        found = next(((-cosine, m) for m, cosine in stored.get(item, ()) if m not in last), None)
+        held = np.flatnonzero(holds[:i] & (among[i, :i] >= threshold))
+        if len(held):
+            best = among[i, held].max()
+            own = (-best, memory[held[among[i, held] == best]].min())
+            found = own if found is None else min(found, own)
+        target = int(item if found is None else found[1])
+        if target in last:
+            holds[last[target]] = False
+        last[target], memory[i], holds[i] = i, target, True
+        added[target] = added.get(target, 0) + 1
+    return pd.DataFrame({"memory_id": list(last), "item_id": [ids[i] for i in last.values()], "added": list(added.values())}, dtype="int64")
 
 
 def _by_component(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,15 @@ from foliant.functions.graph import connected_components
 from foliant.functions.names import normalise_name, similar_names
 from foliant.functions.plugins import CompleterFactory
 from foliant.functions.ranking import blocked_row_number, id_blocks, salted_top_n
-from foliant.functions.vectors import AtLeast, score_blocks
+from foliant.functions.vectors import (
+    CELL_ROWS,
+    MAX_BROADCAST_QUERIES,
+    AtLeast,
+    choose_pivots,
+    in_cells,
+    pairs_in_cells,
+    score_blocks,
+)
 from foliant.operators.chunking import complete
 from foliant.session import cut
 
@@ -56,11 +64,21 @@ def dismiss(pairs: DataFrame, at: Column) -> DataFrame:
     )
 
 
-def embedding_pairs(entities: DataFrame, threshold: float = EMBED_THRESHOLD) -> DataFrame:
-    """(entity_type, id_a, id_b, cosine) of entities of one type with cosine >= threshold."""
-    e = entities.where(F.col("vector").isNotNull()).select(
-        F.col("entity_type"), F.col("entity_id"), "vector"
-    )
+def embedding_pairs(
+    entities: DataFrame, threshold: float = EMBED_THRESHOLD, one_block: int = MAX_BROADCAST_QUERIES, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """(entity_type, id_a, id_b, cosine) of entities of one type with cosine >= threshold.
+
+    Up to ``one_block`` entities are one matrix. Beyond it they lie in cells of about
+    ``cell_rows``, each type in blocks of its own, and a cell meets only those that a
+    vector within the threshold can come from, in one direction.
+    """
+    e = entities.where(F.col("vector").isNotNull()).select("entity_type", "entity_id", "vector")
+    if e.limit(one_block + 1).count() > one_block:
+        keyed = cut(e.withColumn("_row", F.xxhash64("entity_type", "entity_id")))
+        placed = cut(in_cells(keyed, choose_pivots(keyed, "_row", cell_rows), threshold))
+        pairs = pairs_in_cells(placed, AtLeast(threshold), "entity_id", "entity_type")
+        return pairs.select("entity_type", F.col("a").alias("id_a"), F.col("b").alias("id_b"), "cosine")
     pairs = score_blocks(
         e.select(F.col("entity_id").alias("id_b"), F.xxhash64("entity_type").alias("_t"), "vector"),
         e.select("entity_type", F.col("entity_id").alias("id_a"), "vector"),

@@ -152,3 +152,29 @@ def test_merge_keeps_other_rows(spark):
         (1, "seven", "five"), (1, "six", "five"), (2, "six", "five"),
     ]
     assert [r.entity_id for r in left.collect()] == [5]
+
+
+def test_pairs_in_cells_equal_all_pairs(spark):
+    """Clusters of unlike width, a zero vector, one vector many times, three types with equal ids."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    vectors = centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * rng.choice([0.02, 0.3, 1.0], (300, 1))
+    vectors[7] = 0
+    vectors[20:60] = vectors[20]
+    kinds = ["tag", "correspondent", "document_type"]
+    rows = [(kinds[i % 3], i // 3, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows.append(("tag", 1000, None))
+    df = spark.createDataFrame(rows, "entity_type string, entity_id long, vector array<double>")
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+    near = unit @ unit.T
+    for threshold in (0.9, 0.3):
+        want = sorted(
+            ((kinds[i % 3], i // 3, j // 3), near[i, j])
+            for i in range(300) for j in range(i + 3, 300, 3) if near[i, j] >= threshold
+        )
+        for sizes in ({"one_block": 10, "cell_rows": 20}, {}):
+            got = E.embedding_pairs(df, threshold, **sizes).collect()
+            got = sorted(((r.entity_type, r.id_a, r.id_b), r.cosine) for r in got)
+            assert [pair for pair, _ in got] == [pair for pair, _ in want]
+            assert np.allclose([c for _, c in got], [c for _, c in want], rtol=0, atol=1e-11)
