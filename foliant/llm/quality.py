@@ -4,7 +4,9 @@ Base counts of each text, then ratios of them; for every language and source, a
 quantile sketch of each ratio: counts in logarithmic buckets, which give any quantile within
 ``ACCURACY`` of its value and are merged by adding. A group of fewer than ``ENOUGH`` rows takes the
 sketch of its language, and that of all rows where the language is small too. A ratio's
-limit lies ``SPREADS`` times the middle spread beyond the median, within the rule's bounds.
+limit lies ``SPREADS`` middle spreads beyond the median on the logarithmic scale; no constant bounds it.
+Ratios of counts have half an occurrence added, so that texts without any have a place
+on that scale, which depends on their length; a single occurrence is never too many.
 Rows meet the limits of their group in a join whose limit side has a row for each group.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language or
@@ -21,15 +23,15 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import doc_rows, stored
 
-ACCURACY = 0.02
+ACCURACY = 0.005
 ENOUGH = 200
-SPREADS = 6
+SPREADS = 3
 MIN_WORDS = 50
-#: ratio: (lowest upper limit, highest upper limit); the limit of a group lies between.
-UPPER = {"symbol_share": (0.05, 0.10), "dup_line_share": (0.30, 0.50), "repeat_share": (0.20, 0.50), "word_length": (9.0, 15.0)}
 _SPACES = " \t\n\u000b\f\r"
 _LOG = math.log((1 + ACCURACY) / (1 - ACCURACY))
-_TINY = 1e-4
+_TINY = 1e-10
+#: Two buckets: a narrower spread is not told from none.
+LEAST = math.exp(2 * _LOG)
 
 
 def _bound(value: Column, body) -> Column:
@@ -88,15 +90,19 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def ratios() -> dict[str, Column]:
-    chars, words, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
+    share = lambda n, of: (F.col(n) + 0.5) / (F.col(of) + 1)
     return {
-        "symbol_share": F.col("n_symbols") / chars,
-        "dup_line_share": F.col("n_dup_lines") / lines,
-        "repeat_share": F.col("n_repeat_words") / words,
-        "word_length": F.col("word_chars") / words,
+        "symbol_share": share("n_symbols", "word_chars"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"),
+        "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
     }
 
 
+#: What a ratio counts, where one is always allowed.
+COUNTED = {"symbol_share": "n_symbols", "dup_line_share": "n_dup_lines", "repeat_share": "n_repeat_words"}
+
+
 def sketch(rows: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, n): the quantile sketches of all rows that pass the base rule; merged by adding n."""
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in ratios().items()]))
@@ -110,7 +116,7 @@ def quantiles(sketches: DataFrame, keys: list[str], points: dict[str, float]) ->
     merged = sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "rule")
     ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "rows": F.sum("n").over(group)})
-    value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.lit(_TINY) * F.exp(F.col("bucket") * F.lit(_LOG)) * F.lit(1 - ACCURACY))
+    value = F.lit(_TINY) * F.exp(F.col("bucket") * F.lit(_LOG)) * F.lit(1 - ACCURACY)
     found = [F.min(F.when(F.col("upto") >= F.col("rows") * p, value)).alias(name) for name, p in points.items()]
     return ranked.groupBy(*keys, "rule").agg(F.max("rows").alias("rows"), *found)
 
@@ -129,13 +135,10 @@ def limits(sketches: DataFrame) -> DataFrame:
     limit = F.lit(0.0)
     for tag in ("all", "lang", ""):
         c = lambda name, tag=tag: F.col(f"{tag}_{name}" if tag else name)
-        value = c("middle") + SPREADS * (c("high") - c("low"))
+        value = c("middle") * F.pow(F.greatest(c("high") / c("low"), F.lit(LEAST)), F.lit(SPREADS))
         limit = value if tag == "all" else F.when(c("rows") >= ENOUGH, value).otherwise(limit)
     named = joined.select("lang", "source", "rule", limit.alias("value"))
-    columns = []
-    for rule, (least, most) in UPPER.items():
-        value = F.max(F.when(F.col("rule") == rule, F.col("value")))
-        columns.append(F.least(F.greatest(value, F.lit(least)), F.lit(most)).alias(f"max_{rule}"))
+    columns = [F.max(F.when(F.col("rule") == rule, F.col("value"))).alias(f"max_{rule}") for rule in ratios()]
     return named.groupBy("lang", "source").agg(*columns)
 
 
@@ -148,7 +151,10 @@ def judged(docs: DataFrame) -> DataFrame:
     )
     inside = ~F.col("base_failed")
     for rule, value in ratios().items():
-        inside = inside & F.coalesce(value <= F.col(f"max_{rule}"), F.lit(True))
+        allowed = value <= F.col(f"max_{rule}")
+        if rule in COUNTED:
+            allowed = allowed | (F.col(COUNTED[rule]) <= 1)
+        inside = inside & F.coalesce(allowed, F.lit(True))
     return joined.withColumn("kept", inside).drop("of_lang", "of_source")
 
 
