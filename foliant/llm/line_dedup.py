@@ -10,9 +10,10 @@ is variable too. A template recurs when it is found in documents with different
 - a wider template, in ``WIDE_DOCS`` documents.
 
 A recurring line stays in one text (the one with the smallest hash, and its exact copies)
-and is dropped from all others. Copies are left to document-level deduplication: a document that
-takes three or more recurring lines, and half of its words, from one other text keeps
-those lines, so that near copies stay recognisable.
+and is dropped from all others. Copies are left to document-level deduplication: where two texts
+share three lines or more and these hold 70 % of the words of **both**, the second text keeps them, so
+that near copies stay recognisable. A line that is equal but for a quarter of its words, or short, counts
+as shared from two texts on. A notice that fills less of either text is dropped, however often it occurs.
 
 Only hashes of lines are shuffled before the dropped positions meet the texts; a hot line
 is counted map-side, and its rows are joined by a shuffle that can be split.
@@ -35,6 +36,7 @@ LEADING = 2
 SHORT_DOCS = 20
 WIDE_DOCS = 10
 COPY_LINES = 3
+COPY_PERCENT = 70
 GAP = r"[ \t\x0B\f\r]+"
 
 
@@ -68,9 +70,10 @@ def line_keys(text: Column) -> Column:
     return F.transform(words, lambda line: F.struct(F.size(line).alias("words"), keys(line).alias("keys")))
 
 
-def recurring(keyed: DataFrame) -> DataFrame:
-    """(key, home): recurring template keys, each with the hash of the text in which its lines stay.
+def shared(keyed: DataFrame) -> DataFrame:
+    """(key, home, drops): template keys found in different texts, with the least hash of their texts.
 
+    ``drops`` says whether the key is found in enough documents for its lines to stay in that text alone.
     ``keyed``: (text_hash, lines) with the lines of ``line_keys``. A document counts once for a key.
     """
 
@@ -88,31 +91,37 @@ def recurring(keyed: DataFrame) -> DataFrame:
         F.max("line.full").alias("full"),
     )
     enough = F.when(F.col("wide"), WIDE_DOCS).when(F.col("full"), 2).otherwise(SHORT_DOCS)
-    return counted.where((F.col("home") != F.col("last")) & (F.col("docs") >= enough)).select("key", "home")
+    return counted.where(F.col("home") != F.col("last")).select("key", "home", (F.col("docs") >= enough).alias("drops"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(row_id, row_check, gone): positions of the lines to drop, for the rows that lose any."""
     row = ["row_id", "row_check"]
-    keyed = stored(
-        docs.where(F.col("text").isNotNull()).select(
-            *_identity(), F.xxhash64("text").alias("text_hash"), line_keys(F.col("text")).alias("lines")
-        ),
-        "lines",
-    )
     total = F.aggregate("lines", F.lit(0), lambda n, line: n + line["words"]).alias("all_words")
-    own = keyed.select(*row, "text_hash", total, F.posexplode("lines").alias("at", "line")).select(
+    read = docs.where(F.col("text").isNotNull()).select(
+        *_identity(), F.xxhash64("text").alias("text_hash"), line_keys(F.col("text")).alias("lines")
+    )
+    keyed = stored(read.select("*", total), "lines")
+    own = keyed.select(*row, "text_hash", "all_words", F.posexplode("lines").alias("at", "line")).select(
         *row, "text_hash", "all_words", "at", "line.words", F.explode("line.keys").alias("key")
     )
-    elsewhere = own.join(recurring(keyed), "key").where(F.col("home") != F.col("text_hash")).repartition(*row)
+    elsewhere = own.join(shared(keyed), "key").where(F.col("home") != F.col("text_hash")).repartition(*row)
     lines = elsewhere.groupBy(*row, "at").agg(
-        F.min("home").alias("home"), F.max("words").alias("words"), F.max("all_words").alias("all_words")
+        F.min("home").alias("home"), F.max("words").alias("words"), F.max("all_words").alias("all_words"), F.max("drops").alias("drops")
     )
     taken = lines.groupBy(*row, "home").agg(
-        F.collect_list("at").alias("at"), F.sum("words").alias("words"), F.max("all_words").alias("all_words")
+        F.collect_list(F.when(F.col("drops"), F.col("at"))).alias("at"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("words").alias("words"),
+        F.max("all_words").alias("all_words"),
     )
-    copied = (F.size("at") >= COPY_LINES) & (2 * F.col("words") >= F.col("all_words"))
-    return taken.where(~copied).groupBy(*row).agg(F.flatten(F.collect_list("at")).alias("gone"))
+    # With most of its words from one text, a row has one such text at most.
+    most = lambda words: 100 * F.col("words") >= COPY_PERCENT * F.col(words)
+    homes = keyed.groupBy(F.col("text_hash").alias("home")).agg(F.max("all_words").alias("home_words"))
+    kin = taken.where((F.col("n") >= COPY_LINES) & most("all_words")).select(*row, "home", "words").join(homes, "home")
+    kin = kin.where(most("home_words")).select(*row, F.col("home").alias("kin"))
+    left = taken.where(F.size("at") > 0).join(kin, row, "left").where(~F.col("home").eqNullSafe(F.col("kin")))
+    return left.groupBy(*row).agg(F.flatten(F.collect_list("at")).alias("gone"))
 
 
 def drop_recurring(docs: DataFrame, dropped: str | None = None) -> DataFrame:

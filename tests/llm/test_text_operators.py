@@ -188,6 +188,24 @@ def test_near_copies_keep_their_lines(spark):
     assert {r.text for r in line_dedup.drop_recurring(rows_of(spark, texts)).collect()} == set(texts)
 
 
+def test_a_notice_that_fills_half_of_many_texts_stays_in_one(spark):
+    notice = [f"this notice in its clause {c} was added to every page by the office that sends them out" for c in "abc"]
+    own = "line {} tells of matter{} which no other page has in its words about thing{} at all ever"
+    names = [f"{a}{b}" for a in "bcdfg" for b in "aeioulrt"]
+    texts = ["\n".join([*notice, *(own.format(n + c, n + c, c + n) for c in "xyz")]) for n in names]
+    rows = {r.doc_id: r for r in line_dedup.drop_recurring(rows_of(spark, texts), "lost").collect()}
+    assert sorted(r.lost for r in rows.values()) == [0] + [3] * 39
+    assert all(f"line {n}{c} " in rows[i].text for i, n in enumerate(names) for c in "xyz")
+
+
+def test_near_copies_with_long_lines_keep_them(spark):
+    """One word in 50 is another one, so that most lines differ: they count by their wider templates."""
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    edited = [f"new{w}" if i % 50 == 30 else w for i, w in enumerate(words)]
+    texts = ["\n".join(" ".join(w[i : i + 25]) for i in range(0, 400, 25)) for w in (words, edited)]
+    assert {r.text for r in line_dedup.drop_recurring(rows_of(spark, texts)).collect()} == set(texts)
+
+
 def test_crc_of_pieces(spark):
     from pyspark.sql import functions as F
 
