@@ -1,5 +1,6 @@
 """Packing, near copies, lines and words against brute force on small tables with odd rows."""
 
+import collections
 import re
 import zlib
 from collections import defaultdict
@@ -7,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from foliant.llm import line_dedup, near_dup, packing
 from foliant.llm.queries import tokenizer_path
 from foliant.llm.words import batches, word_hashes
@@ -233,3 +235,55 @@ def test_labels_of_few_and_many_edges(spark, monkeypatch, few):
     edges = spark.createDataFrame(pairs, "a long, p long")
     want = {2: 2, 5: 2, 9: 2, 1: 1, 7: 1, 8: 1, 20: 20, 30: 20} | {i: 100 for i in range(100, 161)}
     assert {r.id: r.component for r in near_dup._labels(edges).collect()} == want
+
+
+def _line_model(texts):
+    """Line dedup by plain loops: the lines every text keeps."""
+    split = lambda line: re.split(r"[ \t\x0B\f\r]+", line.strip(" "))
+    place = lambda text: (xxhash.xxh64_intdigest(text.encode(), seed=42) + 2**63) % 2**64
+
+    def keys(line):
+        words = split(re.sub(r"[^ \t]*[0-9][^ \t]*", "<*>", line))
+        if len(words) < 3:
+            return len(words), []
+        out = [("own", tuple(words))]
+        part = -(-(len(words) - 2) // 4)
+        if len(words) >= 12:
+            out += [(j, len(words), tuple(words[: 2 + part * j]), tuple(words[2 + part * (j + 1) :])) for j in range(4)]
+        return len(words), out
+
+    lines = {t: [keys(x) for x in t.split("\n")] for t in set(texts)}
+    homes, docs = {}, collections.Counter()
+    for text in texts:
+        for key in {k for _, ks in lines[text] for k in ks}:
+            homes.setdefault(key, set()).add(text)
+            docs[key] += 1
+    size = {t: sum(n for n, _ in ls) for t, ls in lines.items()}
+    kept = {}
+    for text in set(texts):
+        taken, by_home = {}, collections.defaultdict(list)
+        for at, (n, ks) in enumerate(lines[text]):
+            found = [(min(homes[k], key=place), docs[k] >= (10 if k[0] != "own" else 2 if n >= 8 else 20)) for k in ks if len(homes[k]) > 1]
+            found = [f for f in found if f[0] != text]
+            if found:
+                taken[at] = min((h for h, _ in found), key=place), any(d for _, d in found)
+                by_home[taken[at][0]].append(n)
+        kin = {h for h, ns in by_home.items() if len(ns) >= 3 and 10 * sum(ns) >= 7 * size[text] and 10 * sum(ns) >= 7 * size[h]}
+        gone = {at for at, (home, drops) in taken.items() if drops and home not in kin}
+        kept[text] = "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone)
+    return kept
+
+
+def test_line_dedup_is_the_model(spark, sf):
+    """All documents, and pages whose half is a notice, a log, or another page with a few other words."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text is not None]
+    notice = "\n".join(f"clause {c} of the notice that stands below each of the pages here" for c in "abcd")
+    for i in range(25):
+        own = "\n".join(f"page x{chr(97 + i)} says in part {c * 2} what no other page of these has said so far{chr(97 + i)}" for c in "pqrst")
+        texts += [f"{own}\n{notice}", f"job {i} done by worker{i} in room with a view of sea and {chr(97 + i)}hill near town\n{own}", "ok it goes", f"end of it\n{own[:60]}"]
+        texts.append(own.replace("other", "earlier", 1))
+    texts += texts[:7]
+    want = _line_model(texts)
+    got = line_dedup.drop_recurring(rows_of(spark, texts)).collect()
+    assert {r.doc_id: r.text for r in got} == {i: want[t] for i, t in enumerate(texts)}
+    assert sum(want[t] != t for t in texts) > 20
