@@ -109,11 +109,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = elsewhere.groupBy(*row, "at").agg(
         F.min("home").alias("home"), F.max("words").alias("words"), F.max("all_words").alias("all_words"), F.max("drops").alias("drops")
     )
-    taken = lines.groupBy(*row, "home").agg(
-        F.collect_list(F.when(F.col("drops"), F.col("at"))).alias("at"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum("words").alias("words"),
-        F.max("all_words").alias("all_words"),
+    taken = stored(
+        lines.groupBy(*row, "home").agg(
+            F.collect_list(F.when(F.col("drops"), F.col("at"))).alias("at"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("words").alias("words"),
+            F.max("all_words").alias("all_words"),
+        ),
+        "taken",
     )
     # With most of its words from one text, a row has one such text at most.
     most = lambda words: 100 * F.col("words") >= COPY_PERCENT * F.col(words)
