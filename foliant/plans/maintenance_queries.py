@@ -63,7 +63,7 @@ def chunk_upsert_table(spark, sf):
     docs, edited = _texts(spark, sf)
     path = scratch(spark)
     store.write_version(chunking.chunk(docs), path)
-    store.upsert_buckets(spark, path, chunking.chunk(edited), edited, f"{path}-staging")
+    store.upsert_buckets(spark, path, chunking.chunk(edited), edited)
     return _digest(store.read_current(spark, path))
 
 

@@ -1,11 +1,15 @@
 """Durable tables on plain parquet: versions, bucketed upserts, change logs.
 
-One writer per table. Nothing here reads and overwrites the same files in one
-plan, and every step can be repeated after a failure.
+One writer per table, any number of readers. Nothing here reads and overwrites the
+same files in one plan, and every step can be repeated after a failure.
+
+``v=3`` is a full version, ``v=3.2`` its second upsert: only the buckets that upsert
+wrote, and a manifest of the folders that hold all others. Committed files never change.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -25,32 +29,76 @@ def _files(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions of a table, oldest first; a directory counts once its job has committed."""
+def _snapshots(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """Committed (version, upsert), oldest first; upsert 0 is the full version. A folder counts once its job has committed."""
     fs, root = _files(spark, path)
     if not fs.exists(root):
         return []
     found = []
     for status in fs.listStatus(root):
-        name = status.getPath().getName()
+        version, _, upsert = status.getPath().getName().removeprefix("v=").partition(".")
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
+        if version.isdigit() and fs.exists(done):
+            found.append((int(version), int(upsert or 0)))
     return sorted(found)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed full versions of a table, oldest first."""
+    return [version for version, upsert in _snapshots(spark, path) if not upsert]
+
+
+def _folder(snapshot: tuple[int, int]) -> str:
+    version, upsert = snapshot
+    return f"v={version}.{upsert}" if upsert else f"v={version}"
+
+
+def _manifest(spark: SparkSession, path: str, snapshot: tuple[int, int]):
+    return _files(spark, f"{path}/{_folder(snapshot)}/_manifest")
+
+
+def _places(spark: SparkSession, path: str, snapshot: tuple[int, int], buckets: int) -> dict[int, str]:
+    """The folder of each bucket in a snapshot; a bucket without rows has a folder without files, or none."""
+    own = dict.fromkeys(range(buckets), _folder(snapshot))
+    if not snapshot[1]:
+        return own
+    fs, file = _manifest(spark, path, snapshot)
+    stream = fs.open(file)
+    try:
+        return own | {int(b): folder for b, folder in json.loads(stream.readLine()).items()}
+    finally:
+        stream.close()
+
+
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    found = versions(spark, path)
-    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+    """The latest snapshot. The frame keeps reading it, whatever is written meanwhile, until ``expire`` removes it."""
+    found = _snapshots(spark, path)
+    if not found:
+        return None
+    version = f"{path}/v={found[-1][0]}"
+    if not found[-1][1]:
+        return spark.read.parquet(version)
+    places = _places(spark, path, found[-1], _bucket_count(spark, version))
+    there = {folder: _bucket_folders(spark, f"{path}/{folder}") for folder in set(places.values())}
+    parts = [f"{path}/{folder}/bucket={b}" for b, folder in sorted(places.items()) if b in there[folder]]
+    if not parts:
+        return spark.read.parquet(version).where(F.lit(False))
+    return spark.read.option("basePath", path).parquet(*parts).drop("v")
+
+
+def _bucket_folders(spark: SparkSession, folder: str) -> set[int]:
+    fs, root = _files(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
 
 
 def read_located(spark: SparkSession, path: str) -> DataFrame | None:
     """As ``read_current``; the bucket column says how many buckets there are, so that rows can be fetched by location."""
-    found = versions(spark, path)
+    found = _snapshots(spark, path)
     if not found:
         return None
-    table = f"{path}/v={found[-1]}"
-    return spark.read.parquet(table).withMetadata("bucket", {BUCKETS_KEY: _bucket_count(spark, table)})
+    buckets = _bucket_count(spark, f"{path}/v={found[-1][0]}")
+    return read_current(spark, path).withMetadata("bucket", {BUCKETS_KEY: buckets})
 
 
 def buckets_of(df: DataFrame) -> int | None:
@@ -65,17 +113,22 @@ def write_version(df: DataFrame, path: str, buckets: int = BUCKETS) -> int:
     the name of a marker file). Choose it so that a bucket is about a gigabyte.
     """
     spark = df.sparkSession
-    found = versions(spark, path)
-    version = found[-1] + 1 if found else 1
-    fs, root = _files(spark, f"{path}/v={version}")
-    if fs.exists(root):  # left over from a write that never committed
-        fs.delete(root, True)
-    fs.mkdirs(root)
+    found = _snapshots(spark, path)
+    version = found[-1][0] + 1 if found else 1
+    fs, root = _new_folder(spark, f"{path}/v={version}")
     fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, f"_buckets.{buckets}")).close()
     _bucketed(df, buckets).write.mode("append").partitionBy("bucket").parquet(f"{path}/v={version}")
     return version
 
 
+def _new_folder(spark: SparkSession, folder: str):
+    fs, root = _files(spark, folder)
+    if fs.exists(root):  # left over from a write that never committed
+        fs.delete(root, True)
+    fs.mkdirs(root)
+    return fs, root
+
+
 def _bucket_count(spark: SparkSession, table: str) -> int:
     fs, root = _files(spark, table)
     names = [s.getPath().getName() for s in fs.listStatus(root)]
@@ -107,29 +160,62 @@ def upsert(current: DataFrame, new: DataFrame, touched: DataFrame) -> DataFrame:
     return current.join(touched.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
 
 
-def upsert_buckets(spark: SparkSession, path: str, new: DataFrame, touched: DataFrame, staging: str) -> None:
-    """Durable upsert that reads and rewrites only the buckets the documents fall into.
+def upsert_buckets(spark: SparkSession, path: str, new: DataFrame, touched: DataFrame, staging: str | None = None) -> None:
+    """Durable upsert that reads only the buckets the documents fall into and writes them anew beside the old ones.
 
-    The merged buckets are written to ``staging`` first and from there replace
-    their partitions. A rerun of the second step repeats the same overwrite.
+    ``new`` holds chunks of ``touched`` documents only. Readers see the table before or after the upsert: it
+    exists from the commit marker of its folder on, and no file of an earlier snapshot changes. A failed
+    upsert leaves nothing that counts, and a repeated one ends in the same rows. ``expire`` removes
+    what no later snapshot needs. ``staging`` is not needed any more.
     """
-    version = versions(spark, path)[-1]
-    table = f"{path}/v={version}"
-    buckets = _bucket_count(spark, table)
+    version, last = _snapshots(spark, path)[-1]
+    buckets = _bucket_count(spark, f"{path}/v={version}")
     # At most one value per bucket, whatever the number of documents.
     hit = [r[0] for r in touched.select(bucket(buckets=buckets)).distinct().collect()]
     if not hit:
         return
-    current = spark.read.parquet(table).where(F.col("bucket").isin(hit)).drop("bucket")
+    current = read_current(spark, path).where(F.col("bucket").isin(hit)).drop("bucket")
     merged = _bucketed(upsert(current, new, touched), buckets)
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-    # A bucket that became empty has no staged files to replace it.
-    left = {r[0] for r in staged.select("bucket").distinct().collect()}
-    fs, root = _files(spark, table)
-    for gone in set(hit) - left:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"bucket={gone}"), True)
+    others = {b: folder for b, folder in _places(spark, path, (version, last), buckets).items() if b not in set(hit)}
+    following = (version, last + 1)
+    _new_folder(spark, f"{path}/{_folder(following)}")
+    fs, file = _manifest(spark, path, following)
+    stream = fs.create(file)
+    stream.writeBytes(json.dumps(others))
+    stream.close()
+    merged.write.mode("append").partitionBy("bucket").parquet(f"{path}/{_folder(following)}")
+
+
+def expire(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Removes all snapshots but the last ``keep``, and the buckets that only those used.
+
+    Markers go first, so that an interrupted call leaves no snapshot that looks whole; a repeated call ends the work.
+    """
+    if keep < 1:
+        raise ValueError("at least the current snapshot stays")
+    found = _snapshots(spark, path)
+    used: dict[str, set[int]] = {}
+    for snapshot in found[-keep:]:
+        buckets = _bucket_count(spark, f"{path}/v={snapshot[0]}")
+        for b, folder in _places(spark, path, snapshot, buckets).items():
+            used.setdefault(folder, set()).add(b)
+        used.setdefault(f"v={snapshot[0]}", set())  # it names the number of buckets
+    fs, root = _files(spark, path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    for snapshot in found[:-keep]:
+        fs.delete(path_of(f"{path}/{_folder(snapshot)}/_SUCCESS"), False)
+    kept = {_folder(s) for s in found[-keep:]}
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if not name.startswith("v=") or name in kept:
+            continue
+        if name not in used:
+            fs.delete(status.getPath(), True)
+            continue
+        there = _bucket_folders(spark, f"{path}/{name}")
+        unused = sorted(there - used[name])
+        for b in unused if used[name] & there or "." in name else unused[1:]:  # an empty table keeps one for its schema
+            fs.delete(path_of(status.getPath(), f"bucket={b}"), True)
 
 
 # --- change logs ----------------------------------------------------------------------------------

@@ -39,6 +39,56 @@ def test_uncommitted_version_is_invisible(spark, tmp_path):
     assert [r.passage for r in store.read_current(spark, path).collect()] == ["a"]
 
 
+def test_readers_see_the_table_before_or_after_an_upsert(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda df: sorted((r.document_id, r.passage) for r in df.collect())
+    ids = lambda *d: spark.createDataFrame([(i,) for i in d], "document_id long")
+    store.write_version(chunks(spark, [(d, 0, f"old {d}") for d in range(1, 40)]), path, buckets=8)
+    files = {p: p.read_bytes() for p in pathlib.Path(path).rglob("*.parquet")}
+    before = store.read_current(spark, path)
+    store.upsert_buckets(spark, path, chunks(spark, [(1, 0, "new 1")]), ids(1, 2))
+    first = store.read_current(spark, path)
+    store.upsert_buckets(spark, path, chunks(spark, [(1, 0, "newer 1"), (50, 0, "x")]), ids(1, 50))
+    old = [(d, f"old {d}") for d in range(3, 40)]
+    assert rows(before) == sorted([(1, "old 1"), (2, "old 2"), *old])
+    assert rows(first) == sorted([(1, "new 1"), *old])
+    want = sorted([(1, "newer 1"), (50, "x"), *old])
+    assert rows(store.read_current(spark, path)) == want
+    assert all(p.read_bytes() == data for p, data in files.items())
+    # An upsert that has not committed does not count, and the next one takes its place.
+    store.upsert_buckets(spark, path, chunks(spark, []), ids(3))
+    (tmp_path / "t" / "v=1.3" / "_SUCCESS").unlink()
+    assert rows(store.read_current(spark, path)) == want
+    store.upsert_buckets(spark, path, chunks(spark, []), ids(4))
+    want = [r for r in want if r[0] != 4]
+    located = store.read_located(spark, path)
+    assert rows(located) == want and store.buckets_of(located) == 8
+    pruned = located.where(F.col("bucket") == 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in pruned
+
+
+def test_expired_snapshots_go_and_the_kept_ones_stay_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda: sorted((r.document_id, r.passage) for r in store.read_current(spark, path).collect())
+    store.write_version(chunks(spark, [(0, 0, "of an older version")]), path)
+    store.write_version(chunks(spark, [(d, 0, f"old {d}") for d in range(1, 30)]), path, buckets=4)
+    for d in range(1, 6):
+        store.upsert_buckets(spark, path, chunks(spark, [(d, 0, f"new {d}")]), spark.createDataFrame([(d,)], "document_id long"))
+    want, size = rows(), len(list(pathlib.Path(path).rglob("*.parquet")))
+    for _ in range(2):  # a repeat changes nothing
+        store.expire(spark, path)
+        assert rows() == want
+    left = list(pathlib.Path(path).rglob("*.parquet"))
+    assert len(left) < size and not (tmp_path / "t" / "v=1").exists()
+    gone = spark.range(1, 30).withColumnRenamed("id", "document_id")
+    store.upsert_buckets(spark, path, chunks(spark, []), gone)
+    store.expire(spark, path)
+    assert rows() == [] and store.read_current(spark, path).columns[-1] == "bucket"
+    assert store.write_version(chunks(spark, [(7, 0, "a")]), path) == 3 and rows() == [(7, "a")]
+    with pytest.raises(ValueError):
+        store.expire(spark, path, 0)
+
+
 def test_migration_outcomes(spark):
     empty = spark.createDataFrame([], "vector array<float>")
     full = spark.createDataFrame([([1.0],)], "vector array<float>")
