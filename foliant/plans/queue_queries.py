@@ -446,7 +446,7 @@ def audit_retention(spark, sf):
     ),
 )
 def audit_export(spark, sf):
-    return H.export_rows(D.audit(spark, sf))
+    return H.export_rows(D.audit(spark, sf), 100_000)
 
 
 # --- access -----------------------------------------------------------------------------------

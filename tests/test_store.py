@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import audit as H
 from foliant.plans import derive as D
+from foliant.plans.queue_queries import audit_export
 from foliant.sources import store
 
 
@@ -122,6 +123,16 @@ def test_audit_export(spark, sf, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 5
 
 
+def test_audit_export_query_holds_the_limit_of_its_sql(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    more = events.limit(50).withColumn("event_id", F.col("event_id") + 10_000_000)
+    events.unionByName(more).write.parquet(str(tmp_path / "events.parquet"))
+    rows = audit_export(spark, str(tmp_path))
+    assert rows.count() == 100_000
+    newest = D.audit(spark, str(tmp_path)).orderBy(F.desc("changed_at"), F.desc("id")).select("id").limit(100_000)
+    assert rows.select("id").exceptAll(newest).count() == 0
+
+
 def test_audit_bounds(spark, sf):
     with pytest.raises(ValueError):
         H.retain(D.audit(spark, sf), F.current_timestamp(), 29)
