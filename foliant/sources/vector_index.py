@@ -21,11 +21,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.ranking import salted_top_n
-from foliant.functions.vectors import TopN, _batch, _Pairs, _read, _score, _unit_matrix, _write, dot, norm, on_grid, score_blocks, unit_score
+from foliant.functions.vectors import (
+    GRID,
+    SLICE_PRODUCTS,
+    TopN,
+    _batch,
+    _Pairs,
+    _read,
+    _score,
+    _unit_matrix,
+    _write,
+    dot,
+    in_key_order,
+    meet_parts,
+    norm,
+    on_grid,
+    score_blocks,
+    unit_score,
+)
 from foliant.session import cut, spread
 from foliant.sources.store import _files
 
@@ -43,6 +61,10 @@ NO_DIRECTION = -1
 BROADCAST_BYTES = 64 << 20
 #: Queries in one packed row.
 PACK_ROWS = 2048
+#: More queries meet parts of all points as matrices where a search would read over a quarter of (query, cell) anyway, and signs always.
+MANY_QUERIES = 4096
+#: Queries that decide whether cells leave out enough.
+TRIED = 256
 #: Room for rounding in bounds on cosines; angles near 0 are known to 1.5e-8.
 SLACK = 1e-7
 
@@ -295,11 +317,37 @@ def _scored(index: VectorIndex, packs: DataFrame, query_type: str, n: int) -> Da
     return blocks.select("low", "high", "centre", "body", "asked").mapInArrow(task, f"query_id {query_type}, document_id long, chunk_index long, cosine double")
 
 
+def stored_points(index: VectorIndex) -> DataFrame:
+    """(document_id, chunk_index, vector) of all blocks."""
+    some = index.blocks.select("body").first()
+    kind = "double" if some is None or pa.types.is_float64(_read(some["body"]).schema.field("vector").type.value_type) else "float"
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                yield from _read(body.as_py()).select([*POINT, "vector"]).to_batches()
+
+    return index.blocks.select("body").mapInArrow(task, f"document_id long, chunk_index long, vector array<{kind}>")
+
+
+def _reads_most(index: VectorIndex, asked: DataFrame, cells: _Cells, n: int, probes: int | None) -> bool:
+    """Whether many queries would visit over a quarter of all cells; an exact search is tried with some of them."""
+    if asked.limit(MANY_QUERIES + 1).count() <= MANY_QUERIES:
+        return False
+    if probes is not None:
+        return 4 * probes > len(cells.ids)
+    few = cut(asked.limit(TRIED))
+    bars = search(index, few, n, 1).where(F.col("rank") == n).select("query_id", (2 * F.col("score") - 1).alias("bar"))
+    barred = few.join(bars, "query_id", "left").select("query_id", "vector", F.coalesce("bar", F.lit(-2.0)).alias("bar"))
+    return 4 * _probed(barred, cells, n, 1, True).count() > TRIED * len(cells.ids)
+
+
 def search(index: VectorIndex, queries: DataFrame, n: int, probes: int | None = None) -> DataFrame:
     """(query_id, document_id, chunk_index, score, rank): the n best points of each query.
 
     With ``probes``, those in its nearest cells (at least as many cells, and n rows). Without, the exact ones: the nearest
-    cells give a bar, and only cells and blocks that can hold a point above it are read besides.
+    cells give a bar, and only cells and blocks that can hold a point above it are read besides. Where many queries would
+    visit over a quarter of the cells either way, each part of the points is read once for all of them: the result is exact.
     """
     asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
     kind = asked.schema["query_id"].dataType.simpleString()
@@ -309,6 +357,9 @@ def search(index: VectorIndex, queries: DataFrame, n: int, probes: int | None =
     start = asked.withColumn("bar", F.lit(-2.0))
     if len(cells.ids) == 0:
         return index.spark.createDataFrame([], f"query_id {kind}, document_id long, chunk_index long, score double, rank long")
+    if _reads_most(index, asked, cells, n, probes):
+        found = best(score_blocks(stored_points(index), asked, TopN(n), POINT, ("query_id",)))
+        return found.select("query_id", *POINT, unit_score("cosine").alias("score"), "rank")
     found = best(_scored(index, _packs(_probed(start, cells, n, probes or 1, False), index.dim), kind, n))
     if probes is None:
         found = cut(found)
@@ -353,14 +404,103 @@ def sign_candidates(index: VectorIndex, queries: DataFrame, wanted: int, block:
     return near.select("_q.query_id", *POINT, "distance")
 
 
+def _bits(column: pa.Array) -> np.ndarray:
+    """Codes as a matrix of words."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return flat.reshape(len(column), -1)
+
+
+def _distances(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Differing signs of every query and point; ``held`` has a row a word."""
+    total = np.bitwise_count(asked[:, :1] ^ held[0]).astype(np.uint16)
+    for w in range(1, len(held)):
+        total += np.bitwise_count(asked[:, w : w + 1] ^ held[w])
+    return total
+
+
+class _SignCounts:
+    """How many codes of a part lie at each distance of a query."""
+
+    def __init__(self, points: pa.Table):
+        self.held = np.ascontiguousarray(_bits(points.column("vector").combine_chunks()).T)
+
+    def meet(self, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asked, bits = _bits(queries.column("vector")), 64 * len(self.held)
+        rows, step = [], max(1, SLICE_PRODUCTS // self.held.shape[1])
+        for at in range(0, len(asked), step):
+            rows += [np.bincount(row, minlength=bits + 1) for row in _distances(asked[at : at + step], self.held)]
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (bits + 1)), pa.array(np.concatenate(rows)))
+        yield pa.RecordBatch.from_arrays([queries.column("query_id"), counts], names=["query_id", "counts"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+class _SignTop:
+    """The n points of a part with the best cosine among those within a query's ``limit`` of differing signs."""
+
+    def __init__(self, points: pa.Table, n: int):
+        self.ids, order = in_key_order(points)
+        self.unit, self.n = _unit_matrix(points.column("vector"))[order], n
+        self.held = self._codes(self.unit).T.copy()
+
+    @staticmethod
+    def _codes(unit: np.ndarray) -> np.ndarray:
+        packed = np.packbits(unit > 0, axis=1)
+        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+    def meet(self, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        unit = _unit_matrix(queries.column("vector"), self.unit.shape[1])
+        codes, limit = self._codes(unit), queries.column("limit").to_numpy()
+        ids = pa.table({"query_id": queries.column("query_id")})
+        pairs = _Pairs(TopN(self.n), ids)
+        step = max(1, SLICE_PRODUCTS // self.held.shape[1])
+        for at in range(0, len(unit), step):
+            row, col = np.nonzero(_distances(codes[at : at + step], self.held) <= limit[at : at + step, None])
+            for a in range(0, len(row), 32_768):
+                r, c = row[a : a + 32_768] + at, col[a : a + 32_768]
+                grid = np.rint(np.einsum("ij,ij->i", unit[r], self.unit[c]) * GRID).astype(np.int64)
+                pairs.add((r, grid, *[k[c] for k in self.ids]))
+        if (found := pairs.drain()) is not None:
+            yield _batch(found, ids, list(POINT), ["query_id", *POINT, "cosine"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def _many_by_signs(index: VectorIndex, points: DataFrame, asked: DataFrame, n: int, wanted: int) -> DataFrame:
+    """(query_id, point, cosine): the best of each part of the points. Limits come from counts over the stored codes, as in ``sign_candidates``."""
+    block = F.lit(0).cast("long").alias("block")
+    kind = asked.schema["query_id"]
+    codes = index.codes.select(block, *POINT, F.col("code").alias("vector"))
+    signs = asked.select(block, "query_id", sign_words(F.col("vector"), index.dim).alias("vector"))
+    counted = T.StructType([kind, T.StructField("counts", T.ArrayType(T.LongType()))])
+    counts = meet_parts(codes, signs, POINT, ("query_id",), _SignCounts, counted)
+    sums = counts.select("query_id", F.posexplode("counts").alias("distance", "n")).where("n > 0").groupBy("query_id", "distance").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("distance"))  # dim rows a query
+    limit = F.coalesce(F.min(F.when(F.col("n") >= wanted, F.col("distance"))), F.max("distance")).alias("limit")
+    limits = sums.withColumn("n", upto).groupBy("query_id").agg(limit)
+    limited = cut(asked.join(limits, "query_id").select(block, "query_id", "limit", "vector"))
+    schema = T.StructType([kind, *[T.StructField(k, T.LongType()) for k in POINT], T.StructField("cosine", T.DoubleType())])
+    return meet_parts(points.select(block, *POINT, "vector"), limited, POINT, ("query_id", "limit"), lambda table: _SignTop(table, n), schema)
+
+
 def search_signs(index: VectorIndex, chunks: DataFrame, queries: DataFrame, n: int, oversample: int = 8) -> DataFrame:
-    """(query_id, document_id, chunk_index, score, rank): candidates by signs, ranked by their exact cosine. No Python on the way."""
+    """(query_id, document_id, chunk_index, score, rank): candidates by signs, ranked by their exact cosine.
+
+    Up to ``MANY_QUERIES`` queries need no Python on the way.
+    """
+    order = [F.desc("cosine"), *[F.col(k) for k in POINT]]
+    wanted = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    if wanted.limit(MANY_QUERIES + 1).count() > MANY_QUERIES:
+        scored = _many_by_signs(index, chunks.where(F.col("vector").isNotNull()), wanted, n, n * oversample)
+        found = salted_top_n(scored, ["query_id"], order, n, POINT)
+        return found.select("query_id", *POINT, unit_score("cosine").alias("score"), "rank")
     near = sign_candidates(index, queries, n * oversample)
     points = chunks.select(*POINT, F.col("vector").alias("p"), norm("vector").alias("_p"))
     asked = queries.select("query_id", F.col("vector").alias("q"), norm("vector").alias("_q"))
     pairs = near.join(points, list(POINT)).join(asked, "query_id")
     product = F.col("_p") * F.col("_q")
     scored = pairs.select("query_id", *POINT, on_grid(F.when(product == 0, F.lit(0.0)).otherwise(dot("p", "q") / product)).alias("cosine"))
-    order = [F.desc("cosine"), *[F.col(k) for k in POINT]]
     found = salted_top_n(scored, ["query_id"], order, n, POINT)
     return found.select("query_id", *POINT, unit_score("cosine").alias("score"), "rank")

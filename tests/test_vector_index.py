@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from foliant.functions import vectors
 from foliant.operators import retrieval
 from foliant.sources import vector_index as VI
 
@@ -86,6 +87,20 @@ def test_signs(setup):
     assert "MapInArrow" not in plan and "Python" not in plan
 
 
+def test_many_queries_read_points_by_part(setup, monkeypatch):
+    """Many queries through cells that leave out little, and many by signs, give the results of few."""
+    chunks, queries, index, _ = setup
+    rows = lambda df: sorted((r.query_id, r.rank, r.document_id, r.chunk_index, round(r.score, 9)) for r in df.collect())
+    exact, signs = rows(VI.search(index, queries, 5)), rows(VI.search_signs(index, chunks, queries, 5))
+    monkeypatch.setattr(VI, "MANY_QUERIES", 3, raising=False)
+    monkeypatch.setattr(vectors, "HELD_BYTES", 8 * index.dim * 60)
+    monkeypatch.setattr(VI, "_reads_most", lambda *args: True, raising=False)
+    assert rows(VI.search(index, queries, 5)) == exact
+    plan = VI.search(index, queries, 5, probes=3)._jdf.queryExecution().toString()
+    assert "asked" not in plan  # no query is copied once a cell
+    assert rows(VI.search_signs(index, chunks, queries, 5)) == signs
+
+
 def test_wide_signs(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=130)
