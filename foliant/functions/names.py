@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.session import broadcast_if_small, cut
+
 EPS = 1e-9
 
 
@@ -61,70 +63,75 @@ def similar_names(names: DataFrame, threshold: float, scope: str = "entity_type"
     ``names`` holds distinct (scope, name) rows; a pair is returned once, with
     the ratio in both argument orders, if either reaches the threshold.
 
-    No pair is missed: a ratio of t over lengths la <= lb leaves at most
-    d = (1 - t)(la + lb) unmatched characters, so of any d + 1 pieces of the
-    shorter name one occurs unchanged in the longer, moved by at most the
-    surplus of insertions or deletions. The pieces are equi-join keys. A
-    multiset bound on common characters is tested inside the join, before a
-    pair is written, and only the rest reaches the Python matcher.
+    No pair is missed: see ``piece_sides``. A multiset bound on common
+    characters is tested inside the join, before a pair is written, and only
+    the rest reaches the Python matcher.
+    """
+    left, probe = piece_sides(names, threshold, scope, name)
+    shared = F.size(F.array_intersect("chars_a", "chars_b"))
+    bound = 2 * shared >= F.lit(threshold) * (F.col("la") + F.col("lb")) - EPS
+    ordered = (F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))
+    pairs = (
+        left.join(probe, PIECE)
+        .where(ordered & bound)
+        .select("scope", "a", "b")
+        .distinct()
+    )
+    rated = pairs.withColumns(
+        {"forward": name_similarity("a", "b"), "backward": name_similarity("b", "a")}
+    )
+    return rated.where(F.greatest("forward", "backward") >= threshold).withColumnRenamed("scope", scope)
+
+
+#: Key of the piece join.
+PIECE = ["scope", "la", "lb", "i", "piece"]
+
+
+def piece_sides(names: DataFrame, threshold: float, scope: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The shorter and the longer names of similar pairs by ``PIECE``; similar names meet in one at least.
+
+    A ratio of t over lengths la <= lb leaves at most (1 - t)(la + lb) unmatched
+    characters, and as many as la + lb modulo 2. So of d + 1 pieces of the shorter
+    name, d the largest such number, one occurs unchanged in the longer, moved by at most the
+    surplus of insertions or deletions. Pieces are cut for each two lengths, since fewer
+    and so longer ones do for lengths that are close: names of 12 characters meet in pieces of 4.
     """
     if threshold <= 2 / 3:
         raise ValueError("the piece join needs a threshold above 2/3")
-    slack = F.lit(1 - threshold)
-    longest = lambda la: F.floor(la * ((2 - threshold) / threshold) + EPS)
-    edits = lambda la, lb: F.floor(slack * (la + lb) + EPS)
-    pieces = lambda la: F.least(edits(la, longest(la)) + 1, la)
-    start = lambda la, i: F.floor(i * la / pieces(la))
+    la, lb, i = F.col("la"), F.col("lb"), F.col("i")
+    most = F.floor(F.lit(1 - threshold) * (la + lb) + EPS)
+    edits = most - F.pmod(most + la + lb, F.lit(2))
+    pieces = F.col("d") + 1
+    start = lambda n: F.floor(n * la / pieces)
 
     base = names.select(
         F.col(scope).alias("scope"), F.col(name).alias("name"), F.length(name).cast("long").alias("len")
     ).where(F.col("len") > 0)
     base = base.withColumn("chars", _chars(F.col("name")))
 
-    left = (
-        base.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), pieces(F.col("len")) - 1)))
-        .withColumn("from", start(F.col("len"), F.col("i")))
-        .withColumn("piece", F.substring(F.col("name"), (F.col("from") + 1).cast("int"), (start(F.col("len"), F.col("i") + 1) - F.col("from")).cast("int")))
-        .select("scope", F.col("len").alias("la"), "i", "piece", F.col("name").alias("a"), F.col("chars").alias("chars_a"))
+    # Only lengths that occur are paired; there are few, whatever the table size.
+    lengths = base.select("scope", "len").distinct()
+    close = (
+        lengths.withColumnRenamed("len", "la")
+        .join(lengths.withColumnRenamed("len", "lb"), "scope")
+        .where(la <= lb)
+        .withColumns({"d": edits, "grown": lb - la})
+        .where(F.col("d") >= F.col("grown"))
+        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d"))))
+        .withColumns({"from": start(i), "width": start(i + 1) - start(i)})
+    )
+    close = broadcast_if_small(cut(close))
+    piece = lambda at: F.substring("name", (at + 1).cast("int"), F.col("width").cast("int")).alias("piece")
+    left = base.withColumnRenamed("len", "la").join(close, ["scope", "la"]).select(
+        "scope", "la", "lb", "i", piece(F.col("from")), F.col("name").alias("a"), F.col("chars").alias("chars_a")
     )
-    shortest = F.ceil(F.col("lb") * (threshold / (2 - threshold)) - EPS)
-    # Only lengths that occur are probed; there are few, whatever the table size.
-    lengths = base.select("scope", F.col("len").alias("la")).distinct()
+    lo = F.greatest(F.col("from") - (F.col("d") - F.col("grown")) / 2, F.lit(0)).cast("long")
+    hi = F.least(F.col("from") + (F.col("d") + F.col("grown")) / 2, lb - F.col("width")).cast("long")
     probe = (
         base.withColumnRenamed("len", "lb")
-        .withColumn("la", F.explode(F.sequence(F.greatest(shortest, F.lit(1)).cast("long"), F.col("lb"))))
-        .join(lengths, ["scope", "la"])
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), pieces(F.col("la")) - 1)))
-        .withColumn("from", start(F.col("la"), F.col("i")))
-        .withColumn("width", start(F.col("la"), F.col("i") + 1) - F.col("from"))
-        .withColumn("grown", F.col("lb") - F.col("la"))
-        .withColumn("d", edits(F.col("la"), F.col("lb")))
-        .withColumn("lo", F.greatest(F.col("from") - F.floor((F.col("d") - F.col("grown")) / 2), F.lit(0)))
-        .withColumn("hi", F.least(F.col("from") + F.floor((F.col("d") + F.col("grown")) / 2), F.col("lb") - F.col("width")))
-        .where((F.col("d") >= F.col("grown")) & (F.col("hi") >= F.col("lo")))
+        .join(close.withColumns({"lo": lo, "hi": hi}).where("hi >= lo"), ["scope", "lb"])
         .withColumn("at", F.explode(F.sequence("lo", "hi")))
-        .select(
-            "scope",
-            "la",
-            "i",
-            F.substring(F.col("name"), (F.col("at") + 1).cast("int"), F.col("width").cast("int")).alias("piece"),
-            F.col("name").alias("b"),
-            "lb",
-            F.col("chars").alias("chars_b"),
-        )
-        .distinct()
-    )
-    shared = F.size(F.array_intersect("chars_a", "chars_b"))
-    bound = 2 * shared >= F.lit(threshold) * (F.col("la") + F.col("lb")) - EPS
-    ordered = (F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))
-    pairs = (
-        left.alias("l")
-        .join(probe.alias("r"), ["scope", "la", "i", "piece"])
-        .where(ordered & bound)
-        .select("scope", "a", "b")
+        .select("scope", "la", "lb", "i", piece(F.col("at")), F.col("name").alias("b"), F.col("chars").alias("chars_b"))
         .distinct()
     )
-    rated = pairs.withColumns(
-        {"forward": name_similarity("a", "b"), "backward": name_similarity("b", "a")}
-    )
-    return rated.where(F.greatest("forward", "backward") >= threshold).withColumnRenamed("scope", scope)
+    return left, probe

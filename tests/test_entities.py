@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.functions.graph import connected_components
-from foliant.functions.names import normalise_name, similar_names
+from foliant.functions.names import PIECE, normalise_name, piece_sides, similar_names
 from foliant.operators import entities as E
 
 
@@ -178,3 +178,31 @@ def test_pairs_in_cells_equal_all_pairs(spark):
             got = sorted(((r.entity_type, r.id_a, r.id_b), r.cosine) for r in got)
             assert [pair for pair, _ in got] == [pair for pair, _ in want]
             assert np.allclose([c for _, c in got], [c for _, c in want], rtol=0, atol=1e-11)
+
+
+def test_pieces_of_unlike_names_seldom_meet(spark):
+    """Names of 12 characters meet in pieces of 4: few of 20 000 random ones, where pieces of 2 let millions meet."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("0123456789abcdef") for _ in range(12)) for _ in range(20_000)})
+    df = spark.createDataFrame([("t", n) for n in names], "entity_type string, norm string")
+    left, probe = piece_sides(df, 0.85, "entity_type", "norm")
+    met = left.join(probe, PIECE).where("a < b").count()
+    assert met < 4 * len(names)
+
+
+def test_pieces_by_lengths_miss_nothing(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 24))) for _ in range(60)]
+    names = set(base)
+    for n in base:
+        for _ in range(4):
+            letters = list(n)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(letters))
+                letters[at : at + rng.randrange(2)] = [rng.choice(["", "x", "yz"])]
+            names.add("".join(letters) or "q")
+    names = sorted(names)
+    df = spark.createDataFrame([("t", n) for n in names], "entity_type string, norm string")
+    for threshold in (0.7, 0.85):
+        want = {frozenset((a, b)) for a in names for b in names if a != b and ratio(a, b) >= threshold}
+        assert {frozenset((r.a, r.b)) for r in similar_names(df, threshold).collect()} == want
