@@ -136,12 +136,11 @@ def _bucket_count(spark: SparkSession, table: str) -> int:
 
 
 def _bucketed(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Rows with their bucket, gathered by bucket and spread by chunk so that one document cannot fill a task.
+    """Rows with their bucket, gathered by bucket; a bucket beyond the advisory size is split over tasks, however large.
 
     Files are sorted by document, so that row groups outside the wanted documents are skipped.
     """
-    spread = F.pmod(F.xxhash64("chunk_index"), F.lit(8)) if "chunk_index" in df.columns else F.lit(0)
-    dealt = df.withColumn("bucket", bucket("document_id", buckets)).repartition("bucket", spread)
+    dealt = df.withColumn("bucket", bucket("document_id", buckets)).hint("rebalance", "bucket")
     return dealt.sortWithinPartitions("bucket", *[c for c in ("document_id", "chunk_index") if c in df.columns])
 
 

@@ -153,3 +153,17 @@ def test_payload_is_fetched_by_location(spark, tmp_path):
     plan = found._jdf.queryExecution().toString()
     assert "dynamicpruning" in plan and "In(document_id" in plan.replace("INSET", "In")  or "document_id IN" in plan
     assert sorted(map(tuple, retrieval.with_payload(hits, chunks, "passage").collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_a_large_bucket_is_split_over_tasks(spark, tmp_path):
+    """Documents of one chunk each: the chunk number alone would put a bucket into one task."""
+    rows = spark.range(20_000).select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.sha2(F.col("id").cast("string"), 256).alias("passage"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100k")
+    try:
+        store.write_version(rows.repartition(8), f"{tmp_path}/t", buckets=1)
+    finally:
+        spark.conf.set(size, before)
+    assert len(list(tmp_path.glob("t/v=1/bucket=0/*.parquet"))) > 4
+    assert store.read_current(spark, f"{tmp_path}/t").drop("bucket").exceptAll(rows).isEmpty()
