@@ -160,7 +160,9 @@ def complete(
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = completer()
-        for batch in batches:
+        # A few calls at a time: prompts and answers of a whole batch are never held at once.
+        step = 16 * call_size
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             prompts = batch.column(prompt).to_pylist()
             answers, errors = in_calls(lambda some: model.complete(some, max_tokens), prompts, call_size)
             yield pa.RecordBatch.from_arrays(
