@@ -111,10 +111,14 @@ def split_failed(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sparse_terms(rows: DataFrame, keys: list[str], column: str = "passage") -> DataFrame:
-    """(keys, term, tf): lower-cased white-space tokens with counts."""
-    tokens = F.split(F.lower(X.strip(column)), rf"{X.SPACE}+")
+    """(keys, term, tf): lower-cased white-space tokens with counts.
+
+    Texts are clustered by key before they are taken apart: they are shuffled once, their terms not at all.
+    Every space becomes a plain one first, which is split without a pattern; empty pieces go.
+    """
+    tokens = F.split(F.translate(F.lower(column), X.SPACES, " " * len(X.SPACES)), " ")
     return (
-        spread(rows.select(*keys, column)).select(*keys, F.explode(tokens).alias("term"))
+        rows.select(*keys, column).repartition(*keys).select(*keys, F.explode(tokens).alias("term"))
         .where(F.col("term") != "")
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("tf"))

@@ -173,3 +173,11 @@ def test_failing_calls_cost_their_own_items(spark):
     assert done["few"][0] is None and done["e"][0] is None and "number" in done["e"][1]
     vectors = {r.prompt: r.vector for r in chunking.embed(rows, Flaky, 8, "prompt").collect()}
     assert {t for t, v in vectors.items() if v is None} == {"bad", "c", "few", "e", ""}
+
+
+def test_sparse_terms_shuffle_texts_only(spark):
+    odd = [(1, "A b\u2003a\x1cB  a "), (2, " \t"), (3, None), (1, "b\x85C")]
+    terms = chunking.sparse_terms(spark.createDataFrame(odd, "document_id long, passage string"), ["document_id"])
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert {tuple(r) for r in terms.collect()} == {(1, "a", 3), (1, "b", 3), (1, "c", 1)}
