@@ -195,14 +195,19 @@ SPARSE_RANKED = """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, document_id, chunk_index) AS rank FROM sparse"""
 
 
+def whole_documents(spark, sf):
+    """Every document as one chunk, number 0 (not a literal: a constant key is folded, and rows then count as not clustered by it)."""
+    return D.table(spark, sf, "documents").select(
+        (F.col("doc_id") + 1).alias("document_id"), F.shiftright(F.abs("doc_id"), 63).cast("long").alias("chunk_index"), F.col("text").alias("passage")
+    )
+
+
 def sparse_inputs(spark, sf, build=False):
     """The stored sparse index of all documents (built by the first query that needs it) and the terms of the queries."""
     asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     path = D.shared_path(spark, sf, "terms")
     if build or not posting_index.exists(spark, path):
-        docs = D.table(spark, sf, "documents").select(
-            (F.col("doc_id") + 1).alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.col("text").alias("passage")
-        )
+        docs = whole_documents(spark, sf)
         total = docs.agg(F.count(F.lit(1)).alias("total"))
         posting_index.build(chunking.sparse_terms(docs, list(retrieval.POINT)), total, path, buckets=8, doc_buckets=16)
     return posting_index.PostingIndex(spark, path), chunking.sparse_terms(asked, ["query_id"])

@@ -23,8 +23,12 @@ The result is that of the exhaustive sum. Rounding is met by ``SLACK``, a share
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,10 @@ BLOCK = 1 << BLOCK_BITS
 #: Folders of terms; about one for a gigabyte of postings.
 TERM_BUCKETS = 64
 SLACK = 1e-9
+BLOCKS = (
+    "term string, stratum int, block long, max_tf long, n long, "
+    "entries array<struct<document_id: long, chunk_index: long, tf: long>>"
+)
 #: Chunks a query's bar is read from, as a multiple of the wanted ones.
 HEADS = 40
 #: Share of the entries beyond which bounds are not worth their passes.
@@ -75,28 +83,51 @@ def _term_bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted entries (term, stratum, block, tf, point); one that an Arrow batch cuts becomes two."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        changed[0] = True
+        for key in ("term", "stratum", "block"):
+            column = batch.column(key)
+            changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(changed)
+        end = np.append(start[1:], batch.num_rows)
+        names = [*POINT, "tf"]
+        entries = pa.StructArray.from_arrays([batch.column(c) for c in names], names)
+        first = batch.select(["term", "stratum", "block", "tf"]).take(pa.array(start))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, batch.num_rows).astype(np.int32)), entries)
+        yield pa.RecordBatch.from_arrays([*first.columns, pa.array(end - start), lists], names=["term", "stratum", "block", "max_tf", "n", "entries"])
+
+
+def with_stratum(terms: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, term, tf, stratum) of a term table."""
+    length = F.sum("tf").over(Window.partitionBy(*POINT))
+    return terms.select(*POINT, "term", F.col("tf").cast("long").alias("tf")).withColumn("stratum", F.floor(2 * F.log2(length)).cast("int"))
+
+
 def build(terms: DataFrame, total: DataFrame, path: str, buckets: int = TERM_BUCKETS, doc_buckets: int = store.BUCKETS) -> PostingIndex:
     """Indexes a term table (document_id, chunk_index, term, tf); ``total`` is a one-row count of the indexed chunks.
 
-    Entries are sorted by ranges of (term, frequency), so a term that stands in every chunk is spread over tasks.
+    Terms of a chunk that lie in one partition (as ``chunking.sparse_terms`` leaves them) get their stratum without a shuffle;
+    ``forward`` is written first and then read for the postings. Entries are sorted by ranges of (term, frequency), so a
+    term that stands in every chunk is spread over tasks; each of these makes and writes its blocks.
     """
     spark = terms.sparkSession
-    rows = cut(terms.select(*POINT, "term", F.col("tf").cast("long").alias("tf")))
-    store.write_version(rows, f"{path}/forward", doc_buckets)
-    lengths = rows.groupBy(*POINT).agg(F.floor(2 * F.log2(F.sum("tf"))).cast("int").alias("stratum"))
+    rows = with_stratum(terms)
+    version = store.write_version(rows, f"{path}/forward", doc_buckets)
     order = ["term", "stratum", F.desc("tf"), *POINT]
-    placed = cut(rows.join(lengths, list(POINT))).repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/forward/v={version}")
+    placed = stored.select(*rows.columns).repartitionByRange(*order).sortWithinPartitions(*order)
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")
-    blocks = (
-        placed.select("term", "stratum", block, "tf", *POINT)
-        .groupBy("term", "stratum", "block")
-        .agg(F.max("tf").alias("max_tf"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*POINT, "tf")).alias("entries"))
-    )
-    dealt = blocks.withColumn("bucket", _term_bucket(buckets)).repartition("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    blocks = placed.select("term", "stratum", block, "tf", *POINT).mapInArrow(_gathered, BLOCKS)
+    dealt = blocks.withColumn("bucket", _term_bucket(buckets)).sortWithinPartitions("bucket", "term", "block")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stats = spark.read.schema(dealt.schema).parquet(f"{path}/postings").groupBy("bucket", "term", "stratum")
     stats = stats.agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("block").alias("first_block"))
-    stats.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    stats.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     total.select(F.col("total").cast("long").alias("total"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/size")
     return PostingIndex(spark, path)
 

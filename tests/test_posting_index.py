@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
-from foliant.operators import retrieval
+from foliant.operators import chunking, retrieval
+from foliant.plans import search_queries
 from foliant.sources import posting_index as PI
 
 
@@ -67,3 +69,20 @@ def test_empty(spark, setup, tmp_path):
     assert PI.search(index, queries.limit(0), 5).count() == 0
     none = PI.build(terms.limit(0), total, str(tmp_path / "none"), buckets=2, doc_buckets=2)
     assert PI.exists(spark, none.path)
+
+
+def test_strata_need_no_shuffle(spark):
+    docs = search_queries.whole_documents(spark, "/root/testdata/sf0.001")
+    assert docs.where("chunk_index <> 0 or chunk_index is null").count() == 0
+    rows = PI.with_stratum(chunking.sparse_terms(docs, list(PI.POINT)))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the texts
+
+
+def test_blocks_are_cut_where_a_key_changes():
+    names = ["term", "stratum", "block", "tf", "document_id", "chunk_index"]
+    rows = [("a", 1, 7, 3, 10, 0), ("a", 1, 7, 2, 11, 1), ("a", 1, 8, 2, 12, 0), ("a", 2, 8, 9, 13, 0), ("b", 2, 8, 1, 14, 0)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    blocks = [r for out in PI._gathered([batch[:0], batch]) for r in out.to_pylist()]
+    assert [(r["term"], r["stratum"], r["block"], r["max_tf"], r["n"], [e["document_id"] for e in r["entries"]]) for r in blocks] == [
+        ("a", 1, 7, 3, 2, [10, 11]), ("a", 1, 8, 2, 1, [12]), ("a", 2, 8, 9, 1, [13]), ("b", 2, 8, 1, 1, [14])
+    ]
