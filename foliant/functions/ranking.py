@@ -24,19 +24,29 @@ def salted_top_n(
     The first window ranks inside (keys, salt), so a key holding a large share
     of the rows is spread over ``salts`` tasks; Spark's WindowGroupLimit also
     cuts each input partition to n rows before that shuffle. The second window
-    sees at most n * salts rows per key.
+    sees at most n * salts rows per key. With one salt, for keys with few rows each, the second window ranks alone.
     """
+    final = Window.partitionBy(*keys).orderBy(*order)
+    if salts > 1:
+        df = _within_salts(df, keys, order, n, salt_on, salts)
+    return (
+        df.withColumn(rank, F.row_number().over(final))
+        .where(F.col(rank) <= n)
+        .withColumn(rank, F.col(rank).cast("long"))
+    )
+
+
+def _within_salts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salt_on: Sequence[str], salts: int
+) -> DataFrame:
+    """The n first rows per (keys, salt)."""
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_on]), F.lit(salts))
     local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.withColumn("_salt", salt)
         .withColumn("_rank", F.row_number().over(local))
         .where(F.col("_rank") <= n)
         .drop("_rank", "_salt")
-        .withColumn(rank, F.row_number().over(final))
-        .where(F.col(rank) <= n)
-        .withColumn(rank, F.col(rank).cast("long"))
     )
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.functions.plugins import Scorer, ScorerFactory
-from foliant.functions.ranking import salted_top_n
-from foliant.functions.vectors import TopN, cosine, on_grid, score_blocks, score_within, unit_score
+from foliant.functions.ranking import SALTS, salted_top_n
+from foliant.functions.vectors import TopN, cosine, in_parts, on_grid, score_blocks, score_within, unit_score
 from foliant.session import broadcast_if_small, cut
 from foliant.sources.store import bucket, buckets_of
 
@@ -57,11 +57,12 @@ def nearest(
     """(keys, document_id, chunk_index, score, rank): the n best chunks per query.
 
     The scan reads only ids and vectors. Each task keeps n candidates per
-    query, so the ranking shuffle carries n rows per query and task.
+    query, so the ranking shuffle carries n rows per query and task. Many queries bring n rows
+    for each part of the chunks instead and are ranked in one step.
     """
     scored = score_blocks(chunks, queries, TopN(n), POINT, keys).withColumn("score", unit_score("cosine"))
     order = [F.desc("cosine"), *[F.col(k) for k in POINT]]
-    return salted_top_n(scored, keys, order, n, POINT).select(*keys, *POINT, "score", "rank")
+    return salted_top_n(scored, keys, order, n, POINT, salts=1 if in_parts(scored) else SALTS).select(*keys, *POINT, "score", "rank")
 
 
 #: Documents whose ids are sent to the scan of a located table as a filter.

@@ -10,7 +10,7 @@ from foliant.plans import derive as D
 from foliant.plans.derive_sql import with_
 from foliant.plans.registry import query
 from foliant.plans.text_queries import HASH_SQL
-from foliant.session import spread
+from foliant.session import cut, spread
 from foliant.sources import posting_index, vector_index
 
 SCORED = """
@@ -145,7 +145,7 @@ def text_search(spark, sf):
     ),
 )
 def chunk_results(spark, sf):
-    hits = retrieval.nearest(*inputs(spark, sf), 25)
+    hits = cut(retrieval.nearest(*inputs(spark, sf), 25))
     # Stand-in rerank scores from the ids, as a table would supply them.
     scores = hits.select(
         "query_id", *retrieval.POINT, (((F.col("document_id") * 7 + F.col("chunk_index")) % 11) / F.lit(10.0)).alias("score")

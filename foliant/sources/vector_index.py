@@ -475,14 +475,14 @@ def _many_by_signs(index: VectorIndex, points: DataFrame, asked: DataFrame, n: i
     codes = index.codes.select(block, *POINT, F.col("code").alias("vector"))
     signs = asked.select(block, "query_id", sign_words(F.col("vector"), index.dim).alias("vector"))
     counted = T.StructType([kind, T.StructField("counts", T.ArrayType(T.LongType()))])
-    counts = meet_parts(codes, signs, POINT, ("query_id",), _SignCounts, counted)
+    counts = meet_parts(codes, signs, POINT, ("query_id",), _SignCounts, counted, index.dim)
     sums = counts.select("query_id", F.posexplode("counts").alias("distance", "n")).where("n > 0").groupBy("query_id", "distance").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("distance"))  # dim rows a query
     limit = F.coalesce(F.min(F.when(F.col("n") >= wanted, F.col("distance"))), F.max("distance")).alias("limit")
     limits = sums.withColumn("n", upto).groupBy("query_id").agg(limit)
     limited = cut(asked.join(limits, "query_id").select(block, "query_id", "limit", "vector"))
     schema = T.StructType([kind, *[T.StructField(k, T.LongType()) for k in POINT], T.StructField("cosine", T.DoubleType())])
-    return meet_parts(points.select(block, *POINT, "vector"), limited, POINT, ("query_id", "limit"), lambda table: _SignTop(table, n), schema)
+    return meet_parts(points.select(block, *POINT, "vector"), limited, POINT, ("query_id", "limit"), lambda table: _SignTop(table, n), schema, n)
 
 
 def search_signs(index: VectorIndex, chunks: DataFrame, queries: DataFrame, n: int, oversample: int = 8) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from foliant.functions import vectors
 from foliant.functions.ranking import blocked_row_number, id_blocks, salted_top_n
 from foliant.functions.vectors import AtLeast, TopN, cosine, on_grid, score_blocks
@@ -127,3 +128,43 @@ def test_row_number_blocks(spark):
     coarse, fine = id_blocks("id", 10, 7)
     plain = blocked_row_number(df, [], coarse, fine, [F.col("id")], "n")
     assert all(r.n == r.id + 1 for r in plain.collect())
+
+
+def test_many_queries_are_dealt_evenly(spark, monkeypatch):
+    """Parts and shares are balanced, so that fewer rows move for the same number of tasks."""
+    moved = spark.sparkContext.accumulator(0)
+
+    class Counted(vectors._Part):
+        def __init__(self, points, rule, names):
+            moved.add(points.num_rows)
+            super().__init__(points, rule, names)
+
+        def meet(self, queries):
+            moved.add(queries.num_rows)
+            return super().meet(queries)
+
+    monkeypatch.setattr(vectors, "_Part", Counted)
+    monkeypatch.setattr(vectors, "LEAST_PRODUCTS", 1000)
+    vector = F.array(F.cos("id"), F.sin("id"))
+    p = spark.range(3000).select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), vector.alias("vector"))
+    q = spark.range(5000).select(F.col("id").alias("query_id"), vector.alias("vector"))
+    assert score_blocks(p, q, AtLeast(1.0)).count() >= 3000
+    assert moved.value <= 40_000  # one part with a share for each task moved 101 000
+
+
+def test_many_queries_are_ranked_once(spark):
+    """Queries with n rows a part meet in one window, with the ranks of all pairs."""
+    vector = F.array(F.cos("id"), F.sin("id"))
+    p = spark.range(40).select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), vector.alias("vector"))
+    q = spark.range(4500).select(F.col("id").alias("query_id"), vector.alias("vector"))
+    hits = retrieval.nearest(p, q, 3)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    order = [F.desc("cosine"), F.col("document_id"), F.col("chunk_index")]
+    want = salted_top_n(native(p, q), ["query_id"], order, 3, ["document_id", "chunk_index"])
+    columns = ["query_id", "document_id", "rank"]
+    assert {tuple(r) for r in hits.select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
+
+
+def test_rerank_scores_the_chunks_once(spark, sf):
+    plan = queries()["chunk_results"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the hits are cut; they were scored for each use
