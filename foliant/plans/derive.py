@@ -136,6 +136,10 @@ def custom_field(spark: SparkSession, sf: str) -> DataFrame:
 # --- vectors -----------------------------------------------------------------
 
 
+#: Embeddings whose ids are sent to the scan of the texts, so that texts without one are not shuffled.
+SENT_IDS = 1_000_000
+
+
 def chunk_vec(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk table over the given embeddings, two chunks per document."""
     e = table(spark, sf, "embeddings").select(
@@ -143,6 +147,8 @@ def chunk_vec(spark: SparkSession, sf: str) -> DataFrame:
     )
     doc = Window.partitionBy("half")
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    if e.count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(e.select("vec_id")), "vec_id", "left_semi")
     label = F.max(F.when(F.col("vec_id") % 2 == 0, F.col("label"))).over(doc).cast("long")
     d = (
         e.withColumn("label", label)

@@ -168,3 +168,8 @@ def test_many_queries_are_ranked_once(spark):
 def test_rerank_scores_the_chunks_once(spark, sf):
     plan = queries()["chunk_results"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan  # the hits are cut; they were scored for each use
+
+
+def test_texts_without_embedding_are_not_shuffled(spark, sf):
+    plan = D.chunk_vec(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
