@@ -35,15 +35,14 @@ def similarity(spark, sf):
     )
 
 
-def links(spark, sf):
-    """Links among named and vector entities, with the dedup dismissals."""
-    both = D.entity_name(spark, sf).unionByName(D.vector_entity(spark, sf).withColumn("entity_id", F.col("entity_id") + 1_000_000))
-    return both, E.dedup_links(both, D.dismissal(spark, sf))
+def named_and_vector(spark, sf):
+    """Named and vector entities in one table."""
+    return D.entity_name(spark, sf).unionByName(D.vector_entity(spark, sf).withColumn("entity_id", F.col("entity_id") + 1_000_000))
 
 
 @query("dedup_pairs")
 def dedup_pairs(spark, sf):
-    return links(spark, sf)[1]
+    return E.dedup_links(named_and_vector(spark, sf), D.dismissal(spark, sf))
 
 
 @query(
@@ -139,8 +138,8 @@ def dedup_clusters(spark, sf):
 
 @query("dedup_clusters_full")
 def dedup_clusters_full(spark, sf):
-    entities, found = links(spark, sf)
-    return E.dedup_clusters(found, entities)
+    entities = named_and_vector(spark, sf)
+    return E.dedup_clusters(E.cluster_links(entities, D.dismissal(spark, sf)), entities)
 
 
 # --- merge: the toxic and blank tags go to quality, every second source to the first one -----

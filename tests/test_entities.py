@@ -88,6 +88,23 @@ def test_similar_names_misses_nothing(spark):
         assert got == want, threshold
 
 
+def all_pairs(rows, dismissed, t_name, t_emb):
+    """The pairwise definition with names that may be missing: {(a, b): (signal, similarity)}."""
+    pairs = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if frozenset((a[0], b[0])) in dismissed:
+                continue
+            r = 0 if a[1] is None or b[1] is None else ratio(fold(a[1]), fold(b[1]))
+            if r >= t_name:
+                pairs[(a[0], b[0])] = ("name", round(r, 3))
+            elif a[2] is not None and b[2] is not None:
+                c = float(np.dot(a[2], b[2]) / (np.linalg.norm(a[2]) * np.linalg.norm(b[2])))
+                if c >= t_emb:
+                    pairs[(a[0], b[0])] = ("embedding", round(c, 3))
+    return pairs
+
+
 def clusters_by_pairs(rows, dismissed, t_name, t_emb):
     """The pairwise definition, on a small table."""
     pairs = {}
@@ -140,6 +157,52 @@ def test_dedup_equals_all_pairs(spark):
     assert got == clusters_by_pairs(rows, dismissed, 0.85, 0.97)
 
 
+ENTITY = "entity_type string, entity_id long, name string, vector array<double>, description string, embedding_stored boolean"
+DISMISSAL = "entity_type string, entity_id long, other_entity_id long, action string"
+
+
+def test_dedup_links_are_all_pairs(spark):
+    """Copies of names, of names with vectors, empty and missing names, two types: each pair that meets a threshold."""
+    rng = random.Random(14)
+    few = [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(4)]
+    rows = []
+    for i, name in enumerate(names(rng, 140), 1):
+        name = rng.choice(["Telekom", " telekom", "TELEKOM"]) if i % 4 == 0 else rng.choice(["", " ", None, None]) if i % 14 == 1 else name
+        vector = None if i % 5 == 0 else rng.choice(few) if i % 2 else [rng.uniform(-1, 1) for _ in range(3)]
+        rows.append((i, name, vector))
+    dismissed = {frozenset(rng.sample(range(1, 141), 2)) for _ in range(200)} | {frozenset((4, j)) for j in range(8, 80, 4)}
+    entities = spark.createDataFrame([(t, i, n, v, "", v is not None) for t in ("tag", "correspondent") for i, n, v in rows], ENTITY)
+    dismissals = spark.createDataFrame([("tag", min(p), max(p), "dedup") for p in dismissed], DISMISSAL)
+    tags = all_pairs(rows, dismissed, 0.85, 0.97)
+    want = {("tag", *p): v for p, v in tags.items()} | {("correspondent", *p): v for p, v in all_pairs(rows, set(), 0.85, 0.97).items()}
+    for copy_rows in (1024, 4):
+        got = E.dedup_links(entities, dismissals, 0.85, 0.97, copy_rows).collect()
+        assert len(got) == len(want)
+        assert {(r.entity_type, r.id_a, r.id_b): (r.signal, r.similarity) for r in got} == want
+    found = E.dedup_clusters(E.cluster_links(entities, dismissals, 0.85, 0.97), entities).where("entity_type = 'tag'").collect()
+    parts = {}
+    for r in found:
+        parts.setdefault(r.cluster_id, []).append(r)
+    groups = union_find({n for p in tags for n in p}, tags)
+    inside = {tuple(g): [v for p, v in tags.items() if p[0] in g] for g in groups}
+    assert {tuple(sorted(m.entity_id for m in v)): (v[0].signal, v[0].similarity) for v in parts.values()} == {
+        g: ("embedding" if any(s == "embedding" for s, _ in v) else "name", max(x for _, x in v)) for g, v in inside.items()
+    }
+
+
+def test_order_of_names_counts_for_vectors(spark):
+    """Names alike in one order only: copies on both sides of an id are linked by name there and by vector here."""
+    a, b = "babbaab", "bababab"
+    assert ratio(a, b) >= 0.85 > ratio(b, a)
+    rows = [(1, a, [1.0, 0.0]), (5, b, [1.0, 0.01]), (10, a, [1.0, 0.0])]
+    entities = spark.createDataFrame([("tag", i, n, v, "", True) for i, n, v in rows], ENTITY)
+    none = spark.createDataFrame([], DISMISSAL)
+    want = all_pairs(rows, set(), 0.85, 0.97)
+    assert {s for s, _ in want.values()} == {"name", "embedding"}
+    assert {(r.id_a, r.id_b): (r.signal, r.similarity) for r in E.dedup_links(entities, none, 0.85, 0.97).collect()} == want
+    assert {r.signal for r in E.dedup_clusters(E.cluster_links(entities, none, 0.85, 0.97), entities).collect()} == {"embedding"}
+
+
 def test_merge_keeps_other_rows(spark):
     docs = spark.createDataFrame(
         [(1, "a", [5, 6, 7]), (2, "b", [6]), (3, "c", [8]), (4, "d", [])], "document_id long, title string, tag_ids array<long>"
